@@ -7,6 +7,7 @@ tag-like strings and their entities stay as written.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -27,14 +28,21 @@ _RAW_TEXT_WITH_AMPERSAND = (
 )
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
-# Lookup scans the map from its start: frequent names first.
-_FREQUENT = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+# Entities that nearly all documents are limited to; "&amp;" is decoded last.
+_FREQUENT = ("lt", "gt", "quot", "nbsp", "copy", "middot")
+_OTHER_ENTITY = r"&(?!amp;)(?:#[0-9xX]|[a-zA-Z])[0-9a-zA-Z]*;"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _entity_map() -> Column:
+    """Constant map from entity name to character, folded by the planner."""
     points = {**name2codepoint, "apos": ord("'")}
-    names = [*_FREQUENT, *(n for n in points if n not in _FREQUENT)]
-    return F.create_map(*[F.lit(x) for n in names for x in (n, chr(points[n]))])
+    listed = "\u0001".join(f"{name}\u0002{chr(p)}" for name, p in points.items())
+    return F.str_to_map(F.lit(listed), F.lit("\u0001"), F.lit("\u0002"))
 
 
 def _character(name: Column) -> Column:
@@ -51,8 +59,8 @@ def _character(name: Column) -> Column:
     )
 
 
-def decode_entities(text: Column) -> Column:
-    """Decode named (HTML 4) and numeric entities in one left-to-right pass."""
+def _decode_any(text: Column) -> Column:
+    """Decode entities in one pass over the pieces between ampersands."""
     parts = F.split(text, "&")
     named = F.transform(
         F.slice(parts, F.lit(2), F.size(parts)),
@@ -77,27 +85,47 @@ def decode_entities(text: Column) -> Column:
             ),
         ).otherwise(F.concat(F.lit("&"), p["part"])),
     )
-    return F.when(
-        text.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
-    ).otherwise(text)
+    return F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
+
+
+def decode_entities(text: Column) -> Column:
+    """Decode named (HTML 4) and numeric entities; unknown ones stay.
+
+    Plain replacements do for most texts. None of their results can form a new
+    entity as long as the ampersand itself comes last.
+    """
+    common = text
+    for name in _FREQUENT:
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(chr(name2codepoint[name])))
+    return _once(
+        common,
+        lambda rest: F.when(rest.rlike(_OTHER_ENTITY), _decode_any(rest)).otherwise(
+            F.replace(rest, F.lit("&amp;"), F.lit("&"))
+        ),
+    )
+
+
+def _shielded(spaced: Column) -> Column:
+    """Hide the ampersands of script and style bodies behind a NUL."""
+    raw = F.regexp_extract_all(spaced, F.lit(_RAW_TEXT), F.lit(0))
+    pieces = F.zip_with(
+        F.split(spaced, _RAW_TEXT),
+        raw,
+        lambda outside, body: F.concat(
+            outside, F.coalesce(F.replace(body, F.lit("&"), F.lit("\0")), F.lit(""))
+        ),
+    )
+    return F.array_join(pieces, "")
 
 
 def html_to_text(html: Column) -> Column:
     """Text content of ``html`` after ``>`` becomes ``> `` (keeps words apart)."""
-    spaced = F.replace(html, F.lit(">"), F.lit("> "))
-    whole = decode_entities(F.regexp_replace(spaced, _MARKUP, "$1$2"))
-    # Rare: a script or style body holds "&". Decode around such bodies only.
-    between = F.split(spaced, _RAW_TEXT)
-    bodies = F.regexp_extract_all(spaced, F.lit(_RAW_TEXT), F.lit(2))
-    piecewise = F.array_join(
-        F.zip_with(
-            between,
-            bodies,
-            lambda outside, body: F.concat(
-                decode_entities(F.regexp_replace(outside, rf"(?is){_TAG}", "")),
-                F.coalesce(body, F.lit("")),
-            ),
-        ),
-        "",
+    shielded = _once(
+        F.replace(html, F.lit(">"), F.lit("> ")),
+        # Rare: a script or style body holds "&".
+        lambda spaced: F.when(
+            spaced.rlike(_RAW_TEXT_WITH_AMPERSAND), _shielded(spaced)
+        ).otherwise(spaced),
     )
-    return F.when(spaced.rlike(_RAW_TEXT_WITH_AMPERSAND), piecewise).otherwise(whole)
+    text = decode_entities(F.regexp_replace(shielded, _MARKUP, "$1$2"))
+    return F.replace(text, F.lit("\0"), F.lit("&"))

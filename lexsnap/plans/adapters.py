@@ -21,9 +21,8 @@ from lexsnap.session import scratch_path
 
 # Turns per response. Long conversations give several responses of bounded size.
 TURNS_PER_PART = 64
-# With two turns per response and short responses, some come out cut off.
+# With two turns per response a document has several, and some of them fail.
 SHORT_PART = 2
-CUT_LENGTH = 700
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,13 +155,14 @@ def qa_responses(
     spark: SparkSession,
     sf_dir: str,
     turns_per_part: int = TURNS_PER_PART,
-    cut_length: int | None = None,
+    prose_for_system: bool = False,
 ) -> DataFrame:
     """``(permalink, part, body)``: question/answer pairs of a conversation as JSON.
 
     A user turn directly followed by an assistant turn is a pair. Both are put
     under the user's turn number, and a group holds a bounded range of turns.
-    ``cut_length`` breaks longer bodies off, as a length limit would.
+    With ``prose_for_system`` a response with a system turn is that turn's text,
+    as if the generator had answered in prose and not in JSON.
     """
     turns = table(spark, sf_dir, "conversations")
     asked = F.when(F.col("role") == "assistant", F.greatest(F.col("turn") - 1, F.lit(0)))
@@ -177,8 +177,9 @@ def qa_responses(
              i -> named_struct('question', items[i].text, 'answer', items[i - 1].text))"""
     )
     body = F.to_json(F.struct(pairs.alias("qa_list")))
-    if cut_length is not None:
-        body = F.substring(body, 1, cut_length)
+    if prose_for_system:
+        system = F.filter("items", lambda item: item.role == "system")
+        body = F.coalesce(F.get(system, F.lit(0))["text"], body)
     return (
         placed.groupBy("conv_id", F.floor(F.col("place") / turns_per_part).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("items"))
@@ -191,8 +192,8 @@ def qa_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A QA table in which cut-off responses left failed rows."""
-    parsed = parse_responses(qa_responses(spark, sf_dir, SHORT_PART, CUT_LENGTH))
+    """A QA table in which invalid responses left failed rows."""
+    parsed = parse_responses(qa_responses(spark, sf_dir, SHORT_PART, True))
     failed = F.array(
         F.struct(
             F.lit(FAILED_QUESTION).alias("question"),

@@ -435,15 +435,15 @@ def qa_parse(spark, d):
 
 @query
 def qa_quarantine(spark, d):
-    """Cut-off responses, and event properties that are no responses at all."""
-    cut = A.qa_responses(spark, d, A.SHORT_PART, A.CUT_LENGTH).select(
+    """Answers in prose, and event properties that are no responses at all."""
+    prose = A.qa_responses(spark, d, A.SHORT_PART, True).select(
         F.concat(KEY, F.lit("/"), F.col("part").cast("string")).alias("source"), "body"
     )
     other = A.table(spark, d, "events").select(
         F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("source"),
         F.col("props").alias("body"),
     )
-    parsed = qa.parse_responses(cut.unionByName(other))
+    parsed = qa.parse_responses(prose.unionByName(other))
     return qa.quarantine(parsed).select("source", "problem")
 
 
@@ -587,7 +587,7 @@ def knn_lsh(spark, d):
 @query
 def topic_labels(spark, d):
     flat = topic_flatten(spark, d)
-    topics = regulations.topic_dimension(A.base_listing(spark, d).filter("doc_id % 10 <> 0"))
+    topics = regulations.topic_dimension(A.base_listing(spark, d))
     # Code 5 stays out of the table, so that unknown codes occur.
     return context.topic_labels(flat, topics.filter("uuid <> 5"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexsnap.operators.qa import FAILED_QUESTION
-from lexsnap.plans.adapters import CUT_LENGTH, SHORT_PART, TURNS_PER_PART
+from lexsnap.plans.adapters import SHORT_PART, TURNS_PER_PART
 
 LISTING = "permalink, perihal, tanggal_efektif, status_dokumen, topik"
 DETAIL = (
@@ -129,26 +129,18 @@ CTES = {
         ON t.conv_id = g.conv_id AND t.turn // {TURNS_PER_PART} = g.part""",
     "short_parts": f"""
       SELECT DISTINCT conv_id, place // {SHORT_PART} AS part FROM placed""",
-    # A body as the JSON writer lays it out: its length decides what is cut off.
-    "short_bodies": f"""
-      SELECT g.conv_id, g.part,
-        '{{"qa_list":[' || coalesce(string_agg(
-          '{{"question":' || to_json(t.question) || ',"answer":' || to_json(t.answer) || '}}',
-          ',' ORDER BY t.turn) FILTER (t.turn IS NOT NULL), '') || ']}}' AS body
-      FROM short_parts g LEFT JOIN turn_pairs t
-        ON t.conv_id = g.conv_id AND t.turn // {SHORT_PART} = g.part
-      GROUP BY g.conv_id, g.part""",
+    "prose": f"""
+      SELECT DISTINCT conv_id, turn // {SHORT_PART} AS part FROM conversations
+      WHERE role = 'system'""",
     "qa_failures": f"""
       SELECT row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS id,
         'doc-' || conv_id AS permalink, question, answer
       FROM (
         SELECT b.conv_id, b.part, t.turn, t.question, t.answer
-        FROM short_bodies b LEFT JOIN turn_pairs t
+        FROM short_parts b ANTI JOIN prose USING (conv_id, part) LEFT JOIN turn_pairs t
           ON t.conv_id = b.conv_id AND t.turn // {SHORT_PART} = b.part
-        WHERE length(b.body) <= {CUT_LENGTH}
         UNION ALL
-        SELECT conv_id, part, 0, '{FAILED_QUESTION}', NULL FROM short_bodies
-        WHERE length(body) > {CUT_LENGTH})""",
+        SELECT conv_id, part, 0, '{FAILED_QUESTION}', NULL FROM prose)""",
     "vec_old": """
       SELECT q.permalink || '#' || q.id AS id, q.answer, q.permalink, r.status_dokumen,
         r.topik, r.jenis_peraturan, r.nomor_peraturan, q.question AS document
@@ -294,15 +286,14 @@ BODIES = {
       FROM documents d LEFT JOIN detail r ON r.permalink = 'doc-' || d.doc_id""",
     "relation_default": """
       SELECT 'doc-' || d.doc_id AS permalink,
-        CAST(greatest(len(w.peraturan_terbaru), 1) AS BIGINT) AS peraturan_terbaru_links,
-        CAST(greatest(len(w.peraturan_sebelumnya), 1) AS BIGINT)
-          AS peraturan_sebelumnya_links,
+        CAST(CASE len(w.peraturan_terbaru) WHEN 0 THEN 1
+          ELSE len(w.peraturan_terbaru) END AS BIGINT) AS peraturan_terbaru_links,
+        CAST(CASE len(w.peraturan_sebelumnya) WHEN 0 THEN 1
+          ELSE len(w.peraturan_sebelumnya) END AS BIGINT) AS peraturan_sebelumnya_links,
         CAST(len(w.peraturan_relevan) AS BIGINT) AS peraturan_relevan_links,
         r.peraturan_terbaru, r.peraturan_sebelumnya, r.peraturan_relevan
-      FROM documents d LEFT JOIN detail r ON r.permalink = 'doc-' || d.doc_id
-        LEFT JOIN (SELECT doc_id,
-            CASE WHEN doc_id IS NOT NULL THEN peraturan_terbaru END AS peraturan_terbaru,
-            peraturan_sebelumnya, peraturan_relevan FROM raw_detail) w USING (doc_id)""",
+      FROM documents d LEFT JOIN raw_detail w USING (doc_id)
+        LEFT JOIN detail r ON r.permalink = w.permalink""",
     "regulation_clean": f"SELECT {LISTING}, {DETAIL} FROM regulation_old",
     "snapshot_diff": f"""
       SELECT 'insert' AS op, {LISTING} FROM ins
@@ -323,7 +314,8 @@ BODIES = {
     "snapshot_merge": f"SELECT {LISTING}, {DETAIL} FROM merged",
     "sync_stream_tables": """
       SELECT m.permalink, m.perihal, m.tanggal_efektif, m.status_dokumen, m.topik,
-        m.jenis_peraturan, m.nomor_peraturan, t.records
+        m.jenis_peraturan, m.nomor_peraturan,
+        CAST(t.records AS BIGINT) AS records
       FROM merged m LEFT JOIN (
         SELECT permalink, CASE WHEN length(body) % 5 = 0 OR body IS NULL THEN 1
           ELSE 2 END AS records
@@ -353,7 +345,7 @@ BODIES = {
       GROUP BY g.conv_id, g.part""",
     "qa_quarantine": f"""
       SELECT 'doc-' || conv_id || '/' || part AS source, 'invalid_json' AS problem
-      FROM short_bodies WHERE length(body) > {CUT_LENGTH}
+      FROM prose
       UNION ALL
       SELECT 'event-' || event_id, CASE WHEN NOT json_valid(props) THEN 'invalid_json'
         WHEN json_type(props, '$.qa_list') IS DISTINCT FROM 'ARRAY' THEN 'missing_list' END
