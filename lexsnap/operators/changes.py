@@ -14,15 +14,17 @@ from lexsnap.schemas import DETAIL_COLUMNS, KEY, LISTING_COLUMNS, REGULATION_COL
 OPERATIONS = ("insert", "update", "delete", "same")
 
 
-def require_unique_keys(df: DataFrame, key: str = KEY) -> None:
-    """Raise if a key is null or occurs twice.
+def require_keys(df: DataFrame, key: str = KEY, unique: bool = True) -> None:
+    """Raise if a key is null or, when ``unique``, occurs twice.
 
     A null key matches nothing, so it would count as inserted and deleted.
     """
-    bad = df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1))
-    first = bad.first()
-    if first is not None:
-        raise ValueError(f"{key} {first[key]!r} is null or not unique")
+    if not df.filter(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is null in some row")
+    if unique:
+        twice = df.groupBy(key).count().filter("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"{key} {twice[key]!r} is not unique")
 
 
 def compare_snapshots(

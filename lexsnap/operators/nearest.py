@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from lexsnap.session import materialize
 
-# Largest query set sent to every task; 4096 vectors of 1024 floats are 32 MB.
+# Largest query set sent to every task.
 MAX_SENT_QUERIES = 4096
+MAX_SENT_BYTES = 128 << 20
 _BLOCK = 128
 _CELL_ROWS = 65536
 
@@ -108,7 +109,7 @@ def nearest(
         ]
     )
     sent = queries.limit(max_sent_queries + 1).toArrow()
-    if sent.num_rows <= max_sent_queries:
+    if sent.num_rows <= max_sent_queries and sent.nbytes <= MAX_SENT_BYTES:
         found = _scan(docs, sent, k, id_col, query_id, vector, schema)
     else:
         found = _grid(docs, queries, k, id_col, query_id, vector, schema, max_sent_queries)

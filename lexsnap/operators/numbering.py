@@ -26,7 +26,7 @@ def running_count(
     kind of order give ``slice_by``, any expression that never decreases along it.
     """
     if slice_by is None:
-        slice_by = F.floor(F.col(order) / rows_per_slice)
+        slice_by = F.expr(f"`{order}` div {rows_per_slice}")
     sliced = df.withColumn("_slice", slice_by)
 
     earlier = Window.partitionBy(key).orderBy("_slice")

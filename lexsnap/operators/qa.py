@@ -116,7 +116,7 @@ def explode_qa_parts(documents: DataFrame, part: str = "part") -> DataFrame:
         KEY,
         part,
         F.posexplode_outer("qa_list").alias("pos", "item"),
-        F.floor(F.col(part) / 8192).alias("_parts"),
+        F.expr(f"`{part}` div 8192").alias("_parts"),
     ).withColumn("_order", F.struct(part, F.coalesce("pos", F.lit(0)).alias("pos")))
     numbered = running_count(exploded, KEY, "_order", slice_by=F.col("_parts"))
     return numbered.select("id", KEY, "item.question", "item.answer")

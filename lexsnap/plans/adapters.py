@@ -29,39 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _permalink(doc_id: Column) -> Column:
-    return F.concat(F.lit("doc-"), doc_id.cast("string"))
-
-
 def base_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested listing rows with ``doc_id``; narrow before the join with labels."""
-
-    def topic(code: Column) -> Column:
-        return F.struct(
-            code.cast("int").alias("uuid"),
-            F.concat(F.lit("Topik "), code.cast("string")).alias("keterangan"),
-        )
-
-    doc_id = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        _permalink(doc_id).alias("permalink"),
-        F.substring("text", 1, 80).alias("perihal"),
-        F.date_format(
-            F.date_add(F.lit("2024-01-01").cast("date"), (doc_id % 365).cast("int")),
-            "dd-MM-yyyy",
-        ).alias("tanggal_efektif"),
-        F.array(topic(doc_id % 4), topic(doc_id % 7 + 1)).alias("topik"),
+        "'doc-' || doc_id AS permalink",
+        "substring(text, 1, 80) AS perihal",
+        """date_format(date_add(DATE'2024-01-01', CAST(doc_id % 365 AS INT)),
+             'dd-MM-yyyy') AS tanggal_efektif""",
+        """transform(array(doc_id % 4, doc_id % 7 + 1), code -> named_struct(
+             'uuid', CAST(code AS INT), 'keterangan', 'Topik ' || code)) AS topik""",
     )
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    status = (
-        F.when(F.col("quality") == 1, "Berlaku")
-        .when(F.col("quality") == 0, "Dicabut")
-        .otherwise("Tidak diketahui")
-    )
-    return rows.join(quality, "doc_id", "left").select(
-        "doc_id", "permalink", "perihal", "tanggal_efektif",
-        status.alias("status_dokumen"), "topik",
+    return rows.join(quality, "doc_id", "left").selectExpr(
+        "doc_id",
+        "permalink",
+        "perihal",
+        "tanggal_efektif",
+        """CASE quality WHEN 1 THEN 'Berlaku' WHEN 0 THEN 'Dicabut'
+             ELSE 'Tidak diketahui' END AS status_dokumen""",
+        "topik",
     )
 
 
@@ -84,40 +71,43 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def detail_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One detail response per document; every 29th has no record."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    page_count = table(spark, sf_dir, "pages").select(F.count("*")).scalar()
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", (F.col("doc_id") % page_count).alias("page_id")
-    )
-
-    def links(*ids: Column) -> Column:
-        return F.array(*[F.struct(_permalink(i).alias("permalink")) for i in ids])
-
-    doc_id = F.col("doc_id")
-    no_links = F.array().cast("array<struct<permalink:string>>")
-    record = F.struct(
-        F.upper("lang").alias("jenis_peraturan"),
-        F.concat("source", F.lit("/"), doc_id.cast("string")).alias("nomor_peraturan"),
-        F.col("html").alias("body_final"),
-        F.when(doc_id % 3 == 0, links(doc_id + 1))
-        .otherwise(no_links)
-        .alias("peraturan_terbaru"),
-        F.when(doc_id % 5 == 0, links(doc_id - 1, doc_id - 2))
-        .otherwise(no_links)
-        .alias("peraturan_sebelumnya"),
-        F.when(doc_id % 7 != 0, links(doc_id * 2)).alias("peraturan_relevan"),
-        F.struct(F.concat("lang", F.lit(" "), "source").alias("keywords")).alias("meta"),
-    )
-    found = F.filter(F.array(record), lambda _: doc_id % 29 != 0)
-    return docs.join(pages, "page_id").select(
-        _permalink(doc_id).alias(KEY), found.alias("data")
-    )
-
+def detail_responses(
+    spark: SparkSession, sf_dir: str, with_body: bool = True
+) -> DataFrame:
+    """One detail response per document; every 29th has no record.
 
-def regulations(spark: SparkSession, sf_dir: str, listing: DataFrame) -> DataFrame:
-    return clean_regulations(with_detail(listing, detail_responses(spark, sf_dir)))
+    Without bodies the pages are not read at all.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    if with_body:
+        pages = table(spark, sf_dir, "pages").select("page_id", "html")
+        page_count = table(spark, sf_dir, "pages").select(F.count("*")).scalar()
+        docs = docs.withColumn("page_id", F.col("doc_id") % page_count).join(
+            pages, "page_id"
+        )
+    body = "html" if with_body else "CAST(NULL AS STRING)"
+    record = f"""filter(array(named_struct(
+        'jenis_peraturan', upper(lang),
+        'nomor_peraturan', source || '/' || doc_id,
+        'body_final', {body},
+        'peraturan_terbaru', transform(
+          filter(array(doc_id + 1), id -> doc_id % 3 = 0),
+          id -> named_struct('permalink', 'doc-' || id)),
+        'peraturan_sebelumnya', transform(
+          filter(array(doc_id - 1, doc_id - 2), id -> doc_id % 5 = 0),
+          id -> named_struct('permalink', 'doc-' || id)),
+        'peraturan_relevan', if(doc_id % 7 = 0, NULL,
+          array(named_struct('permalink', 'doc-' || (doc_id * 2)))),
+        'meta', named_struct('keywords', lang || ' ' || source)
+      )), record -> doc_id % 29 <> 0) AS data"""
+    return docs.selectExpr("'doc-' || doc_id AS permalink", record)
+
+
+def regulations(
+    spark: SparkSession, sf_dir: str, listing: DataFrame, with_body: bool = True
+) -> DataFrame:
+    details = detail_responses(spark, sf_dir, with_body)
+    return clean_regulations(with_detail(listing, details))
 
 
 def all_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,26 +154,24 @@ def qa_responses(
     With ``prose_for_system`` a response with a system turn is that turn's text,
     as if the generator had answered in prose and not in JSON.
     """
-    turns = table(spark, sf_dir, "conversations")
-    asked = F.when(F.col("role") == "assistant", F.greatest(F.col("turn") - 1, F.lit(0)))
-    placed = turns.select(
-        "conv_id", F.coalesce(asked, "turn").alias("place"), "role", "text"
-    )
-    pairs = F.expr(
-        """transform(
-             filter(sequence(0, size(items) - 1), i ->
-               i > 0 and items[i].role = 'user' and items[i - 1].role = 'assistant'
-               and items[i].place = items[i - 1].place),
-             i -> named_struct('question', items[i].text, 'answer', items[i - 1].text))"""
+    placed = table(spark, sf_dir, "conversations").selectExpr(
+        "'doc-' || conv_id AS permalink",
+        "if(role = 'assistant', greatest(turn - 1, 0), turn) AS place",
+        "role",
+        "text",
     )
-    body = F.to_json(F.struct(pairs.alias("qa_list")))
+    body = """to_json(named_struct('qa_list', transform(
+        filter(sequence(0, size(items) - 1), i ->
+          i > 0 and items[i].role = 'user' and items[i - 1].role = 'assistant'
+          and items[i].place = items[i - 1].place),
+        i -> named_struct('question', items[i].text, 'answer', items[i - 1].text))))"""
     if prose_for_system:
-        system = F.filter("items", lambda item: item.role == "system")
-        body = F.coalesce(F.get(system, F.lit(0))["text"], body)
+        system = "filter(items, item -> item.role = 'system')"
+        body = f"coalesce(get({system}, 0).text, {body})"
     return (
-        placed.groupBy("conv_id", F.floor(F.col("place") / turns_per_part).alias("part"))
+        placed.groupBy("permalink", F.expr(f"place div {turns_per_part}").alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("items"))
-        .select(_permalink(F.col("conv_id")).alias(KEY), "part", body.alias("body"))
+        .selectExpr("permalink", "part", f"{body} AS body")
     )
 
 
@@ -218,7 +206,7 @@ def halves(text: str) -> str:
 
 
 def embed(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
-    """Give vector records an embedding, chosen by a hash-free rule on the id."""
+    """Give vector records an embedding, chosen by the numbers in their id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     count = table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
     numbers = F.regexp_extract_all("id", F.lit(r"(\d+)"), F.lit(1))
@@ -233,7 +221,8 @@ def embed(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
 
 def vector_table(spark: SparkSession, sf_dir: str, listing: DataFrame) -> DataFrame:
     """Vector records, without embeddings, of a listing's documents."""
-    return vector_documents(qa_table(spark, sf_dir), regulations(spark, sf_dir, listing))
+    about = regulations(spark, sf_dir, listing, with_body=False)
+    return vector_documents(qa_table(spark, sf_dir), about)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

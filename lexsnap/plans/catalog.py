@@ -30,7 +30,7 @@ from lexsnap.schemas import (
 from lexsnap.session import materialize, scratch_path
 from lexsnap.sources import tables as S
 from lexsnap.sources.listing import listing_rows, missing_pages, read_listing_pages
-from lexsnap.streaming.snapshot_sync import announce, sync_stream
+from lexsnap.streaming import snapshot_sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -333,13 +333,13 @@ def snapshot_merge(spark, d):
 
 
 @query
-def sync_stream_tables(spark, d):
+def sync_stream(spark, d):
     """Both snapshots, announced one after the other and synced by a stream."""
     base = scratch_path(spark, "sync")
     snapshots = {"1-old": A.listing_old(spark, d), "2-new": A.listing_new(spark, d)}
     for name, rows in snapshots.items():
         S.write_json(rows, f"{base}/landed/{name}")
-        announce(spark, f"{base}/announced", name, f"{base}/landed/{name}")
+        snapshot_sync.announce(spark, f"{base}/announced", name, f"{base}/landed/{name}")
 
     def sync(snapshot_id: str, path: str) -> None:
         sync_snapshot(
@@ -352,7 +352,10 @@ def sync_stream_tables(spark, d):
             embed=lambda records: A.embed(spark, d, records),
         )
 
-    sync_stream(spark, f"{base}/announced", f"{base}/checkpoint", sync).awaitTermination()
+    stream = snapshot_sync.sync_stream(
+        spark, f"{base}/announced", f"{base}/checkpoint", sync
+    )
+    stream.awaitTermination()
     tables = read_tables(spark, f"{base}/tables")
     per_document = (
         tables["vectors"].groupBy("metadata.permalink").agg(F.count("*").alias("records"))
@@ -506,8 +509,8 @@ def vector_upsert(spark, d):
 @query
 def vector_metadata_update(spark, d):
     old, new = A.snapshots(spark, d)
-    stored = A.regulations(spark, d, old)
-    changed = C.updated(C.snapshot_diff(stored, new), stored)
+    stored = A.regulations(spark, d, old, with_body=False)
+    changed = C.updated(C.snapshot_diff(old, new), stored)
     return flattened_vectors(V.update_metadata(A.vector_table(spark, d, old), changed))
 
 
@@ -529,9 +532,10 @@ def vector_get_where(spark, d):
 def vector_sync(spark, d):
     """Upsert, metadata update and delete in one pass."""
     old, new = A.snapshots(spark, d)
-    stored = A.regulations(spark, d, old)
+    stored = A.regulations(spark, d, old, with_body=False)
     changes = materialize(C.snapshot_diff(old, new), "changes")
-    fresh = C.with_details(changes.filter("op = 'insert'"), A.detail_responses(spark, d))
+    details = A.detail_responses(spark, d, with_body=False)
+    fresh = C.with_details(changes.filter("op = 'insert'"), details)
     records = V.vector_documents(A.qa_table(spark, d), fresh)
     merged = V.apply_changes(
         A.vector_table(spark, d, old),
@@ -574,10 +578,13 @@ def knn_lsh(spark, d):
     docs = A.table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = A.questions(spark, d)
     index = nearest.build_lsh_index(
-        docs, scratch_path(spark, "lsh"), VECTOR_DIM, id_col="vec_id"
+        docs, scratch_path(spark, "lsh"), VECTOR_DIM, id_col="vec_id", bits=4
     )
     found = materialize(
-        nearest.nearest_lsh(index, asked, NEIGHBOURS, VECTOR_DIM, id_col="vec_id"), "lsh"
+        nearest.nearest_lsh(
+            index, asked, NEIGHBOURS, VECTOR_DIM, id_col="vec_id", bits=4
+        ),
+        "lsh",
     )
     exact = nearest.nearest(docs, asked, NEIGHBOURS, id_col="vec_id")
     measured = nearest.recall(exact, found, "query_id", "vec_id")

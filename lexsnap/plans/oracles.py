@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexsnap.operators.nearest import hyperplanes
 from lexsnap.operators.qa import FAILED_QUESTION
 from lexsnap.plans.adapters import SHORT_PART, TURNS_PER_PART
 
@@ -213,6 +214,27 @@ def _generated(text: str, key: str) -> str:
       UNION ALL SELECT {key}, 1, NULL, NULL FROM {{source}} WHERE {text} IS NULL"""
 
 
+def _codes(table: str, key: str) -> str:
+    """Rows ``(key, tbl, code)``: sign patterns against the fixed directions."""
+    planes = hyperplanes(64, 4, 4, 42).tolist()
+    return f"""
+      SELECT {key}, tbl, list_sum(list_transform(range(1, 5), lambda b:
+          CASE WHEN list_dot_product(e, p[b]) > 0 THEN 1 << (b - 1) ELSE 0 END)) AS code
+      FROM (SELECT {key}, CAST(embedding AS DOUBLE[]) AS e FROM {table}),
+        (SELECT unnest(range(4)) AS tbl, unnest({planes}) AS p)"""
+
+
+_NEAR_LSH = f"""
+  SELECT query_id, rank, vec_id, distance FROM (
+    SELECT query_id, vec_id, distance,
+      row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+    FROM (SELECT m.query_id, m.vec_id,
+        {_distance("d.embedding", "q.embedding")} AS distance
+      FROM (SELECT DISTINCT a.query_id, c.vec_id FROM ({_codes("asked", "query_id")}) a
+          JOIN ({_codes("embeddings", "vec_id")}) c USING (tbl, code)) m
+        JOIN asked q USING (query_id) JOIN embeddings d USING (vec_id)))
+  WHERE rank <= 5"""
+
 _RETRIEVED = f"""
   SELECT h.query_id, h.rank, v.* EXCLUDE (embedding)
   FROM ({_neighbours("vectors", "id", 3)}) h JOIN vectors v USING (id)"""
@@ -312,7 +334,7 @@ BODIES = {
     "changes_update": f"SELECT {LISTING}, {DETAIL} FROM upd",
     "changes_delete": "SELECT permalink FROM del",
     "snapshot_merge": f"SELECT {LISTING}, {DETAIL} FROM merged",
-    "sync_stream_tables": """
+    "sync_stream": """
       SELECT m.permalink, m.perihal, m.tanggal_efektif, m.status_dokumen, m.topik,
         m.jenis_peraturan, m.nomor_peraturan,
         CAST(t.records AS BIGINT) AS records
@@ -396,6 +418,13 @@ BODIES = {
     "knn_topk_filtered": "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ("
     + _neighbours("(SELECT * FROM vectors WHERE status_dokumen = 'Berlaku')", "id", 5)
     + ")",
+    "knn_lsh": f"""
+      SELECT f.query_id, f.rank, f.vec_id, round(f.distance, 6) AS distance, r.recall
+      FROM ({_NEAR_LSH}) f LEFT JOIN (
+        SELECT x.query_id, count(l.vec_id) / count(*) AS recall
+        FROM ({_neighbours("embeddings", "vec_id", 5)}) x
+          LEFT JOIN ({_NEAR_LSH}) l USING (query_id, vec_id)
+        GROUP BY x.query_id) r USING (query_id)""",
     "topic_labels": """
       SELECT b.permalink, b.topik, coalesce(l.topik_labels, '') AS topik_labels
       FROM base b LEFT JOIN labelled l USING (topik)""",

@@ -12,7 +12,7 @@ from lexsnap.operators.changes import (
     change_summary,
     deleted,
     inserted,
-    require_unique_keys,
+    require_keys,
     snapshot_diff,
     snapshot_merge,
     updated,
@@ -60,7 +60,7 @@ def sync_snapshot(
     old_vectors = read_version(spark, current, "vectors", VECTOR_DOCUMENT)
 
     new = materialize(ingest_listing(listing), "listing")
-    require_unique_keys(new)
+    require_keys(new, unique=False)
 
     # Each change set is written once: it feeds several tables, and the joins
     # below are planned by its true size.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -52,6 +51,7 @@ def workspace(spark: SparkSession) -> str:
     folder made, once per application.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
     app_id = spark.sparkContext.applicationId
@@ -64,7 +64,7 @@ def workspace(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the workspace."""
-    return os.path.join(workspace(spark), "lexsnap", f"{label}-{uuid.uuid4().hex}")
+    return f"{workspace(spark)}/lexsnap/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
