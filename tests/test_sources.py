@@ -1,0 +1,205 @@
+"""Sources, sinks and published versions."""
+
+from __future__ import annotations
+
+import json
+import os
+from types import SimpleNamespace
+
+import pytest
+from page_reader_fixture import ROWS
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from lexsnap.schemas import LISTING
+from lexsnap.session import scratch_path, shuffle_partitions_for, workspace
+from lexsnap.sources import tables as S
+from lexsnap.sources.listing import (
+    PagedListingSource,
+    listing_rows,
+    missing_pages,
+    read_listing_pages,
+)
+from lexsnap.sources.versions import current_version, publish, read_version
+
+AWKWARD = [
+    (1, 'comma, "quote" and\nnewline'),
+    (2, "carriage\rreturn\r\nboth"),
+    (3, ""),
+    (4, None),
+    (5, "  spaces kept  "),
+    (6, "back\\slash, ünï \\N"),
+    (7, '"'),
+]
+
+
+def test_csv_keeps_awkward_text(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, "n long, x string")
+    S.write_csv(df, str(tmp_path / "t.csv"))
+    back = S.read_csv(spark, str(tmp_path / "t.csv"), df.schema)
+    assert sorted(map(tuple, back.collect())) == AWKWARD
+
+
+def test_json_keeps_awkward_text(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, "n long, x string")
+    S.write_json(df, str(tmp_path / "t.json"))
+    back = S.read_json(spark, str(tmp_path / "t.json"), df.schema)
+    assert sorted(map(tuple, back.collect())) == AWKWARD
+
+
+def test_json_array_of_rows(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text(json.dumps([{"a": 1, "b": "x"}, {"a": 2}], indent=1))
+    rows = S.load_table(spark, str(path), "a long, b string", array_of_rows=True)
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, "x"), (2, None)]
+
+
+def test_load_table_by_suffix(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x, y"\n2,\n3,""\n')
+    table = S.load_table(spark, str(tmp_path / "t.csv"), "a long, b string", cache=True)
+    assert table.is_cached
+    assert [tuple(r) for r in table.collect()] == [(1, "x, y"), (2, None), (3, "")]
+    table.unpersist()
+    with pytest.raises(ValueError, match="Unsupported file extension"):
+        S.load_table(spark, "t.xlsx", "a long")
+
+
+def test_bad_rows_are_errors(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a\nx\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        S.read_csv(spark, str(tmp_path / "t.csv"), "a long").collect()
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([(1, '{"k": 5}'), (2, None)], "id long, props string")
+    got = S.json_rows(df, "props", "k long").collect()
+    assert [tuple(r) for r in got] == [(1, 5), (2, None)]
+
+
+def test_stage_once_runs_once(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    assert S.stage_once(spark.range(3), path).count() == 3
+    failing = spark.range(9).select(F.raise_error(F.lit("must not run")).cast("long").alias("id"))
+    assert S.stage_once(failing, path).count() == 3
+
+
+def test_promote_refuses_to_overwrite(spark, tmp_path):
+    source, target = str(tmp_path / "clean"), str(tmp_path / "final")
+    spark.range(4).write.parquet(source)
+    assert S.promote(spark, source, target).count() == 4
+    with pytest.raises(AnalysisException):
+        S.promote(spark, source, target)
+
+
+def test_write_batches_caps_rows_per_file(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    S.write_batches(spark.range(10, numPartitions=2), path, max_rows=3)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count()
+    sizes = sorted(r["count"] for r in files.collect())
+    assert sum(sizes) == 10 and max(sizes) <= 3
+
+
+def envelope(page, total, rows):
+    return {"page": page, "data": {"search_data": rows}, "pagination": {"total_page": total}}
+
+
+def test_pages_and_missing_pages(spark, tmp_path):
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    pages = {1: ROWS[:5], 2: ROWS[5:10], 4: ROWS[15:20]}
+    for page, rows in pages.items():
+        (lines / f"{page}.json").write_text(json.dumps(envelope(page, 5, rows)) + "\n")
+    read = read_listing_pages(spark, str(lines))
+    assert listing_rows(read).count() == 15
+    assert listing_rows(read).schema == LISTING
+    assert sorted(r[0] for r in missing_pages(read).collect()) == [3, 5]
+
+    single = tmp_path / "single"
+    single.mkdir()
+    for page, rows in pages.items():
+        text = json.dumps(envelope(page, 5, rows), indent=2)
+        (single / f"{page}.json").write_text(text)
+    whole = read_listing_pages(spark, str(single), one_page_per_file=True)
+    assert whole.exceptAll(read).isEmpty() and whole.count() == 3
+
+
+@pytest.mark.parametrize("total", [1, 4096, 4097, 10000])
+def test_missing_pages_over_many_blocks(spark, total):
+    pages = spark.createDataFrame([(1, (total,))], "page long, pagination struct<total_page:long>")
+    got = sorted(r[0] for r in missing_pages(pages).collect())
+    assert got == list(range(2, total + 1))
+
+
+def test_broken_page_is_an_error(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"page": 1, "data": {"search_da')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_listing_pages(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("limit,per_task,tasks", [(5, 1, 5), (4, 2, 3), (100, 1, 1)])
+def test_paged_source(spark, limit, per_task, tasks):
+    spark.sparkContext.addPyFile(
+        os.path.join(os.path.dirname(__file__), "page_reader_fixture.py")
+    )
+    spark.dataSource.register(PagedListingSource)
+    df = (
+        spark.read.format("paged_listing")
+        .option("page_reader", "page_reader_fixture:read_page")
+        .option("limit", limit)
+        .option("pages_per_task", per_task)
+        .load()
+    )
+    assert df.schema == LISTING
+    assert df.rdd.getNumPartitions() == tasks
+    got = sorted((r["permalink"], r["topik"] is None) for r in df.collect())
+    assert got == sorted((r["permalink"], r["topik"] is None) for r in ROWS)
+
+
+def test_versions_publish_all_or_nothing(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    assert current_version(spark, root).number == 0
+    schema = spark.range(1).schema
+    assert read_version(spark, current_version(spark, root), "a", schema).isEmpty()
+
+    publish(spark, root, {"a": spark.range(3), "b": spark.range(1)}, "s1")
+    first = current_version(spark, root)
+    assert (first.number, first.snapshot_id) == (1, "s1")
+
+    failing = spark.range(2).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        publish(spark, root, {"a": spark.range(9), "b": failing}, "s2")
+    assert current_version(spark, root) == first
+    assert read_version(spark, first, "a", schema).count() == 3
+
+    # The old version can be read while the next one is made from it.
+    grown = read_version(spark, first, "a", schema).union(spark.range(10, 12))
+    publish(spark, root, {"a": grown, "b": spark.range(1)}, "s2")
+    second = current_version(spark, root)
+    assert (second.number, second.snapshot_id) == (2, "s2")
+    assert read_version(spark, second, "a", schema).count() == 5
+    assert read_version(spark, first, "a", schema).count() == 3
+
+
+def session_with(shared, master):
+    context = SimpleNamespace(
+        getCheckpointDir=lambda: None, applicationId=f"app-{master}", master=master
+    )
+    conf = SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": shared}[key])
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+def test_workspace_follows_the_session():
+    shared = session_with("hdfs://shared/tmp/", "yarn")
+    assert workspace(shared) == "hdfs://shared/tmp"
+    assert scratch_path(shared, "x").startswith("hdfs://shared/tmp/lexsnap/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace(session_with(None, "yarn"))
+    local = session_with(None, "local[2]")
+    assert workspace(local) == workspace(local)
+
+
+def test_shuffle_partitions_grow_with_input():
+    assert shuffle_partitions_for(1 << 20) == 8
+    assert shuffle_partitions_for(100 << 40) == 100 * (1 << 20) // 128
+
+
