@@ -21,60 +21,54 @@ from lexsnap.session import materialize
 FAILED_QUESTION = "Failed to generate."
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_RESPONSE = "array<struct<qa_list: array<struct<question: variant, answer: variant>>>>"
 
 
-def parse_response(body: Column) -> Column:
-    """``{"qa_list": [{question, answer}]}`` to a struct ``(qa_list, problem)``.
+def _is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
-    ``problem`` is null for a valid response, else ``invalid_json``,
-    ``missing_list`` or ``invalid_item`` (not an object, or a question or answer
-    that is missing or no text); the list is then null. A null body is neither.
-    The body is parsed inside an array and inside an object because a parser
-    stops at the end of the first value and would overlook text after it.
+
+def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Replace ``body``, a JSON response, by ``qa_list`` and ``problem``.
+
+    A valid response is ``{"qa_list": [{question, answer}, ...]}``. Else ``qa_list``
+    is null and ``problem`` one of ``invalid_json``, ``missing_list`` and
+    ``invalid_item`` (no object, or a question or answer that is missing or no
+    text). A null body has neither.
     """
-    loose = "array<struct<qa_list: array<struct<question: variant, answer: variant>>>>"
-    parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), loose, _STRICT)
-    in_array = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
-    listed = F.try_variant_get(in_array, "$[0].qa_list", "array<variant>")
-    items = F.get(parsed, F.lit(0)).qa_list
-
-    def is_text(value: Column) -> Column:
-        return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
-
-    valid_json = (
-        in_array.isNotNull()
-        & in_object.isNotNull()
-        & F.try_variant_get(in_array, "$[1]", "variant").isNull()
+    # A parser stops at the end of the first value and overlooks text after it.
+    # Only a single JSON value fits both into an array and into an object.
+    in_array = F.concat(F.lit("["), body, F.lit("]"))
+    in_object = F.concat(F.lit('{"v":'), body, F.lit("}"))
+    single = (F.json_array_length(in_array) == 1) & (
+        F.size(F.json_object_keys(in_object)) == 1
     )
-    valid_items = F.coalesce(
-        F.forall(items, lambda item: is_text(item.question) & is_text(item.answer)),
-        F.lit(False),
+    valid = single & F.forall(
+        "_items", lambda item: _is_text(item.question) & _is_text(item.answer)
     )
+    value = F.try_parse_json(body)
     problem = (
-        F.when(body.isNull(), F.lit(None).cast("string"))
-        .when(~valid_json, "invalid_json")
-        .when(listed.isNull(), "missing_list")
-        .when(~valid_items, "invalid_item")
+        F.when(F.col(body).isNull() | F.coalesce(valid, F.lit(False)), None)
+        .when(value.isNull() | ~F.coalesce(single, F.lit(False)), "invalid_json")
+        .when(
+            F.try_variant_get(value, "$.qa_list", "array<variant>").isNull(),
+            "missing_list",
+        )
+        .otherwise("invalid_item")
     )
     texts = F.transform(
-        items,
+        "_items",
         lambda item: F.struct(
             item.question.cast("string").alias("question"),
             item.answer.cast("string").alias("answer"),
         ),
     )
-    return F.struct(
-        F.when(problem.isNull(), texts).alias("qa_list"), problem.alias("problem")
-    )
-
-
-def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Replace ``body`` by ``qa_list`` and ``problem``."""
+    parsed = F.get(F.from_json(in_array, _RESPONSE, _STRICT), F.lit(0))
     return (
-        responses.withColumn("_parsed", parse_response(F.col(body)))
-        .withColumns({"qa_list": F.col("_parsed.qa_list"), "problem": F.col("_parsed.problem")})
-        .drop("_parsed", body)
+        responses.withColumn("_items", parsed.qa_list)
+        .withColumn("problem", problem)
+        .withColumn("qa_list", F.when(F.col("problem").isNull(), texts))
+        .drop("_items", body)
     )
 
 

@@ -25,8 +25,23 @@ TURNS_PER_PART = 64
 SHORT_PART = 2
 
 
+# Given schemas save a look into the files each time a query is built.
+TABLES = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+        "value double, props string"
+    ),
+    "benchmark": "item_id long, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def base_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +78,18 @@ def listing_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("status_dokumen", status).select(*LISTING.names)
 
 
+def old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat listing of the old snapshot."""
+    return ingest_listing(listing_old(spark, sf_dir))
+
+
+def new_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat listing of the new snapshot."""
+    return ingest_listing(listing_new(spark, sf_dir))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Flat listings of the old and the new snapshot."""
-    return (
-        ingest_listing(listing_old(spark, sf_dir)),
-        ingest_listing(listing_new(spark, sf_dir)),
-    )
+    return old_snapshot(spark, sf_dir), new_snapshot(spark, sf_dir)
 
 
 def detail_responses(

@@ -17,6 +17,7 @@ from lexsnap.plans.snapshot_jobs import (
     flattened_vectors,
     read_tables,
     sync_snapshot,
+    write_audit,
 )
 from lexsnap.schemas import (
     DETAIL_COLUMNS,
@@ -90,7 +91,7 @@ def listing_missing_pages(spark, d):
 
 @query
 def detail_enrich_join(spark, d):
-    rows = listing.ingest_listing(A.listing_old(spark, d))
+    rows = A.old_snapshot(spark, d)
     enriched = regulations.with_detail(rows, A.detail_responses(spark, d))
     return enriched.select(
         KEY,
@@ -143,7 +144,7 @@ def load_table_dispatch(spark, d):
 @query
 def promote_snapshot(spark, d):
     clean = scratch_path(spark, "regulation-clean")
-    old, _ = A.snapshots(spark, d)
+    old = A.old_snapshot(spark, d)
     A.regulations(spark, d, old).write.parquet(clean)
     return S.promote(spark, clean, scratch_path(spark, "regulation"))
 
@@ -159,7 +160,7 @@ def stage_once(spark, d):
 
 @query
 def vector_batches(spark, d):
-    old, _ = A.snapshots(spark, d)
+    old = A.old_snapshot(spark, d)
     ids = A.vector_table(spark, d, old).select("id")
     return (
         numbering.batch_number(ids, [F.asc("id")], BATCH_ROWS)
@@ -177,12 +178,17 @@ def changeset_audit(spark, d):
     old, new = A.snapshots(spark, d)
     stored = A.regulations(spark, d, old)
     changes = materialize(C.snapshot_diff(old, new), "changes")
-    base = scratch_path(spark, "audit")
-    read = []
-    for name, rows in audit_tables(changes, stored).items():
-        S.write_json(rows, f"{base}/_{name}.json")
-        back = S.load_table(spark, f"{base}/_{name}.json", REGULATION)
-        read.append(back.select(F.lit(name).alias("change_set"), *REGULATION_COLUMNS))
+    path = scratch_path(spark, "audit")
+    change_sets = audit_tables(
+        C.inserted(changes), C.updated(changes, stored), C.deleted(changes)
+    )
+    write_audit(change_sets, path)
+    read = [
+        S.load_table(spark, f"{path}/{name}.json", REGULATION).select(
+            F.lit(name).alias("change_set"), *REGULATION_COLUMNS
+        )
+        for name in change_sets
+    ]
     return read[0].unionByName(read[1]).unionByName(read[2])
 
 
@@ -286,7 +292,7 @@ def relation_default(spark, d):
 
 @query
 def regulation_clean(spark, d):
-    old, _ = A.snapshots(spark, d)
+    old = A.old_snapshot(spark, d)
     return A.regulations(spark, d, old)
 
 
@@ -470,7 +476,7 @@ def running_count(spark, d):
 @query
 def qa_enrich(spark, d):
     """QA items of the new snapshot's documents, failed ones marked."""
-    _, new = A.snapshots(spark, d)
+    new = A.new_snapshot(spark, d)
     documents = qa.plain_text(A.regulations(spark, d, new))
     return qa.explode_qa(_generate(documents))
 
@@ -494,7 +500,7 @@ def failed_regenerate(spark, d):
 
 @query
 def vector_documents(spark, d):
-    old, _ = A.snapshots(spark, d)
+    old = A.old_snapshot(spark, d)
     return flattened_vectors(A.vector_table(spark, d, old))
 
 
@@ -502,7 +508,7 @@ def vector_documents(spark, d):
 def vector_upsert(spark, d):
     """Records of the new snapshot over those of the old one."""
     old, new = A.snapshots(spark, d)
-    records = A.vector_table(spark, d, new)
+    records = materialize(A.vector_table(spark, d, new), "records")
     return flattened_vectors(V.upsert(A.vector_table(spark, d, old), records))
 
 
@@ -510,21 +516,23 @@ def vector_upsert(spark, d):
 def vector_metadata_update(spark, d):
     old, new = A.snapshots(spark, d)
     stored = A.regulations(spark, d, old, with_body=False)
-    changed = C.updated(C.snapshot_diff(old, new), stored)
+    changes = materialize(C.snapshot_diff(old, new), "changes")
+    changed = materialize(C.updated(changes, stored), "changed")
     return flattened_vectors(V.update_metadata(A.vector_table(spark, d, old), changed))
 
 
 @query
 def vector_delete(spark, d):
     old, new = A.snapshots(spark, d)
-    gone = C.deleted(C.snapshot_diff(old, new))
+    gone = C.deleted(materialize(C.snapshot_diff(old, new), "changes"))
     return flattened_vectors(V.delete_where_in(A.vector_table(spark, d, old), gone))
 
 
 @query
 def vector_get_where(spark, d):
     old, new = A.snapshots(spark, d)
-    changed = C.snapshot_diff(old, new).filter("op = 'update'").select(KEY)
+    changes = materialize(C.snapshot_diff(old, new), "changes")
+    changed = changes.filter("op = 'update'").select(KEY)
     return flattened_vectors(V.get_where_in(A.vector_table(spark, d, old), changed))
 
 
@@ -536,12 +544,10 @@ def vector_sync(spark, d):
     changes = materialize(C.snapshot_diff(old, new), "changes")
     details = A.detail_responses(spark, d, with_body=False)
     fresh = C.with_details(changes.filter("op = 'insert'"), details)
-    records = V.vector_documents(A.qa_table(spark, d), fresh)
+    records = materialize(V.vector_documents(A.qa_table(spark, d), fresh), "records")
+    changed = materialize(C.updated(changes, stored), "changed")
     merged = V.apply_changes(
-        A.vector_table(spark, d, old),
-        records,
-        C.updated(changes, stored),
-        C.deleted(changes),
+        A.vector_table(spark, d, old), records, changed, C.deleted(changes)
     )
     return flattened_vectors(merged)
 
@@ -561,7 +567,7 @@ def knn_topk(spark, d):
 
 
 def _vectors(spark, d):
-    old, _ = A.snapshots(spark, d)
+    old = A.old_snapshot(spark, d)
     return materialize(A.embed(spark, d, A.vector_table(spark, d, old)), "vectors")
 
 

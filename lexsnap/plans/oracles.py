@@ -271,11 +271,11 @@ BODIES = {
       FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM vec_old)
       GROUP BY batch""",
     "changeset_audit": f"""
-      SELECT 'new' AS change_set, {LISTING}, '' AS jenis_peraturan, '' AS nomor_peraturan,
+      SELECT '_new' AS change_set, {LISTING}, '' AS jenis_peraturan, '' AS nomor_peraturan,
         '' AS body_final, '' AS peraturan_terbaru, '' AS peraturan_sebelumnya,
         '' AS peraturan_relevan, '' AS keywords FROM ins
-      UNION ALL SELECT 'update', {LISTING}, {DETAIL} FROM upd
-      UNION ALL SELECT 'delete', permalink, {", ".join(["NULL"] * 11)} FROM del""",
+      UNION ALL SELECT '_update', {LISTING}, {DETAIL} FROM upd
+      UNION ALL SELECT '_delete', permalink, {", ".join(["NULL"] * 11)} FROM del""",
     "listing_dedup": """
       SELECT permalink, perihal, strftime(tanggal_efektif, '%d-%m-%Y') AS tanggal_efektif,
         CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'Diubah'

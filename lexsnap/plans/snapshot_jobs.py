@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexsnap.operators import vectors as V
 from lexsnap.operators.changes import (
     change_summary,
     deleted,
-    inserted,
     require_keys,
     snapshot_diff,
     snapshot_merge,
@@ -23,8 +23,13 @@ from lexsnap.operators.qa import explode_qa, plain_text
 from lexsnap.operators.regulations import topic_dimension
 from lexsnap.schemas import KEY, QA, REGULATION, TOPIC, VECTOR_DOCUMENT
 from lexsnap.session import materialize
+from lexsnap.sources.tables import write_json
 from lexsnap.sources.versions import Version, current_version, publish, read_version
 
+CHANGE_COUNTS = T.StructType(
+    [T.StructField("op", T.StringType()), T.StructField("n", T.LongType())]
+)
+
 Plugin = Callable[[DataFrame], DataFrame]
 
 
@@ -67,7 +72,7 @@ def sync_snapshot(
     changes = materialize(snapshot_diff(old, new), "changes")
     renewed = "op in ('insert', 'update')" if refresh_updates else "op = 'insert'"
     fresh = materialize(with_details(changes.filter(renewed), responses), "fresh")
-    changed = updated(changes, old)
+    changed = materialize(updated(changes, old), "changed")
     gone = deleted(changes)
 
     fresh_qa = materialize(explode_qa(generate(plain_text(fresh))), "qa")
@@ -76,9 +81,10 @@ def sync_snapshot(
     if refresh_updates:
         # All records of a renewed document give way to its new ones.
         dropped = changes.filter("op in ('update', 'delete')").select(KEY)
-        changed = changed.limit(0)
-        old_vectors = V.delete_where_in(old_vectors, dropped)
-    vectors = V.apply_changes(old_vectors, records, changed, gone)
+        kept_vectors = V.delete_where_in(old_vectors, dropped)
+        vectors = V.upsert(kept_vectors, records)
+    else:
+        vectors = V.apply_changes(old_vectors, records, changed, gone)
     qa = old_qa.join(dropped, KEY, "left_anti").unionByName(fresh_qa)
 
     tables = {
@@ -88,16 +94,22 @@ def sync_snapshot(
         "vectors": vectors.select(*VECTOR_DOCUMENT.names),
         "change_counts": change_summary(changes).filter("op <> 'same'"),
     }
+    write_audit(audit_tables(fresh, changed, gone), f"{root}/audit/{snapshot_id}")
     return publish(spark, root, tables, snapshot_id)
 
 
-def audit_tables(changes: DataFrame, old: DataFrame) -> dict[str, DataFrame]:
-    """The change sets by name, as they are kept for audit."""
-    return {
-        "new": inserted(changes),
-        "update": updated(changes, old),
-        "delete": deleted(changes),
-    }
+def audit_tables(
+    fresh: DataFrame, changed: DataFrame, gone: DataFrame
+) -> dict[str, DataFrame]:
+    """The change sets under the names by which they are kept for audit."""
+    return {"_new": fresh, "_update": changed, "_delete": gone}
+
+
+def write_audit(change_sets: dict[str, DataFrame], path: str) -> None:
+    """Keep each change set that is not empty as JSON; a repeated run rewrites it."""
+    for name, rows in change_sets.items():
+        if not rows.isEmpty():
+            write_json(rows, f"{path}/{name}.json", mode="overwrite")
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -108,6 +120,7 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "topic": TOPIC,
         "qa": QA,
         "vectors": VECTOR_DOCUMENT,
+        "change_counts": CHANGE_COUNTS,
     }
     return {
         name: read_version(spark, version, name, schema)

@@ -208,6 +208,14 @@ def test_sync_job(spark, tmp_path):
     }
     assert qa == [(k, i) for k in "abe" for i in (1, 2)]
 
+    counts = {r["op"]: r["n"] for r in read_tables(spark, root)["change_counts"].collect()}
+    assert counts == {"insert": 1, "update": 1, "delete": 1}
+    audit = {
+        name: [r["permalink"] for r in spark.read.json(f"{root}/audit/2024-01-02/{name}.json").collect()]
+        for name in ("_new", "_update", "_delete")
+    }
+    assert audit == {"_new": ["e"], "_update": ["b"], "_delete": ["c"]}
+
     # The same snapshot again, and an older one, change nothing.
     version = current_version(spark, root)
     run(spark, root, "2024-01-02", SECOND)
