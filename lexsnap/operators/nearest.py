@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexsnap.session import materialize
-
 # Largest query set sent to every task.
 MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 128 << 20
@@ -37,19 +37,27 @@ class _Best:
         self.ids: list[np.ndarray | None] = [None] * len(vectors)
         self.limits = np.full(len(vectors), np.inf)
 
-    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+    def add(
+        self,
+        ids: np.ndarray,
+        matrix: np.ndarray,
+        admitted: Callable[[slice], np.ndarray] | None = None,
+    ) -> None:
+        """Take in records; ``admitted`` masks them per block of queries."""
         norms = np.einsum("ij,ij->i", matrix, matrix)
         largest = norms.max(initial=0.0)
         for start in range(0, len(self.vectors), _BLOCK):
             block = slice(start, start + _BLOCK)
             rough = norms - 2.0 * (self.vectors[block] @ matrix.T)
             rough += self.norms[block, None]
+            if admitted is not None:
+                rough[~admitted(block)] = np.inf
             slack = 1e-9 * (largest + self.norms[block])
             limit = self.limits[block]
             if len(ids) > self.k:
                 kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
                 limit = np.minimum(limit, kth + slack)
-            near = rough <= (limit + slack)[:, None]
+            near = (rough <= (limit + slack)[:, None]) & np.isfinite(rough)
             for q in np.flatnonzero(near.any(axis=1)):
                 rows = np.flatnonzero(near[q])
                 self._keep(start + q, ids[rows], matrix[rows])
@@ -73,6 +81,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _batches(best: _Best, query_ids: pa.Array, names: list) -> Iterator[pa.RecordBatch]:
+    for q, ids in enumerate(best.ids):
+        if ids is not None:
+            columns = [
+                pa.array([query_ids[q].as_py()] * len(ids), query_ids.type),
+                pa.array(ids),
+                pa.array(best.distances[q]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _sendable(queries: DataFrame, max_rows: int) -> pa.Table | None:
+    """All queries, if they are few and small enough to go to every task."""
+    sent = queries.limit(max_rows + 1).toArrow()
+    if sent.num_rows > max_rows or sent.nbytes > MAX_SENT_BYTES:
+        return None
+    return sent.combine_chunks()
+
+
 def _ranked(found: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     order = Window.partitionBy(query_id).orderBy("distance", id_col)
     return (
@@ -108,8 +139,8 @@ def nearest(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    sent = queries.limit(max_sent_queries + 1).toArrow()
-    if sent.num_rows <= max_sent_queries and sent.nbytes <= MAX_SENT_BYTES:
+    sent = _sendable(queries, max_sent_queries)
+    if sent is not None:
         found = _scan(docs, sent, k, id_col, query_id, vector, schema)
     else:
         found = _grid(docs, queries, k, id_col, query_id, vector, schema, max_sent_queries)
@@ -120,28 +151,16 @@ def _scan(docs, sent, k, id_col, query_id, vector, schema) -> DataFrame:
     spark = docs.sparkSession
     if sent.num_rows == 0:
         return spark.createDataFrame([], schema)
-    query_ids = sent[query_id].to_pylist()
+    query_ids = sent[query_id].combine_chunks()
     # A broadcast, because a closure would be sent with every task.
     query_matrix = spark.sparkContext.broadcast(_matrix(sent[vector]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(query_matrix.value, k)
-        id_type = None
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column(id_col)
-                id_type = ids.type
-                best.add(ids.to_numpy(zero_copy_only=False), _matrix(batch.column(vector)))
-        for q, ids in enumerate(best.ids):
-            if ids is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([query_ids[q]] * len(ids)),
-                        pa.array(ids, id_type),
-                        pa.array(best.distances[q]),
-                    ],
-                    [query_id, id_col, "distance"],
-                )
+                best.add(_values(batch.column(id_col)), _matrix(batch.column(vector)))
+        yield from _batches(best, query_ids, schema.names)
 
     return docs.mapInArrow(scan, schema)
 
@@ -192,28 +211,11 @@ def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
-def _with_codes(df: DataFrame, planes: np.ndarray, vector: str) -> DataFrame:
-    """Add ``codes``: per table, the signs of the projections as one number."""
+def _sign_codes(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Per row and table, the signs of the projections as one number."""
     tables, bits, dim = planes.shape
-    flat = planes.reshape(tables * bits, dim)
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]
-    )
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            signs = (_matrix(batch.column(vector)) @ flat.T) > 0
-            codes = signs.reshape(-1, tables, bits) @ weights
-            offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(offsets, codes.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, lists], [*batch.schema.names, "codes"]
-            )
-
-    return df.mapInArrow(encode, schema)
+    signs = (matrix @ planes.reshape(tables * bits, dim).T) > 0
+    return signs.reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def build_lsh_index(
@@ -230,16 +232,27 @@ def build_lsh_index(
 
     A search then reads only the directories of its own codes.
     """
+    docs = docs.select(id_col, vector).filter(F.col(vector).isNotNull())
     planes = hyperplanes(dim, tables, bits, seed)
-    coded = _with_codes(
-        docs.select(id_col, vector).filter(F.col(vector).isNotNull()), planes, vector
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]
     )
-    placed = coded.select(
-        id_col, vector, "codes", F.posexplode("codes").alias("tbl", "code")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = _sign_codes(_matrix(batch.column(vector)), planes)
+                offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(offsets, codes.ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, lists], [*batch.schema.names, "codes"]
+                )
+
+    placed = docs.mapInArrow(encode, schema).select(
+        "*", F.posexplode("codes").alias("tbl", "code")
     )
     placed.write.partitionBy("tbl", "code").mode("errorifexists").parquet(path)
-    schema = placed.schema
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def nearest_lsh(
@@ -253,43 +266,60 @@ def nearest_lsh(
     tables: int = 4,
     bits: int = 6,
     seed: int = 42,
+    max_sent_queries: int = MAX_SENT_QUERIES,
 ) -> DataFrame:
     """Approximate k nearest: the nearest among records that share a code.
 
-    An optional, faster search over a stored index; it can miss neighbours (see
-    ``recall``), and ``nearest`` is the exact one. A record is measured in the
-    first table where it meets the query only, so no pair occurs twice.
+    An optional search over a stored index, which reads only the directories of
+    the queries' codes. It can miss neighbours (see ``recall``); ``nearest`` is the
+    exact search, and the one used here for more queries than can be sent to each
+    task. As there, a task hands on k rows per query, however full a directory
+    is. A record counts in the first table where it meets the query.
     """
-    planes = hyperplanes(dim, tables, bits, seed)
-    coded = _with_codes(
-        queries.select(query_id, vector).filter(F.col(vector).isNotNull()), planes, vector
-    )
-    # Written first, so that the planner knows the size and broadcasts the
-    # queries only when they are small.
-    probes = materialize(
-        coded.select(
-            query_id,
-            F.col(vector).alias("_query"),
-            F.col("codes").alias("_codes"),
-            F.posexplode("codes").alias("_tbl", "_code"),
+    queries = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
+    sent = _sendable(queries, max_sent_queries)
+    if sent is None or sent.num_rows == 0:
+        once = index.filter("tbl = 0")
+        return nearest(once, queries, k, id_col, query_id, vector, max_sent_queries)
+
+    query_ids = sent[query_id].combine_chunks()
+    query_codes = _sign_codes(_matrix(sent[vector]), hyperplanes(dim, tables, bits, seed))
+    # At most 2 ** bits codes per table, whatever the number of queries.
+    wanted = reduce(
+        or_,
+        (
+            (F.col("tbl") == t) & F.col("code").isin(np.unique(query_codes[:, t]).tolist())
+            for t in range(tables)
         ),
-        "lsh-probes",
     )
-    met = (F.col("tbl") == F.col("_tbl")) & (F.col("code") == F.col("_code"))
-    earlier = F.exists(
-        F.slice(F.zip_with("codes", "_codes", lambda a, b: a == b), F.lit(1), F.col("tbl")),
-        lambda same: same,
-    )
-    squares = F.zip_with(
-        vector, "_query", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)
-    )
-    distance = F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
-    found = (
-        index.join(probes, met)
-        .filter((F.col("tbl") == 0) | ~earlier)
-        .select(query_id, id_col, distance.alias("distance"))
+    schema = T.StructType(
+        [
+            queries.schema[query_id],
+            index.schema[id_col],
+            T.StructField("distance", T.DoubleType()),
+        ]
     )
-    return _ranked(found, query_id, id_col, k)
+    shared = index.sparkSession.sparkContext.broadcast((_matrix(sent[vector]), query_codes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_matrix, asked = shared.value
+        best = _Best(query_matrix, k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = _matrix(batch.column("codes")).astype(np.int64)
+            table = _values(batch.column("tbl"))
+
+            def admitted(block: slice) -> np.ndarray:
+                same = asked[block, None, :] == codes[None, :, :]
+                return same.any(axis=2) & (same.argmax(axis=2) == table[None, :])
+
+            ids, matrix = _values(batch.column(id_col)), _matrix(batch.column(vector))
+            best.add(ids, matrix, admitted)
+        yield from _batches(best, query_ids, schema.names)
+
+    found = index.filter(wanted).select(id_col, vector, "codes", "tbl")
+    return _ranked(found.mapInArrow(scan, schema), query_id, id_col, k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, query_id: str, id_col: str):

@@ -176,3 +176,17 @@ def test_lsh_finds_itself_and_measures_recall(spark, tmp_path):
     wide = N.build_lsh_index(docs, str(tmp_path / "wide"), 64, tables=24, bits=1)
     all_found = N.nearest_lsh(wide, queries, 5, 64, tables=24, bits=1)
     assert [r[:3] for r in rows_of(all_found)] == [r[:3] for r in rows_of(exact)]
+
+
+def test_lsh_reads_only_wanted_codes_and_falls_back(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), "embedding"
+    )
+    queries = docs.filter("id < 3").withColumnRenamed("id", "query_id")
+    index = N.build_lsh_index(docs, str(tmp_path / "index"), 64, bits=4)
+    found = N.nearest_lsh(index, queries, 5, 64, bits=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((" in plan
+    assert "Join" not in plan
+    many = N.nearest_lsh(index, queries, 5, 64, bits=4, max_sent_queries=2)
+    assert rows_of(many) == rows_of(N.nearest(docs, queries, 5))
