@@ -10,51 +10,60 @@ from pyspark.sql import functions as F
 from lexsnap.session import materialize
 
 
-def running_count(
+def running_sum(
     df: DataFrame,
     key: str,
     order: str,
-    out: str = "id",
+    value: Column,
+    out: str,
     rows_per_slice: int = 1 << 20,
     slice_by: Column | None = None,
 ) -> DataFrame:
-    """1-based running count of non-null keys per key, in ``order``.
+    """Running sum of ``value`` per key, in ``order``, the row itself included.
 
     ``order`` is a whole number, unique within its key. A key's rows are cut
-    into slices along it, counted within the slice, and moved up by the rows of
+    into slices along it, summed up within the slice, and moved up by the total of
     the earlier slices, so no task ever holds all rows of a hot key. For another
     kind of order give ``slice_by``, any expression that never decreases along it.
     """
     if slice_by is None:
         slice_by = F.expr(f"`{order}` div {rows_per_slice}")
-    sliced = df.withColumn("_slice", slice_by)
+    sliced = df.withColumns({"_slice": slice_by, "_value": value})
 
     earlier = Window.partitionBy(key).orderBy("_slice")
     before = (
         sliced.groupBy(key, "_slice")
-        .agg(F.count(key).alias("_n"))
+        .agg(F.sum("_value").alias("_total"))
         .withColumn(
             "_before",
-            F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum("_total").over(earlier.rowsBetween(Window.unboundedPreceding, -1)),
         )
         # Only keys that span slices are left, so this side is small as a rule.
-        .filter("_before > 0")
+        .filter("_before <> 0")
         .select(F.col(key).alias("_key"), F.col("_slice").alias("_s"), "_before")
     )
 
     within = Window.partitionBy(key, "_slice").orderBy(order)
-    counted = sliced.withColumn(
-        "_within", F.count(key).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    summed = sliced.withColumn(
+        "_within", F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, 0))
     )
     same_slice = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_s"))
     total = F.col("_within") + F.coalesce("_before", F.lit(0))
     return (
-        counted.join(before, same_slice, "left")
+        summed.join(before, same_slice, "left")
         .withColumn(out, total)
         .select(*df.columns, out)
     )
 
 
+def running_count(
+    df: DataFrame, key: str, order: str, out: str = "id", **slicing
+) -> DataFrame:
+    """1-based running count of non-null keys per key, in ``order``."""
+    counted = F.col(key).isNotNull().cast("int")
+    return running_sum(df, key, order, counted, out, **slicing)
+
+
 def row_index(df: DataFrame, order: list[Column], out: str = "row_index") -> DataFrame:
     """1-based position of each row in a total order.
 

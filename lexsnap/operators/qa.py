@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lexsnap.functions.markup import html_to_text
 from lexsnap.functions.text import normalize_whitespace
-from lexsnap.operators.numbering import running_count
+from lexsnap.operators.numbering import running_sum
 from lexsnap.schemas import KEY, QA_ITEM
 from lexsnap.session import materialize
 
@@ -46,12 +46,11 @@ def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     valid = single & F.forall(
         "_items", lambda item: _is_text(item.question) & _is_text(item.answer)
     )
-    value = F.try_parse_json(body)
     problem = (
-        F.when(F.col(body).isNull() | F.coalesce(valid, F.lit(False)), None)
-        .when(value.isNull() | ~F.coalesce(single, F.lit(False)), "invalid_json")
+        F.when(F.col(body).isNull() | F.col("_valid"), None)
+        .when(F.col("_value").isNull(), "invalid_json")
         .when(
-            F.try_variant_get(value, "$.qa_list", "array<variant>").isNull(),
+            F.try_variant_get("_value", "$.qa_list", "array<variant>").isNull(),
             "missing_list",
         )
         .otherwise("invalid_item")
@@ -66,9 +65,12 @@ def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     parsed = F.get(F.from_json(in_array, _RESPONSE, _STRICT), F.lit(0))
     return (
         responses.withColumn("_items", parsed.qa_list)
+        .withColumn("_valid", F.coalesce(valid, F.lit(False)))
+        # Only a response that is not valid is looked at again.
+        .withColumn("_value", F.when(~F.col("_valid") & single, F.try_parse_json(body)))
         .withColumn("problem", problem)
-        .withColumn("qa_list", F.when(F.col("problem").isNull(), texts))
-        .drop("_items", body)
+        .withColumn("qa_list", F.when(F.col("_valid"), texts))
+        .drop("_items", "_valid", "_value", body)
     )
 
 
@@ -84,6 +86,12 @@ def plain_text(regulations: DataFrame) -> DataFrame:
     )
 
 
+def _place_in_list() -> Column:
+    """1 for the first item and for a missing one; null keys are not counted."""
+    place = F.coalesce("pos", F.lit(0)) + 1
+    return F.when(F.col(KEY).isNull(), F.lit(0)).otherwise(place)
+
+
 def explode_qa(documents: DataFrame) -> DataFrame:
     """``(permalink, qa_list)`` to ``(id, permalink, question, answer)``.
 
@@ -92,28 +100,42 @@ def explode_qa(documents: DataFrame) -> DataFrame:
     the permalink is not null.
     """
     exploded = documents.select(KEY, F.posexplode_outer("qa_list").alias("pos", "item"))
-    number = F.when(F.col(KEY).isNull(), F.lit(0)).otherwise(
-        F.coalesce("pos", F.lit(0)) + 1
-    )
     return exploded.select(
-        number.cast("long").alias("id"), KEY, "item.question", "item.answer"
+        _place_in_list().cast("long").alias("id"), KEY, "item.question", "item.answer"
     )
 
 
-def explode_qa_parts(documents: DataFrame, part: str = "part") -> DataFrame:
+def explode_qa_parts(
+    documents: DataFrame, part: str = "part", parts_per_slice: int = 1 << 20
+) -> DataFrame:
     """As ``explode_qa`` for documents whose list comes in numbered parts.
 
-    Ids run on from part to part. Parts are of bounded length, so a slice of
-    8192 of them is a bounded number of rows even in a very long document.
+    Ids run on from part to part. Only the list lengths are summed up; the lists
+    stay where they are, partitioned by permalink and part.
     """
-    exploded = documents.select(
+    length = F.greatest(F.size("qa_list"), F.lit(1))
+    lengths = documents.select(KEY, part, length.alias("_length"))
+    offsets = (
+        running_sum(
+            lengths, KEY, part, F.col("_length"), "_through", rows_per_slice=parts_per_slice
+        )
+        .filter("_through > _length")
+        .select(
+            F.col(KEY).alias("_key"),
+            F.col(part).alias("_part"),
+            (F.col("_through") - F.col("_length")).alias("_offset"),
+        )
+    )
+    same_part = (F.col(KEY) == F.col("_key")) & (F.col(part) == F.col("_part"))
+    exploded = documents.join(offsets, same_part, "left").select(
+        KEY, "_offset", F.posexplode_outer("qa_list").alias("pos", "item")
+    )
+    return exploded.select(
+        (_place_in_list() + F.coalesce("_offset", F.lit(0))).cast("long").alias("id"),
         KEY,
-        part,
-        F.posexplode_outer("qa_list").alias("pos", "item"),
-        F.expr(f"`{part}` div 8192").alias("_parts"),
-    ).withColumn("_order", F.struct(part, F.coalesce("pos", F.lit(0)).alias("pos")))
-    numbered = running_count(exploded, KEY, "_order", slice_by=F.col("_parts"))
-    return numbered.select("id", KEY, "item.question", "item.answer")
+        "item.question",
+        "item.answer",
+    )
 
 
 def valid_response(text: str) -> list[tuple[str, str]]:

@@ -88,7 +88,7 @@ def test_explode_parts_run_on(spark, partitions):
     df = spark.createDataFrame(
         rows, "permalink string, part long, qa_list array<struct<question:string,answer:string>>"
     ).repartition(partitions)
-    got = {(r["permalink"], r["id"]): r["question"] for r in Q.explode_qa_parts(df).collect()}
+    got = {(r["permalink"], r["id"]): r["question"] for r in Q.explode_qa_parts(df, parts_per_slice=8192).collect()}
     expected = [f"{p}-{i}" for p in parts for i in range(3)]
     assert got == {**{("a", i): q for i, q in enumerate(expected, 1)}, ("b", 1): None}
 
