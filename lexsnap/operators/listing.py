@@ -35,10 +35,18 @@ def dedupe(df: DataFrame, key: str = KEY, latest_by: str | None = None) -> DataF
     )
 
 
-def topic_filter(df: DataFrame, column: str = "topik", pattern: str = WANTED_TOPICS):
+def topic_filter(
+    df: DataFrame, column: str = "topik", pattern: str = WANTED_TOPICS
+) -> DataFrame:
+    """Keep rows whose joined codes match ``pattern``."""
     return df.filter(F.col(column).rlike(pattern))
 
 
+def wanted_rows(listing: DataFrame, pattern: str = WANTED_TOPICS) -> DataFrame:
+    """Nested listing rows whose topics match ``pattern``, still nested."""
+    return listing.filter(flatten_codes(F.col("topik")).rlike(pattern))
+
+
 def with_any_code(df: DataFrame, codes: list[str], column: str = "topik") -> DataFrame:
     """Keep rows that hold one of the codes as a whole code."""
     wanted = F.array(*[F.lit(c) for c in codes])

@@ -322,7 +322,9 @@ def nearest_lsh(
     return _ranked(found.mapInArrow(scan, schema), query_id, id_col, k)
 
 
-def recall(exact: DataFrame, approximate: DataFrame, query_id: str, id_col: str):
+def recall(
+    exact: DataFrame, approximate: DataFrame, query_id: str, id_col: str
+) -> DataFrame:
     """Share of the exact neighbours found, per query: ``(query_id, recall)``."""
     hits = approximate.select(query_id, id_col, F.lit(1).alias("_hit"))
     return (

@@ -110,8 +110,8 @@ def explode_qa_parts(
 ) -> DataFrame:
     """As ``explode_qa`` for documents whose list comes in numbered parts.
 
-    Ids run on from part to part. Only the list lengths are summed up; the lists
-    stay where they are, partitioned by permalink and part.
+    Ids run on from part to part. Only the list lengths are summed up, apart from
+    the lists, so give a stored table and not one that has to be built each time.
     """
     length = F.greatest(F.size("qa_list"), F.lit(1))
     lengths = documents.select(KEY, part, length.alias("_length"))

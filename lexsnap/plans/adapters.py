@@ -17,7 +17,7 @@ from lexsnap.operators.qa import (
 from lexsnap.operators.regulations import clean_regulations, with_detail
 from lexsnap.operators.vectors import vector_documents
 from lexsnap.schemas import KEY, LISTING
-from lexsnap.session import scratch_path
+from lexsnap.session import materialize, scratch_path
 
 # Turns per response. Long conversations give several responses of bounded size.
 TURNS_PER_PART = 64
@@ -197,7 +197,10 @@ def qa_responses(
 
 
 def qa_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_qa_parts(parse_responses(qa_responses(spark, sf_dir)))
+    # Generated lists are a stored table: their lengths and their items are read
+    # apart, and building them again for each would shuffle the texts each time.
+    lists = parse_responses(qa_responses(spark, sf_dir))
+    return explode_qa_parts(materialize(lists, "qa-lists"))
 
 
 def qa_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +213,7 @@ def qa_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     marked = F.when(F.col("problem").isNotNull(), failed).otherwise(F.col("qa_list"))
-    return explode_qa_parts(parsed.withColumn("qa_list", marked))
+    return explode_qa_parts(materialize(parsed.withColumn("qa_list", marked), "qa-lists"))
 
 
 def halves(text: str) -> str:

@@ -18,7 +18,7 @@ from lexsnap.operators.changes import (
     updated,
     with_details,
 )
-from lexsnap.operators.listing import ingest_listing
+from lexsnap.operators.listing import ingest_listing, wanted_rows
 from lexsnap.operators.qa import explode_qa, plain_text
 from lexsnap.operators.regulations import topic_dimension
 from lexsnap.schemas import KEY, QA, REGULATION, TOPIC, VECTOR_DOCUMENT
@@ -43,6 +43,7 @@ def sync_snapshot(
     embed: Plugin,
     missing: DataFrame | None = None,
     refresh_updates: bool = False,
+    audit: bool = True,
 ) -> Version:
     """Bring the tables under ``root`` in line with one whole listing snapshot.
 
@@ -52,7 +53,8 @@ def sync_snapshot(
     ``missing`` holds page numbers that were not read: a partial snapshot would
     look like deletes, so it is refused. With no version yet this is the first
     load. A snapshot that is not newer than the last one is skipped, which makes
-    a repeated run a no-op.
+    a repeated run a no-op. ``audit`` keeps the change sets as JSON, for which the
+    stored bodies are read once more.
     """
     current = current_version(spark, root)
     if current.snapshot_id is not None and snapshot_id <= current.snapshot_id:
@@ -72,7 +74,8 @@ def sync_snapshot(
     changes = materialize(snapshot_diff(old, new), "changes")
     renewed = "op in ('insert', 'update')" if refresh_updates else "op = 'insert'"
     fresh = materialize(with_details(changes.filter(renewed), responses), "fresh")
-    changed = materialize(updated(changes, old), "changed")
+    require_keys(fresh)
+    changed = materialize(updated(changes, old).select(KEY, *V.FOLLOWING), "changed")
     gone = deleted(changes)
 
     fresh_qa = materialize(explode_qa(generate(plain_text(fresh))), "qa")
@@ -89,12 +92,14 @@ def sync_snapshot(
 
     tables = {
         "regulation": snapshot_merge(old, changes, fresh, refresh_updates),
-        "topic": topic_dimension(listing),
+        "topic": topic_dimension(wanted_rows(listing)),
         "qa": qa.select(*QA.names),
         "vectors": vectors.select(*VECTOR_DOCUMENT.names),
         "change_counts": change_summary(changes).filter("op <> 'same'"),
     }
-    write_audit(audit_tables(fresh, changed, gone), f"{root}/audit/{snapshot_id}")
+    if audit:
+        change_sets = audit_tables(fresh, updated(changes, old), gone)
+        write_audit(change_sets, f"{root}/audit/{snapshot_id}")
     return publish(spark, root, tables, snapshot_id)
 
 
@@ -108,7 +113,7 @@ def audit_tables(
 def write_audit(change_sets: dict[str, DataFrame], path: str) -> None:
     """Keep each change set that is not empty as JSON; a repeated run rewrites it."""
     for name, rows in change_sets.items():
-        if not rows.isEmpty():
+        if not rows.select(KEY).isEmpty():
             write_json(rows, f"{path}/{name}.json", mode="overwrite")
 
 

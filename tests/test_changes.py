@@ -199,6 +199,8 @@ def test_sync_job(spark, tmp_path):
     regs, vectors, qa = state(spark, root)
     assert regs == {"a": "A", "b": "A", "c": "A"}
     assert set(vectors) == {f"{k}#{i}" for k in "abc" for i in (1, 2)}
+    topics = [tuple(r) for r in read_tables(spark, root)["topic"].collect()]
+    assert topics == [(2, "Topik 2")]
 
     run(spark, root, "2024-01-02", SECOND)
     regs, vectors, qa = state(spark, root)
@@ -232,6 +234,13 @@ def test_sync_refuses_a_partial_snapshot(spark, tmp_path):
     assert current_version(spark, root).number == 2
 
 
+def test_sync_refuses_two_details_of_a_document(spark, tmp_path):
+    listing = spark.createDataFrame(FIRST, LISTING)
+    twice = responses(spark, ["a", "a", "b", "c"])
+    with pytest.raises(ValueError, match="not unique"):
+        sync_snapshot(spark, str(tmp_path / "t"), "1", listing, twice, generate, embed)
+
+
 def test_sync_with_refreshed_updates(spark, tmp_path):
     root = str(tmp_path / "tables")
     run(spark, root, "1", FIRST)
