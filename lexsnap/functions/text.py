@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def clean_body(text: Column) -> Column:
     """Delete CR, LF and TAB (words glue together) and turn ``"`` into ``'``."""
-    return F.translate(text, "\"\r\n\t", "'")
+    # Plain replacements work on bytes: faster than a pattern or ``translate``.
+    for char, replacement in (("\r", ""), ("\n", ""), ("\t", ""), ('"', "'")):
+        text = F.replace(text, F.lit(char), F.lit(replacement))
+    return text
 
 
 def normalize_whitespace(text: Column) -> Column:

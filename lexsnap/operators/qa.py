@@ -40,12 +40,15 @@ def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     # Only a single JSON value fits both into an array and into an object.
     in_array = F.concat(F.lit("["), body, F.lit("]"))
     in_object = F.concat(F.lit('{"v":'), body, F.lit("}"))
-    single = (F.json_array_length(in_array) == 1) & (
-        F.size(F.json_object_keys(in_object)) == 1
-    )
-    valid = single & F.forall(
-        "_items", lambda item: _is_text(item.question) & _is_text(item.answer)
+    fits_object = F.size(F.json_object_keys(in_object)) == 1
+    items = F.get("_parsed", F.lit(0)).qa_list
+    valid = (
+        (F.size("_parsed") == 1)
+        & F.forall(items, lambda item: _is_text(item.question) & _is_text(item.answer))
+        & fits_object
     )
+    # Only a response that is not valid is looked at again, for its problem.
+    reread = ~F.col("_valid") & (F.json_array_length(in_array) == 1) & fits_object
     problem = (
         F.when(F.col(body).isNull() | F.col("_valid"), None)
         .when(F.col("_value").isNull(), "invalid_json")
@@ -56,21 +59,19 @@ def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
         .otherwise("invalid_item")
     )
     texts = F.transform(
-        "_items",
+        items,
         lambda item: F.struct(
             item.question.cast("string").alias("question"),
             item.answer.cast("string").alias("answer"),
         ),
     )
-    parsed = F.get(F.from_json(in_array, _RESPONSE, _STRICT), F.lit(0))
     return (
-        responses.withColumn("_items", parsed.qa_list)
+        responses.withColumn("_parsed", F.from_json(in_array, _RESPONSE, _STRICT))
         .withColumn("_valid", F.coalesce(valid, F.lit(False)))
-        # Only a response that is not valid is looked at again.
-        .withColumn("_value", F.when(~F.col("_valid") & single, F.try_parse_json(body)))
+        .withColumn("_value", F.when(reread, F.try_parse_json(body)))
         .withColumn("problem", problem)
         .withColumn("qa_list", F.when(F.col("_valid"), texts))
-        .drop("_items", "_valid", "_value", body)
+        .drop("_parsed", "_valid", "_value", body)
     )
 
 
