@@ -175,6 +175,7 @@ def exact_groups(
     prints = prints.join(unequal, key, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(""))
     group = [*key, "part"]
     groups = prints.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialize(groups, "groups")  # stored, so that the join can split a hot group
     rows = prints.join(groups, group).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
