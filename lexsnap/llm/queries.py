@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexsnap.llm import exact_dedup
+from lexsnap.llm import exact_dedup, near_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +29,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 @query
 def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, d, "documents"))
+
+
+@query
+def op9_superminhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op1_relative_lempel_ziv(spark: SparkSession, d: str) -> DataFrame:
+    parsed = substring_dedup.factor_duplicates(table(spark, d, "documents"), with_text=False)
+    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
