@@ -15,5 +15,56 @@ FROM texts JOIN groups USING (body)
 """
 
 
+OP2 = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), hashed AS (
+    SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex,
+           max(page_id) OVER (PARTITION BY payload) AS first_id
+    FROM payloads
+), digits AS (
+    SELECT *, list_transform(range(8), lambda k: ('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5))::BIGINT) AS parts FROM hashed
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((parts[k // 4 + 1] >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM digits
+"""
+
+
+OP3 = """
+WITH RECURSIVE sizes AS (
+    SELECT source, CAST(sum(coalesce(length(text), 0) + 1) AS BIGINT) AS size,
+           CAST(CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 WHEN 'src2' THEN 2 ELSE 1 END AS BIGINT) AS weight
+    FROM documents GROUP BY source
+), totals AS (
+    SELECT CAST(sum(size) AS BIGINT) AS all_size, CAST(sum(weight) AS BIGINT) AS all_weight FROM sizes
+), rates AS (
+    SELECT source, CAST(weight * all_size AS DOUBLE) / CAST(size * all_weight AS DOUBLE) AS rate FROM sizes, totals
+), parts AS (
+    SELECT source, CAST(greatest(ceil(rate / 32), 1) AS INTEGER) AS n_parts, rate FROM rates
+), steps AS (
+    SELECT source, n_parts, rate / n_parts AS r, 0 AS k, exp(-(rate / n_parts)) AS p, exp(-(rate / n_parts)) AS total FROM parts
+    UNION ALL
+    SELECT source, n_parts, r, k + 1, p * r / (k + 1), total + p * r / (k + 1) FROM steps WHERE k < 127
+), sums AS (
+    SELECT source, n_parts, list(total) AS totals FROM steps GROUP BY source, n_parts
+), draws AS (
+    SELECT d.*, totals, unnest(range(1, n_parts + 1)) AS part
+    FROM documents d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source
+), counts AS (
+    SELECT doc_id, text, lang, source, n_chars,
+           sum(len(list_filter(totals, lambda t: t <=
+               ('0x' || substr(md5('17:' || doc_id || ':' || part), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))) AS n
+    FROM draws GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(n AS INTEGER) AS n_copies,
+       CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INTEGER) AS copy
+FROM counts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op2_warc": OP2, "op3_mixing": OP3, "op8_exact_dedup": OP8}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexsnap.llm import exact_dedup, near_dedup, substring_dedup
+from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, packing, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +42,30 @@ def op9_superminhash_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op1_relative_lempel_ziv(spark: SparkSession, d: str) -> DataFrame:
     parsed = substring_dedup.factor_duplicates(table(spark, d, "documents"), with_text=False)
     return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_window_packing(spark: SparkSession, d: str) -> DataFrame:
+    pieces = packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archived_pages(spark, warc.archive_pages(table(spark, d, "pages")))
+
+
+# Sources not named here have weight 1.
+SOURCE_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
+
+
+@query
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), SOURCE_WEIGHTS)
+
+
+@query
+def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, d, "documents")).drop("matches")
