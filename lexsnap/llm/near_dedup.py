@@ -12,6 +12,7 @@ swaps before; only short documents, which need many rounds, get it in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,12 @@ PERCENT = 75
 # A pair at the threshold shares no band with probability (1 - 0.75^5)^40 = 2e-5.
 BANDS, BAND_ROWS = 40, 5
 PLACES = BANDS * BAND_ROWS
-# One bit per place. At the threshold 25 of 200 bits differ, 4.7 is the deviation.
-MOST_BITS_APART = 58
-_SKETCH = 4
+# Six bits per place, as six planes of one bit per place. At the threshold 49 of 200
+# places differ and the deviation is 4.6; 4.5 deviations are allowed for, which misses a
+# pair at the threshold more seldom than the bands do.
+MOST_PLACES_APART = 70
+_PLANES, _PLANE_LONGS = 6, -(-PLACES // 64)
+_SKETCH = _PLANES * _PLANE_LONGS
 _LAZY_ROUNDS = 12
 _RANK_BITS = np.uint64(52)
 _EMPTY = np.uint64(2**64 - 1)
@@ -95,14 +99,16 @@ def _order(swaps: list[np.ndarray], count: int, places: int) -> np.ndarray:
 
 
 def bands_and_sketches(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per band, and one bit per place packed into longs."""
+    """A hash per band, and the bit planes of the places, packed into longs."""
     parts = signatures.reshape(len(signatures), BANDS, BAND_ROWS)
     bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(BAND_ROWS):
         bands = mixed(bands ^ parts[:, :, k])
-    bits = np.zeros((len(signatures), _SKETCH * 64), np.uint8)
-    bits[:, :PLACES] = mixed(signatures) & np.uint64(1)
-    return bands.astype(np.int64), np.packbits(bits, axis=1).view(np.int64)
+    spread = mixed(signatures)
+    planes = np.zeros((len(signatures), _PLANES, _PLANE_LONGS * 64), np.uint8)
+    for k in range(_PLANES):
+        planes[:, k, :PLACES] = (spread >> np.uint64(k)) & np.uint64(1)
+    return bands.astype(np.int64), np.packbits(planes.reshape(len(signatures), -1), axis=1).view(np.int64)
 
 
 def _sets(part: pa.RecordBatch, known: WordHashes) -> list[np.ndarray]:
@@ -148,10 +154,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _could_link(a: str, b: str):
-    """Size bound (exact) and sketch distance (seven deviations) of a pair."""
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _BITS), F.lit(0))
+    """Size bound (exact) and signature distance of a pair."""
+    apart = F.lit(0)
+    for word in range(_PLANE_LONGS):
+        planes = [_BITS[k * _PLANE_LONGS + word] for k in range(_PLANES)]
+        differs = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in planes]
+        apart = apart + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), differs))
     small, large = (f(f"{a}.n_shingles", f"{b}.n_shingles") for f in (F.least, F.greatest))
-    return (small * 100 >= large * PERCENT) & (apart <= MOST_BITS_APART)
+    return (small * 100 >= large * PERCENT) & (apart <= MOST_PLACES_APART)
+
+
+def _first_shared_band(a: str, b: str):
+    """Names one of the buckets that two documents share, so that it alone pairs them."""
+    return F.element_at(F.array_intersect(f"{a}.bands", f"{b}.bands"), 1)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,16 +179,34 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * 100 >= union * PERCENT).select("low", "high").distinct()
 
 
+def _likely(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    low = traits.select(F.col("doc_id").alias("low"), F.struct("n_shingles", *_BITS).alias("a"))
+    high = traits.select(F.col("doc_id").alias("high"), F.struct("n_shingles", *_BITS).alias("b"))
+    likely = pairs.join(high, "high").join(low, "low").where(_could_link("a", "b"))
+    return materialize(likely.select("low", "high"), "pairs")
+
+
+def _seated(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that hold several components."""
+    of = group.select(F.col("node").alias("doc_id"), "component")
+    seats = members.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    seats = materialize(seats, "seats")
+    spread = seats.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    split = materialize(spread.where("least < most").select("bucket"), "split")
+    return materialize(seats.join(split, "bucket", "left_semi"), "seats")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``(doc_id, text, …)``.
 
     1. Rows with equal shingle sets are linked through the smallest doc_id; only that
        one goes on.
-    2. Documents that share a band are candidates. First every document of a bucket is
-       held against the bucket's smallest one, and components are formed.
+    2. Documents that share a band (a bucket) are candidates. Each is first held against
+       the smallest document of all its buckets, and components are formed; then against
+       the smallest of each bucket in which that one is of another component.
     3. In buckets that still hold several components, all pairs across components are
-       checked, so no link between components is left out while a large group of
-       copies costs one check per member.
+       checked. So no link between components is left out, while a large group of copies
+       costs one check per member.
     4. Components again, over all links.
 
     A doc_id is one node: rows that repeat it share their links. Rows without words are
@@ -183,7 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
     first = able.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = able.select("doc_id", "set_key").join(first.where("first < last"), "set_key").where("doc_id > first")
+    first = materialize(first.where("first < last"), "first")
+    copies = able.select("doc_id", "set_key").join(first, "set_key").where("doc_id > first")
     copies = materialize(copies.select("doc_id", "set_key", F.col("first").alias("low")).distinct(), "copies")
     single = able.join(copies.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_anti")
 
@@ -193,35 +227,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(banded.join(heads, "bucket"), "members")
     needed = materialize(members.select("doc_id").distinct(), "needed")
     needed = sent_when_small(needed)
-    traits = materialize(single.select("doc_id", "n_shingles", *_BITS).join(needed, "doc_id", "left_semi"), "traits")
+    traits = materialize(single.select("doc_id", "n_shingles", "bands", *_BITS).join(needed, "doc_id", "left_semi"), "traits")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_hash_sets, "doc_id long, shingles array<long>"), "sets")
 
-    pairs = members.where("low < doc_id").select("low", F.col("doc_id").alias("high")).distinct()
-    near = pairs.join(traits.alias("a"), F.col("low") == F.col("a.doc_id")).join(
-        traits.alias("b"), F.col("high") == F.col("b.doc_id")
-    )
-    near = materialize(near.where(_could_link("a", "b")).select("low", "high").distinct(), "pairs")
-    links = materialize(_linked(near, sets), "links")
-    group = components(links)
-
-    labelled = members.select("bucket", "doc_id").join(
-        group.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = materialize(labelled, "labelled")
-    mixed_up = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("last"))
-    open_rows = labelled.join(mixed_up.where("low < last").select("bucket"), "bucket", "left_semi")
-    open_rows = materialize(open_rows.join(traits, "doc_id"), "open")
-    across = open_rows.alias("a").join(
-        open_rows.alias("b"),
+    # One check per document, then one per document and bucket that is still split.
+    pairs = members.where("low < doc_id").groupBy(F.col("doc_id").alias("high")).agg(F.min("low").alias("low"))
+    links = materialize(_linked(_likely(pairs, traits), sets), "links")
+    seats = _seated(members, components(links))
+    apart = seats.join(seats.where("doc_id = low").select("bucket", F.col("component").alias("head")), "bucket")
+    pairs = apart.where("component != head").select("low", F.col("doc_id").alias("high")).distinct()
+    links = links.union(materialize(_linked(_likely(pairs, traits), sets), "links"))
+    seats = _seated(seats.drop("component"), components(links))
+
+    rows = materialize(seats.join(traits, "doc_id"), "open")
+    across = rows.alias("a").join(
+        rows.alias("b"),
         (F.col("a.bucket") == F.col("b.bucket"))
         & (F.col("a.doc_id") < F.col("b.doc_id"))
         & (F.col("a.component") != F.col("b.component"))
-        & _could_link("a", "b"),
+        & F.when(_could_link("a", "b"), _first_shared_band("a", "b") == F.col("a.bucket")).otherwise(F.lit(False)),
     )
     across = across.select(F.col("a.doc_id").alias("low"), F.col("b.doc_id").alias("high")).distinct()
-    across = materialize(across.join(near, ["low", "high"], "left_anti"), "across")
-    more = _linked(across, sets)
+    more = _linked(materialize(across, "across"), sets)
     every = links.union(more).union(copies.select("low", F.col("doc_id").alias("high")))
     group = components(every).select(F.col("node").alias("doc_id"), "component")
 
