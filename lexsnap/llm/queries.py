@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, packing, substring_dedup, warc
+from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,3 +69,8 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, d, "documents")).drop("matches")
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
