@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsnap.llm.words import sent_when_small
 from lexsnap.session import materialize
 
 CHUNK_BYTES = 1 << 18
@@ -179,3 +180,24 @@ def exact_groups(
     rows = prints.join(groups, group).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """All columns of the rows that stay: of equal texts the one with the largest doc_id."""
+    groups = materialize(exact_groups(docs), "groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")
+    )
+    gone = sent_when_small(materialize(gone.distinct(), "gone"))
+    body = F.translate(F.coalesce(docs.text, F.lit("")), UPPER, LOWER).cast("binary")
+    same = docs.doc_id.cast("long").eqNullSafe(gone.gone_id) & (F.sha2(body, 256) == gone.gone_sha256)
+    rest = docs.join(gone, same, "left_anti")
+    # Rows that repeat a doc_id and its text: one of them stays.
+    again = groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if again.isEmpty():
+        return rest
+    rest = rest.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rest = rest.withColumn("body", F.translate(F.coalesce("doc.text", F.lit("")), UPPER, LOWER).cast("binary"))
+    number = F.expr("row_number() OVER (PARTITION BY doc.doc_id, sha2(body, 256) ORDER BY doc.text)")
+    rest = rest.withColumn("number", number).where("number = 1")
+    return rest.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

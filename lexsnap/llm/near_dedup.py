@@ -258,3 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n_shingles").join(group, "doc_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """All columns of the rows that stay: of each group the document with the smallest doc_id."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    gone = sent_when_small(materialize(gone.distinct(), "gone"))
+    return docs.join(gone, docs.doc_id.cast("long") == gone.gone_id, "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsnap.llm.words import row_slices
+from lexsnap.llm.words import row_slices, sent_when_small
 from lexsnap.session import materialize
 
 FEATURES = 384
@@ -88,7 +88,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array([statistics(t) for t in part.column("text").to_pylist()])
         offsets = pa.array(np.arange(0, table.size + 1, STATISTICS, dtype=np.int32))
         values = pa.ListArray.from_arrays(offsets, pa.array(table.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], ["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), values], ["doc_id", "text_key", "stats"])
 
 
 def _matrix(batch: pa.RecordBatch, column: str = "stats") -> np.ndarray:
@@ -151,8 +151,8 @@ def _scores(features: Fourier, weights: np.ndarray, steps: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = steps[_bin(features(_matrix(batch)) @ weights)]
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score"])
+            kept = ["doc_id", "text_key", "held_out"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "score"])
 
     return run
 
@@ -173,7 +173,7 @@ def held_out_row():
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row of ``(doc_id, text, …)``.
+    """``(doc_id, held_out, score, predicted, text_key)`` for each row of ``(doc_id, text, …)``.
 
     ``labels`` has ``(doc_id, quality)``; rows of the fold crc32(doc_id) mod 3 = 1 are held
     out and never read for a fit, and all others are used, none sampled. Scores come from
@@ -182,8 +182,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without training rows of both classes every score is the share of ones (0.5 if none).
     Only sums over rows reach the driver: means, one matrix, SCORE_BINS counts.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = materialize(texts.mapInArrow(_measure, "doc_id long, stats array<double>"), "statistics")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    measured = materialize(texts.mapInArrow(_measure, "doc_id long, text_key long, stats array<double>"), "statistics")
     result = measured.withColumn("held_out", held_out_row())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1)")
@@ -194,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count, ones, *moments = train.agg(F.count("*"), F.sum("quality"), *sums).first()
     if not count or ones in (0, count):
         score = F.lit(float(ones) / count if count else 0.5)
-        return result.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+        return result.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key")
     moments = np.array(moments)
     features = Fourier(moments[0::2], moments[1::2])
 
@@ -212,5 +212,13 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if bins:
         at, ones, n = np.array(bins, float).T
         steps = np.interp(np.arange(SCORE_BINS), at, isotonic(ones, n))
-    scored = result.mapInArrow(_scores(features, weights, steps), "doc_id long, held_out boolean, score double")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = result.mapInArrow(_scores(features, weights, steps), "doc_id long, text_key long, held_out boolean, score double")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All columns of the rows that the classifier does not reject."""
+    poor = score_quality(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("poor_id"), F.col("text_key").alias("poor_key"))
+    poor = sent_when_small(materialize(poor.distinct(), "poor"))
+    same = docs.doc_id.cast("long").eqNullSafe(poor.poor_id) & (F.xxhash64(docs.text) == poor.poor_key)
+    return docs.join(poor, same, "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, quality, substring_dedup, warc
+from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pii, quality, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,10 +73,19 @@ def op4_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op5_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels")).drop("text_key")
 
 
 @query
 def op10_nn_descent(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
+# A sample key; in use it comes from a secret store.
+PSEUDONYM_KEY = "sample-key-1"
+
+
+@query
+def op6_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, d, "documents"), PSEUDONYM_KEY)
