@@ -28,11 +28,12 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 # A pair at the threshold shares no band with probability (1 - 0.75^5)^40 = 2e-5.
 BANDS, BAND_ROWS = 40, 5
-PLACES = BANDS * BAND_ROWS
-# Six bits per place, as six planes of one bit per place. At the threshold 49 of 200
-# places differ and the deviation is 4.6; 4.5 deviations are allowed for, which misses a
-# pair at the threshold more seldom than the bands do.
-MOST_PLACES_APART = 70
+PLACES = 320  # the bands take the first 200; the rest sharpens the estimate
+# Six bits per place, as six planes of one bit per place. At the threshold 79 of 320
+# places differ; their number's deviation grows with the union of the two sets, as
+# SuperMinHash has it. Five deviations are allowed for: (union up to, places apart).
+MOST_APART = ((100, 106), (200, 107), (400, 108), (800, 111), (1600, 114))
+MOST_APART_BEYOND = 118
 _PLANES, _PLANE_LONGS = 6, -(-PLACES // 64)
 _SKETCH = _PLANES * _PLANE_LONGS
 _LAZY_ROUNDS = 12
@@ -100,7 +101,7 @@ def _order(swaps: list[np.ndarray], count: int, places: int) -> np.ndarray:
 
 def bands_and_sketches(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash per band, and the bit planes of the places, packed into longs."""
-    parts = signatures.reshape(len(signatures), BANDS, BAND_ROWS)
+    parts = signatures[:, : BANDS * BAND_ROWS].reshape(len(signatures), BANDS, BAND_ROWS)
     bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(BAND_ROWS):
         bands = mixed(bands ^ parts[:, :, k])
@@ -160,13 +161,17 @@ def _could_link(a: str, b: str):
         planes = [_BITS[k * _PLANE_LONGS + word] for k in range(_PLANES)]
         differs = [F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in planes]
         apart = apart + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), differs))
-    small, large = (f(f"{a}.n_shingles", f"{b}.n_shingles") for f in (F.least, F.greatest))
-    return (small * 100 >= large * PERCENT) & (apart <= MOST_PLACES_APART)
+    sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    union = (sizes[0] + sizes[1]) / (1 + PERCENT / 100)
+    most = F.lit(MOST_APART_BEYOND)
+    for size, places in reversed(MOST_APART):
+        most = F.when(union <= size, places).otherwise(most)
+    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT) & (apart <= most)
 
 
-def _first_shared_band(a: str, b: str):
-    """Names one of the buckets that two documents share, so that it alone pairs them."""
-    return F.element_at(F.array_intersect(f"{a}.bands", f"{b}.bands"), 1)
+def _shared_first(a: str, b: str):
+    """Is this bucket the first that the two documents share? So that it alone pairs them."""
+    return F.element_at(F.array_intersect(f"{a}.bands", f"{b}.bands"), 1) == F.col(f"{a}.bucket")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,28 +232,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(banded.join(heads, "bucket"), "members")
     needed = materialize(members.select("doc_id").distinct(), "needed")
     needed = sent_when_small(needed)
-    traits = materialize(single.select("doc_id", "n_shingles", "bands", *_BITS).join(needed, "doc_id", "left_semi"), "traits")
+    traits = materialize(single.select("doc_id", "n_shingles", *_BITS).join(needed, "doc_id", "left_semi"), "traits")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_hash_sets, "doc_id long, shingles array<long>"), "sets")
 
     # One check per document, then one per document and bucket that is still split.
     pairs = members.where("low < doc_id").groupBy(F.col("doc_id").alias("high")).agg(F.min("low").alias("low"))
-    links = materialize(_linked(_likely(pairs, traits), sets), "links")
+    first_pairs = _likely(pairs, traits)
+    links = materialize(_linked(first_pairs, sets), "links")
     seats = _seated(members, components(links))
     apart = seats.join(seats.where("doc_id = low").select("bucket", F.col("component").alias("head")), "bucket")
     pairs = apart.where("component != head").select("low", F.col("doc_id").alias("high")).distinct()
-    links = links.union(materialize(_linked(_likely(pairs, traits), sets), "links"))
+    later_pairs = _likely(pairs, traits)
+    links = links.union(materialize(_linked(later_pairs, sets), "links"))
     seats = _seated(seats.drop("component"), components(links))
 
-    rows = materialize(seats.join(traits, "doc_id"), "open")
+    checked = first_pairs.union(later_pairs)
+    rows = materialize(seats.join(traits, "doc_id").join(single.select("doc_id", "bands"), "doc_id"), "open")
     across = rows.alias("a").join(
         rows.alias("b"),
         (F.col("a.bucket") == F.col("b.bucket"))
         & (F.col("a.doc_id") < F.col("b.doc_id"))
         & (F.col("a.component") != F.col("b.component"))
-        & F.when(_could_link("a", "b"), _first_shared_band("a", "b") == F.col("a.bucket")).otherwise(F.lit(False)),
+        & F.when(_could_link("a", "b"), _shared_first("a", "b")).otherwise(F.lit(False)),
     )
     across = across.select(F.col("a.doc_id").alias("low"), F.col("b.doc_id").alias("high")).distinct()
+    across = across.join(checked, ["low", "high"], "left_anti")
     more = _linked(materialize(across, "across"), sets)
     every = links.union(more).union(copies.select("low", F.col("doc_id").alias("high")))
     group = components(every).select(F.col("node").alias("doc_id"), "component")
