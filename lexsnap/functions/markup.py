@@ -26,7 +26,7 @@ _RAW_TEXT = rf"(?is){_COMMENT}|<(script|style)\b[^>]*>(.*?)(?:</\1\s*>|\z)"
 _RAW_TEXT_WITH_AMPERSAND = (
     r"(?is)<(?:script|style)\b[^>]*>(?:(?!</(?:script|style))[^&])*+&"
 )
-_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+_ENTITY = r"^(#0*+[0-9]{1,7}|#[xX]0*+[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 # Entities that nearly all documents are limited to; "&amp;" is decoded last.
 _FREQUENT = ("lt", "gt", "quot", "nbsp", "copy", "middot")
@@ -45,11 +45,17 @@ def _entity_map() -> Column:
     return F.str_to_map(F.lit(listed), F.lit("\u0001"), F.lit("\u0002"))
 
 
+def _significant(name: Column, start: int) -> Column:
+    """Digits of a numeric reference from ``start`` on, without leading zeros."""
+    digits = F.ltrim(F.substr(name, F.lit(start)), F.lit("0"))
+    return F.when(digits == "", "0").otherwise(digits)
+
+
 def _character(name: Column) -> Column:
     """Character for an entity name or numeric reference, else null."""
     point = F.when(
-        name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("long")
-    ).when(name.startswith("#"), F.substring(name, 2, 8).cast("long"))
+        name.rlike("^#[xX]"), F.conv(_significant(name, 3), 16, 10).cast("long")
+    ).when(name.startswith("#"), _significant(name, 2).cast("long"))
     valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
     numeric = F.when(
         valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")

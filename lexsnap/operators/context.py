@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lexsnap.functions.render import card_body, card_heading, context_line, prompt_text
 from lexsnap.session import materialize
 
-# Topics kept inside the plan as a lookup; a larger table is joined instead.
-MAX_INLINE_TOPICS = 2000
-
 
 def _codes(topik: Column) -> Column:
     return F.transform(F.split(topik, " "), lambda code: code.try_cast("int"))
@@ -22,19 +19,15 @@ def topic_labels(
     column: str = "topik",
     out: str = "topik_labels",
     strict: bool = False,
-    max_inline_topics: int = MAX_INLINE_TOPICS,
 ) -> DataFrame:
     """Space-separated codes to their labels, in order, joined by ``", "``.
 
-    An unknown or empty code is skipped, or an error if ``strict``. The topic
-    table is small as a rule and its size is checked: it becomes a lookup inside
-    the projection, with no shuffle. Beyond the bound, each distinct code list is
-    resolved once and joined back.
+    An unknown or empty code is skipped, or an error if ``strict``. Of several labels
+    of one code the smallest counts. Each distinct code list is resolved once and
+    joined back; Spark broadcasts the lists while they are small.
     """
-    topics = topics.select("uuid", "keterangan").filter(F.col("uuid").isNotNull())
-    rows = topics.limit(max_inline_topics + 1).collect()
-    if len(rows) <= max_inline_topics:
-        return df.withColumn(out, _inline_labels(rows, F.col(column), strict))
+    topics = topics.filter(F.col("uuid").isNotNull())
+    topics = topics.groupBy("uuid").agg(F.min("keterangan").alias("keterangan"))
     return _joined_labels(df, topics, column, out, strict)
 
 
@@ -47,21 +40,6 @@ def _checked(label: Column, known: Column, code: Column, strict: bool) -> Column
     return F.when(known, label).otherwise(problem)
 
 
-def _inline_labels(rows: list, topik: Column, strict: bool) -> Column:
-    labels = {row["uuid"]: row["keterangan"] for row in rows}
-    pairs = [F.lit(x) for item in labels.items() for x in item]
-    lookup = (
-        F.create_map(*pairs) if pairs else F.lit(None).cast("map<int,string>")
-    )
-
-    def label(code: Column) -> Column:
-        known = F.coalesce(F.map_contains_key(lookup, code), F.lit(False))
-        known = code.isNotNull() & known
-        return _checked(F.try_element_at(lookup, code), known, code, strict)
-
-    return F.array_join(F.transform(_codes(topik), label), ", ")
-
-
 def _joined_labels(df, topics, column, out, strict) -> DataFrame:
     lists = df.select(column).filter(F.col(column).isNotNull()).distinct()
     coded = lists.select(column, F.posexplode(_codes(F.col(column))).alias("_pos", "_code"))

@@ -7,17 +7,19 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexsnap.session import materialize
+
 # Largest query set sent to every task.
 MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 128 << 20
 _BLOCK = 128
-_CELL_ROWS = 65536
+# Tasks whose finds meet before those of all tasks do.
+TASKS_PER_GROUP = 256
 
 
 class _Best:
@@ -96,23 +98,56 @@ def _batches(best: _Best, query_ids: pa.Array, names: list) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _sendable(queries: DataFrame, max_rows: int) -> pa.Table | None:
-    """All queries, if they are few and small enough to go to every task."""
-    sent = queries.limit(max_rows + 1).toArrow()
-    if sent.num_rows > max_rows or sent.nbytes > MAX_SENT_BYTES:
-        return None
-    return sent.combine_chunks()
+def _comparable(vector: str) -> Column:
+    """Has the vector no null, NaN or infinite element?"""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce(F.forall(vector, finite), F.lit(False))
+
+
+def incomparable(docs: DataFrame, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """Ids of the rows that a search passes over: no vector, or one that is not finite."""
+    return docs.filter(~_comparable(vector)).select(id_col)
+
+
+def _query_blocks(
+    queries: DataFrame, query_id: str, vector: str, max_rows: int
+) -> list[DataFrame]:
+    """The queries in blocks of about ``max_rows`` rows and MAX_SENT_BYTES at most.
+
+    Their number and width are aggregated first, so nothing large is fetched.
+    """
+    count, width = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    most = max(1, min(max_rows, MAX_SENT_BYTES // (8 * (width or 0) + 64)))
+    if count <= most:
+        return [queries]
+    queries = materialize(queries, "queries")
+    blocks = -(-2 * count // most)
+    number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return [queries.filter(number == block) for block in range(blocks)]
 
 
 def _ranked(found: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
-    order = Window.partitionBy(query_id).orderBy("distance", id_col)
+    """k rows per query: first of each group of tasks, then of all groups."""
+    order = ["distance", id_col]
+    grouped = found.withColumn("_group", F.floor(F.spark_partition_id() / TASKS_PER_GROUP))
+    some = Window.partitionBy(query_id, "_group").orderBy(*order)
+    grouped = grouped.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
+    every = Window.partitionBy(query_id).orderBy(*order)
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        grouped.withColumn("rank", F.row_number().over(every))
         .filter(F.col("rank") <= k)
         .select(query_id, F.col("rank").cast("long").alias("rank"), id_col, "distance")
     )
 
 
+def _per_block(blocks: list[DataFrame], search: Callable[[pa.Table], DataFrame]) -> DataFrame:
+    """The search for each block; of several, each result is stored before the next."""
+    if len(blocks) == 1:
+        return search(blocks[0].toArrow().combine_chunks())
+    found = [materialize(search(block.toArrow().combine_chunks()), "found") for block in blocks]
+    return reduce(DataFrame.union, found)
+
+
 def nearest(
     docs: DataFrame,
     queries: DataFrame,
@@ -126,12 +161,12 @@ def nearest(
 
     Filter ``docs`` beforehand for a filtered search. The records are neither
     shuffled nor paired with the queries: each task scans its records once and
-    hands on k rows per query. That needs all queries in each task, so their
-    number is checked; a larger set is cut into blocks that meet the records, cut
-    into cells, in a grid of groups of bounded size.
+    hands on k rows per query. That needs all queries of a block in each task, so a
+    block's size is bounded before it is fetched; a larger set takes several scans.
+    Vectors that are not finite are passed over, see ``incomparable``.
     """
-    docs = docs.select(id_col, vector).filter(F.col(vector).isNotNull())
-    queries = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
+    docs = docs.select(id_col, vector).filter(_comparable(vector))
+    queries = queries.select(query_id, vector).filter(_comparable(vector))
     schema = T.StructType(
         [
             queries.schema[query_id],
@@ -139,12 +174,12 @@ def nearest(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    sent = _sendable(queries, max_sent_queries)
-    if sent is not None:
+
+    def search(sent: pa.Table) -> DataFrame:
         found = _scan(docs, sent, k, id_col, query_id, vector, schema)
-    else:
-        found = _grid(docs, queries, k, id_col, query_id, vector, schema, max_sent_queries)
-    return _ranked(found, query_id, id_col, k)
+        return _ranked(found, query_id, id_col, k)
+
+    return _per_block(_query_blocks(queries, query_id, vector, max_sent_queries), search)
 
 
 def _scan(docs, sent, k, id_col, query_id, vector, schema) -> DataFrame:
@@ -165,47 +200,6 @@ def _scan(docs, sent, k, id_col, query_id, vector, schema) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
-def _grid(docs, queries, k, id_col, query_id, vector, schema, block_rows) -> DataFrame:
-    blocks = max(1, -(-queries.count() // (block_rows // 2)))
-    cells = max(1, -(-docs.count() // _CELL_ROWS))
-
-    def spread(df, own, own_count, other, other_count, key):
-        return df.withColumns(
-            {
-                own: F.pmod(F.xxhash64(key), F.lit(own_count)),
-                other: F.explode(F.sequence(F.lit(0), F.lit(other_count - 1))),
-            }
-        ).withColumns({own: F.col(own).cast("int"), other: F.col(other).cast("int")})
-
-    placed_docs = spread(docs, "_cell", cells, "_block", blocks, id_col)
-    placed_queries = spread(queries, "_block", blocks, "_cell", cells, query_id)
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[query_id, id_col, "distance"])
-        query_matrix = np.stack(right[vector].to_numpy()).astype(np.float64)
-        best = _Best(query_matrix, k)
-        best.add(
-            left[id_col].to_numpy(), np.stack(left[vector].to_numpy()).astype(np.float64)
-        )
-        query_ids = right[query_id].to_numpy()
-        found = [(q, ids) for q, ids in enumerate(best.ids) if ids is not None]
-        return pd.DataFrame(
-            {
-                query_id: np.concatenate([[query_ids[q]] * len(i) for q, i in found]),
-                id_col: np.concatenate([i for _, i in found]),
-                "distance": np.concatenate([best.distances[q] for q, _ in found]),
-            }
-        )
-
-    grid = ["_cell", "_block"]
-    return (
-        placed_docs.groupBy(*grid)
-        .cogroup(placed_queries.groupBy(*grid))
-        .applyInPandas(compare, schema)
-    )
-
-
 def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     """Random directions, ``tables x bits x dim``."""
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
@@ -232,7 +226,7 @@ def build_lsh_index(
 
     A search then reads only the directories of its own codes.
     """
-    docs = docs.select(id_col, vector).filter(F.col(vector).isNotNull())
+    docs = docs.select(id_col, vector).filter(_comparable(vector))
     planes = hyperplanes(dim, tables, bits, seed)
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]
@@ -272,16 +266,32 @@ def nearest_lsh(
 
     An optional search over a stored index, which reads only the directories of
     the queries' codes. It can miss neighbours (see ``recall``); ``nearest`` is the
-    exact search, and the one used here for more queries than can be sent to each
-    task. As there, a task hands on k rows per query, however full a directory
-    is. A record counts in the first table where it meets the query.
+    exact search. As there, queries go in blocks of bounded size, and a task hands on
+    k rows per query, however full a directory is. A record counts in the first table
+    where it meets the query.
     """
-    queries = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
-    sent = _sendable(queries, max_sent_queries)
-    if sent is None or sent.num_rows == 0:
-        once = index.filter("tbl = 0")
-        return nearest(once, queries, k, id_col, query_id, vector, max_sent_queries)
+    queries = queries.select(query_id, vector).filter(_comparable(vector))
 
+    def search(sent: pa.Table) -> DataFrame:
+        found = _scan_codes(index, sent, k, dim, id_col, query_id, vector, tables, bits, seed)
+        return _ranked(found, query_id, id_col, k)
+
+    return _per_block(_query_blocks(queries, query_id, vector, max_sent_queries), search)
+
+
+def _scan_codes(
+    index, sent, k, dim, id_col, query_id, vector, tables, bits, seed
+) -> DataFrame:
+    query_schema = index.sparkSession.createDataFrame(sent.slice(0, 0)).schema
+    schema = T.StructType(
+        [
+            query_schema[query_id],
+            index.schema[id_col],
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    if sent.num_rows == 0:
+        return index.sparkSession.createDataFrame([], schema)
     query_ids = sent[query_id].combine_chunks()
     query_codes = _sign_codes(_matrix(sent[vector]), hyperplanes(dim, tables, bits, seed))
     # At most 2 ** bits codes per table, whatever the number of queries.
@@ -292,13 +302,6 @@ def nearest_lsh(
             for t in range(tables)
         ),
     )
-    schema = T.StructType(
-        [
-            queries.schema[query_id],
-            index.schema[id_col],
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
     shared = index.sparkSession.sparkContext.broadcast((_matrix(sent[vector]), query_codes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +322,7 @@ def nearest_lsh(
         yield from _batches(best, query_ids, schema.names)
 
     found = index.filter(wanted).select(id_col, vector, "codes", "tbl")
-    return _ranked(found.mapInArrow(scan, schema), query_id, id_col, k)
+    return found.mapInArrow(scan, schema)
 
 
 def recall(

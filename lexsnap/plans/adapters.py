@@ -49,7 +49,7 @@ def base_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
         "'doc-' || doc_id AS permalink",
-        "substring(text, 1, 80) AS perihal",
+        "text AS perihal",
         """date_format(date_add(DATE'2024-01-01', CAST(doc_id % 365 AS INT)),
              'dd-MM-yyyy') AS tanggal_efektif""",
         """transform(array(doc_id % 4, doc_id % 7 + 1), code -> named_struct(
@@ -75,7 +75,9 @@ def listing_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base_listing(spark, sf_dir).filter(F.col("doc_id") % 11 != 0)
     status = F.when(F.col("doc_id") % 13 == 0, "Diubah").otherwise(F.col("status_dokumen"))
-    return rows.withColumn("status_dokumen", status).select(*LISTING.names)
+    # A change at the very end of a title must be seen.
+    title = F.when(F.col("doc_id") % 17 == 0, F.concat("perihal", F.lit(" (perubahan)"))).otherwise(F.col("perihal"))
+    return rows.withColumns({"status_dokumen": status, "perihal": title}).select(*LISTING.names)
 
 
 def old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,14 +182,13 @@ def changeset_audit(spark, d):
     change_sets = audit_tables(
         C.inserted(changes), C.updated(changes, stored), C.deleted(changes)
     )
-    write_audit(change_sets, path)
-    read = [
-        S.load_table(spark, f"{path}/{name}.json", REGULATION).select(
-            F.lit(name).alias("change_set"), *REGULATION_COLUMNS
-        )
-        for name in change_sets
-    ]
-    return read[0].unionByName(read[1]).unionByName(read[2])
+    kept = spark.createDataFrame([], REGULATION).select(
+        F.lit("").alias("change_set"), *REGULATION_COLUMNS
+    )
+    for name in write_audit(change_sets, path):
+        rows = S.load_table(spark, f"{path}/{name}.json", REGULATION)
+        kept = kept.unionByName(rows.select(F.lit(name).alias("change_set"), *REGULATION_COLUMNS))
+    return kept
 
 
 # ---- listing and regulations ------------------------------------------------

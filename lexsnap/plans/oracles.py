@@ -17,9 +17,9 @@ FLAT_METADATA = (
 
 # RE2 classes spell out the white space that Unicode adds to ASCII.
 _SPACE = (
-    r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-).replace(r"\x{1C}-\x{1F}", "")
+)
 
 
 def _normalized(text: str) -> str:
@@ -54,7 +54,7 @@ def _clean_body(body: str) -> str:
 
 CTES = {
     "base": """
-      SELECT d.doc_id, 'doc-' || d.doc_id AS permalink, substr(d.text, 1, 80) AS perihal,
+      SELECT d.doc_id, 'doc-' || d.doc_id AS permalink, d.text AS perihal,
         DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER) AS tanggal_efektif,
         CASE l.quality WHEN 1 THEN 'Berlaku' WHEN 0 THEN 'Dicabut'
           ELSE 'Tidak diketahui' END AS status_dokumen,
@@ -67,7 +67,9 @@ CTES = {
     "listing_new": f"""
       SELECT {LISTING} FROM (
         SELECT * REPLACE (CASE WHEN doc_id % 13 = 0 THEN 'Diubah'
-          ELSE status_dokumen END AS status_dokumen) FROM base)
+          ELSE status_dokumen END AS status_dokumen,
+          CASE WHEN doc_id % 17 = 0 THEN perihal || ' (perubahan)' ELSE perihal END AS perihal)
+        FROM base)
       WHERE doc_id % 11 <> 0 AND regexp_matches(topik, '2|3')""",
     "raw_detail": """
       SELECT d.doc_id, 'doc-' || d.doc_id AS permalink, upper(d.lang) AS jenis_peraturan,
@@ -94,15 +96,14 @@ CTES = {
     "regulation_new": f"""
       SELECT {LISTING}, {DETAIL} FROM listing_new LEFT JOIN detail USING (permalink)""",
     "ins": """
-      SELECT * FROM listing_new WHERE permalink NOT IN (SELECT permalink FROM listing_old)""",
+      SELECT n.* FROM listing_new n ANTI JOIN listing_old o ON n.permalink = o.permalink""",
     "upd": f"""
       SELECT n.*, {", ".join("o." + c for c in DETAIL.split(", "))}
       FROM listing_new n LEFT JOIN regulation_old o ON n.permalink = o.permalink
       WHERE n.perihal <> o.perihal OR n.tanggal_efektif <> o.tanggal_efektif
         OR n.status_dokumen <> o.status_dokumen OR n.topik <> o.topik""",
     "del": """
-      SELECT permalink FROM listing_old
-      WHERE permalink NOT IN (SELECT permalink FROM listing_new)""",
+      SELECT o.permalink FROM listing_old o ANTI JOIN listing_new n ON n.permalink = o.permalink""",
     "ins_full": f"""
       SELECT {LISTING}, {DETAIL} FROM ins LEFT JOIN detail USING (permalink)""",
     "merged": f"""

@@ -110,11 +110,15 @@ def audit_tables(
     return {"_new": fresh, "_update": changed, "_delete": gone}
 
 
-def write_audit(change_sets: dict[str, DataFrame], path: str) -> None:
-    """Keep each change set that is not empty as JSON; a repeated run rewrites it."""
-    for name, rows in change_sets.items():
-        if not rows.select(KEY).isEmpty():
-            write_json(rows, f"{path}/{name}.json", mode="overwrite")
+def write_audit(change_sets: dict[str, DataFrame], path: str) -> list[str]:
+    """Keep each change set that is not empty as JSON; a repeated run rewrites it.
+
+    Gives the names of those written.
+    """
+    written = [n for n, rows in change_sets.items() if not rows.select(KEY).isEmpty()]
+    for name in written:
+        write_json(change_sets[name], f"{path}/{name}.json", mode="overwrite")
+    return written
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime re-planning does the sizing: start with many small shuffle
-# partitions, let AQE merge them to the advisory size and split skewed ones.
+# Runtime re-planning does the sizing: AQE merges shuffle partitions to the advisory
+# size and splits skewed ones. It cannot split ordinary ones, so give ``build_session``
+# the input's size, from which it takes their number.
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -29,11 +30,14 @@ def build_session(
     app_name: str = "lexsnap",
     master: str | None = None,
     shuffle_partitions: int | None = None,
+    input_bytes: int | None = None,
     **settings: str,
 ) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions is None and input_bytes is not None:
+        shuffle_partitions = shuffle_partitions_for(input_bytes)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**CLUSTER_SETTINGS, **settings}.items():

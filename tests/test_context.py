@@ -13,8 +13,7 @@ def topics(spark):
     return spark.createDataFrame(TOPICS, "uuid int, keterangan string")
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
-def test_topic_labels(spark, inline):
+def test_topic_labels(spark):
     cases = {
         "2 3": "PPh, PPN",
         "3 2 3": "PPN, PPh, PPN",
@@ -25,21 +24,26 @@ def test_topic_labels(spark, inline):
         None: None,
     }
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, topik string")
-    got = X.topic_labels(df, topics(spark), max_inline_topics=inline)
+    got = X.topic_labels(df, topics(spark))
     assert [r["topik_labels"] for r in got.orderBy("i").collect()] == list(cases.values())
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
 @pytest.mark.parametrize("codes", ["12", "x", ""])
-def test_strict_labels_refuse_unknown_codes(spark, inline, codes):
+def test_strict_labels_refuse_unknown_codes(spark, codes):
     good = spark.createDataFrame([("2 3",)], "topik string")
-    kwargs = {"strict": True, "max_inline_topics": inline}
+    kwargs = {"strict": True}
     assert X.topic_labels(good, topics(spark), **kwargs).first()["topik_labels"] == "PPh, PPN"
     bad = spark.createDataFrame([(codes,)], "topik string")
     with pytest.raises(Exception, match="unknown topic code"):
         X.topic_labels(bad, topics(spark), **kwargs).collect()
 
 
+def test_one_label_per_code(spark):
+    twice = spark.createDataFrame([(2, "PPh"), (2, "Pajak"), (3, "PPN")], "uuid int, keterangan string")
+    df = spark.createDataFrame([("2 3",)], "topik string")
+    assert X.topic_labels(df, twice).first()["topik_labels"] == "PPh, PPN"
+
+
 def test_no_topics_at_all(spark):
     df = spark.createDataFrame([("2 3",)], "topik string")
     assert X.topic_labels(df, topics(spark).limit(0)).first()["topik_labels"] == ""

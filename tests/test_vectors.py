@@ -112,7 +112,7 @@ def rows_of(df):
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 @pytest.mark.parametrize("max_sent", [4096, 3])
 def test_nearest_is_exact_with_ties(spark, monkeypatch, partitions, max_sent):
-    monkeypatch.setattr(N, "_CELL_ROWS", 100)
+    monkeypatch.setattr(N, "TASKS_PER_GROUP", 4)
     rng = np.random.default_rng(partitions)
     # Small whole numbers give many ties, and a third of the rows are one copy.
     docs, doc_matrix = points(spark, rng, 600, 5, copies=200, partitions=partitions)
@@ -147,14 +147,27 @@ def test_nearest_edges(spark):
     assert N.nearest(docs.limit(0), queries, 5).isEmpty()
 
 
+@pytest.mark.parametrize("max_sent", [4096, 1])
+def test_vectors_that_are_not_finite_are_passed_over(spark, max_sent):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i), 0.0]) for i in range(20)]
+    bad = [(20, [nan, 0.0]), (21, [inf, 0.0]), (22, [None, 0.0]), (23, None)]
+    docs = spark.createDataFrame(rows + bad, "id long, embedding array<float>").coalesce(1)
+    asked = [(1, [0.0, 0.0]), (2, [nan, 0.0]), (3, [19.0, 0.0])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    got = rows_of(N.nearest(docs, queries, 3, max_sent_queries=max_sent))
+    assert [(q, i) for q, _, i, _ in got] == [(1, 0), (1, 1), (1, 2), (3, 19), (3, 18), (3, 17)]
+    assert sorted(r["id"] for r in N.incomparable(docs).collect()) == [20, 21, 22, 23]
+
+
 def test_search_plan_neither_pairs_nor_shuffles_records(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     queries = docs.limit(3).select(F.col("vec_id").alias("query_id"), "embedding")
     plan = N.nearest(docs, queries, 3, id_col="vec_id")._jdf.queryExecution()
     text = plan.executedPlan().toString()
     assert "NestedLoopJoin" not in text and "Cartesian" not in text
-    assert text.count("WindowGroupLimit") == 2
-    assert text.count("Exchange") == 1
+    assert text.count("WindowGroupLimit") == 4
+    assert text.count("Exchange") == 2
 
 
 def test_lsh_finds_itself_and_measures_recall(spark, tmp_path):
@@ -178,7 +191,7 @@ def test_lsh_finds_itself_and_measures_recall(spark, tmp_path):
     assert [r[:3] for r in rows_of(all_found)] == [r[:3] for r in rows_of(exact)]
 
 
-def test_lsh_reads_only_wanted_codes_and_falls_back(spark, tmp_path):
+def test_lsh_reads_only_wanted_codes_in_blocks_too(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
         F.col("vec_id").alias("id"), "embedding"
     )
@@ -189,4 +202,4 @@ def test_lsh_reads_only_wanted_codes_and_falls_back(spark, tmp_path):
     assert "PartitionFilters: [((" in plan
     assert "Join" not in plan
     many = N.nearest_lsh(index, queries, 5, 64, bits=4, max_sent_queries=2)
-    assert rows_of(many) == rows_of(N.nearest(docs, queries, 5))
+    assert rows_of(many) == rows_of(found)
