@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -33,38 +34,73 @@ SENTENCE_CUT, HARD_CUT = 4, 24
 END_TOKEN = 0
 # Tokens packed at a time; the cut after them is forced, which costs one padding.
 STREAM_TOKENS = 1 << 21
-MAX_KNOWN_CHUNKS = 1 << 19
+MAX_KNOWN_WORDS = 1 << 19
 
 _SPACE_NEXT_TO_SPACE = re.compile(r" \s|\s ")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+_STOPS = ".,;:!?"
+# Single line ends between other characters than white space, and no other white space.
+_LINE_END = re.compile(r"\A\S+(?:\n\S+)+\Z")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level BPE writes bytes as: printable ones stay, others follow 255."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(printable)]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(other)}
 
 
 class Ids(dict):
-    """Token ids (little-endian bytes) of chunks of text, by the tokenizer.
+    """Token ids (little-endian bytes) of words, with a blank before or bare.
 
     Byte-level BPE splits a text into words before it merges, and a blank before a word
     belongs to that word. So a text cut before such blanks gives the same ids, and a
-    chunk met before needs no new encoding. Starts over when it has grown large.
+    word met before needs no new encoding. The same holds for letters, the stops behind
+    them and a line end between words; a run of letters goes straight to the
+    tokenizer's merges. Starts over when it has grown large.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, blank: str = " "):
         super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MAX_KNOWN_CHUNKS:
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.blank = blank
+        self.bare = Ids(tokenizer, "") if blank else self
+        self.stops: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_KNOWN_WORDS:
             self.clear()
-        ids = self.encode(chunk, add_special_tokens=False).ids
-        value = self[chunk] = np.array(ids, "<u4").tobytes()
+        letters = word.rstrip(_STOPS)
+        if letters.isalpha():
+            if len(letters) < len(word):
+                value = self[letters] + self.stop(word[len(letters) :])
+            else:
+                raw = (self.blank + word).encode().decode("latin-1").translate(self.letters)
+                value = array("I", [token.id for token in self.merge(raw)]).tobytes()
+        elif _LINE_END.search(word):
+            first, *lines = word.split("\n")
+            value = self[first] + b"".join(self.stop("\n") + self.bare[line] for line in lines)
+        else:
+            value = self.plain(self.blank + word)
+        self[word] = value
         return value
 
+    def stop(self, text: str) -> bytes:
+        if text not in self.stops:
+            self.stops[text] = self.plain(text)
+        return self.stops[text]
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> np.ndarray:
         if _SPACE_NEXT_TO_SPACE.search(text):
-            chunks = _BEFORE_WORD.split(text)
+            first, *rest = _BEFORE_WORD.split(text)
+            rest = [word[1:] for word in rest]
         else:
             first, *rest = text.split(" ")
-            chunks = [first, *(" " + word for word in rest)]
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
+        return np.frombuffer(self.plain(first) + b"".join(map(self.__getitem__, rest)), "<u4")
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
