@@ -111,27 +111,43 @@ def decode_entities(text: Column) -> Column:
     )
 
 
+# Stands for an ampersand of a script or style body while entities are decoded. A text
+# that holds it already gets it back, as every "SHIELD" becomes "SHIELD0" before.
+_SHIELD = "\ufdd0"
+
+
 def _shielded(spaced: Column) -> Column:
-    """Hide the ampersands of script and style bodies behind a NUL."""
+    """Hide the ampersands of script and style bodies."""
     raw = F.regexp_extract_all(spaced, F.lit(_RAW_TEXT), F.lit(0))
+    hidden = F.lit(_SHIELD + "1")
     pieces = F.zip_with(
         F.split(spaced, _RAW_TEXT),
         raw,
         lambda outside, body: F.concat(
-            outside, F.coalesce(F.replace(body, F.lit("&"), F.lit("\0")), F.lit(""))
+            outside, F.coalesce(F.replace(body, F.lit("&"), hidden), F.lit(""))
         ),
     )
     return F.array_join(pieces, "")
 
 
+def _stripped(spaced: Column) -> Column:
+    return decode_entities(F.regexp_replace(spaced, _MARKUP, "$1$2"))
+
+
+def _stripped_apart(spaced: Column) -> Column:
+    """As ``_stripped``, but ampersands of script and style bodies are no entities."""
+    marked = F.replace(spaced, F.lit(_SHIELD), F.lit(_SHIELD + "0"))
+    text = _stripped(_shielded(marked))
+    shown = F.replace(text, F.lit(_SHIELD + "1"), F.lit("&"))
+    return F.replace(shown, F.lit(_SHIELD + "0"), F.lit(_SHIELD))
+
+
 def html_to_text(html: Column) -> Column:
     """Text content of ``html`` after ``>`` becomes ``> `` (keeps words apart)."""
-    shielded = _once(
+    return _once(
         F.replace(html, F.lit(">"), F.lit("> ")),
         # Rare: a script or style body holds "&".
         lambda spaced: F.when(
-            spaced.rlike(_RAW_TEXT_WITH_AMPERSAND), _shielded(spaced)
-        ).otherwise(spaced),
+            spaced.rlike(_RAW_TEXT_WITH_AMPERSAND), _stripped_apart(spaced)
+        ).otherwise(_stripped(spaced)),
     )
-    text = decode_entities(F.regexp_replace(shielded, _MARKUP, "$1$2"))
-    return F.replace(text, F.lit("\0"), F.lit("&"))

@@ -16,19 +16,26 @@ def running_sum(
     order: str,
     value: Column,
     out: str,
-    rows_per_slice: int = 1 << 20,
+    rows_per_slice: int | None = None,
     slice_by: Column | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key, in ``order``, the row itself included.
 
-    ``order`` is a whole number, unique within its key. A key's rows are cut
-    into slices along it, summed up within the slice, and moved up by the total of
-    the earlier slices, so no task ever holds all rows of a hot key. For another
-    kind of order give ``slice_by``, any expression that never decreases along it.
+    ``order`` is unique within its key. A key's rows are cut into slices along it,
+    summed up within the slice, and moved up by the total of the earlier slices, so
+    no task ever holds all rows of a hot key. The slices are ranges of (key, order)
+    of about equal row counts, stored once, whatever gaps the order has. Where the
+    order is a whole number without gaps, ``rows_per_slice`` cuts it by value, and
+    ``slice_by`` may be any expression that never decreases along it: then nothing is
+    stored.
     """
-    if slice_by is None:
+    if slice_by is None and rows_per_slice is not None:
         slice_by = F.expr(f"`{order}` div {rows_per_slice}")
-    sliced = df.withColumns({"_slice": slice_by, "_value": value})
+    if slice_by is None:
+        ranged = df.withColumn("_value", value).repartitionByRange(key, order)
+        sliced = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
+    else:
+        sliced = df.withColumns({"_slice": slice_by, "_value": value})
 
     earlier = Window.partitionBy(key).orderBy("_slice")
     before = (

@@ -245,10 +245,15 @@ def embed(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     )
 
 
-def vector_table(spark: SparkSession, sf_dir: str, listing: DataFrame) -> DataFrame:
-    """Vector records, without embeddings, of a listing's documents."""
+def vector_table(
+    spark: SparkSession, sf_dir: str, listing: DataFrame, qa: DataFrame | None = None
+) -> DataFrame:
+    """Vector records, without embeddings, of a listing's documents.
+
+    Give ``qa``, a stored question table, where several tables are made of it.
+    """
     about = regulations(spark, sf_dir, listing, with_body=False)
-    return vector_documents(qa_table(spark, sf_dir), about)
+    return vector_documents(qa_table(spark, sf_dir) if qa is None else qa, about)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -507,8 +507,9 @@ def vector_documents(spark, d):
 def vector_upsert(spark, d):
     """Records of the new snapshot over those of the old one."""
     old, new = A.snapshots(spark, d)
-    records = materialize(A.vector_table(spark, d, new), "records")
-    return flattened_vectors(V.upsert(A.vector_table(spark, d, old), records))
+    qa = materialize(A.qa_table(spark, d), "qa")
+    records = materialize(A.vector_table(spark, d, new, qa), "records")
+    return flattened_vectors(V.upsert(A.vector_table(spark, d, old, qa), records))
 
 
 @query
@@ -543,10 +544,11 @@ def vector_sync(spark, d):
     changes = materialize(C.snapshot_diff(old, new), "changes")
     details = A.detail_responses(spark, d, with_body=False)
     fresh = C.with_details(changes.filter("op = 'insert'"), details)
-    records = materialize(V.vector_documents(A.qa_table(spark, d), fresh), "records")
+    qa = materialize(A.qa_table(spark, d), "qa")
+    records = materialize(V.vector_documents(qa, fresh), "records")
     changed = materialize(C.updated(changes, stored), "changed")
     merged = V.apply_changes(
-        A.vector_table(spark, d, old), records, changed, C.deleted(changes)
+        A.vector_table(spark, d, old, qa), records, changed, C.deleted(changes)
     )
     return flattened_vectors(merged)
 
@@ -573,7 +575,9 @@ def _vectors(spark, d):
 @query
 def knn_topk_filtered(spark, d):
     """Nearest records among those in force."""
-    docs = _vectors(spark, d).filter(F.col("metadata.status_dokumen") == "Berlaku")
+    records = A.vector_table(spark, d, A.old_snapshot(spark, d))
+    records = records.filter(F.col("metadata.status_dokumen") == "Berlaku").select("id")
+    docs = A.embed(spark, d, records)
     return _rounded(nearest.nearest(docs, A.questions(spark, d), NEIGHBOURS))
 
 

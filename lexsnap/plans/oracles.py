@@ -112,7 +112,7 @@ CTES = {
         FROM (SELECT 0 AS priority, {LISTING}, {DETAIL} FROM regulation_old
           UNION ALL SELECT 1, {LISTING}, {DETAIL} FROM ins_full
           UNION ALL SELECT 2, {LISTING}, {DETAIL} FROM upd))
-      WHERE rn = 1 AND permalink NOT IN (SELECT permalink FROM del)""",
+      ANTI JOIN del USING (permalink) WHERE rn = 1""",
     "turn_pairs": """
       SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
       FROM conversations u JOIN conversations a
@@ -278,7 +278,10 @@ BODIES = {
       UNION ALL SELECT '_update', {LISTING}, {DETAIL} FROM upd
       UNION ALL SELECT '_delete', permalink, {", ".join(["NULL"] * 11)} FROM del""",
     "listing_dedup": """
-      SELECT permalink, perihal, strftime(tanggal_efektif, '%d-%m-%Y') AS tanggal_efektif,
+      SELECT permalink,
+        CASE WHEN doc_id % 11 <> 0 AND doc_id % 17 = 0 THEN perihal || ' (perubahan)'
+          ELSE perihal END AS perihal,
+        strftime(tanggal_efektif, '%d-%m-%Y') AS tanggal_efektif,
         CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'Diubah'
           ELSE status_dokumen END AS status_dokumen,
         topik, CAST(CASE WHEN doc_id % 11 <> 0 THEN 2 ELSE 1 END AS BIGINT) AS read_no
@@ -399,20 +402,17 @@ BODIES = {
       FROM gen g LEFT JOIN tops t USING (permalink)""",
     "vector_documents": f"SELECT {FLAT_METADATA} FROM vec_old",
     "vector_upsert": f"""
-      SELECT {FLAT_METADATA} FROM vec_old WHERE id NOT IN (SELECT id FROM vec_new)
+      SELECT {FLAT_METADATA} FROM vec_old ANTI JOIN vec_new USING (id)
       UNION ALL SELECT {FLAT_METADATA} FROM vec_new""",
     "vector_metadata_update": f"SELECT {FLAT_METADATA} FROM vec_updated",
     "vector_delete": f"""
-      SELECT {FLAT_METADATA} FROM vec_old
-      WHERE permalink NOT IN (SELECT permalink FROM del)""",
+      SELECT {FLAT_METADATA} FROM vec_old ANTI JOIN del USING (permalink)""",
     "vector_get_where": f"""
       SELECT {FLAT_METADATA} FROM vec_old
       WHERE permalink IN (SELECT permalink FROM upd)""",
     "vector_sync": f"""
-      SELECT {FLAT_METADATA} FROM vec_updated
-      WHERE permalink NOT IN (SELECT permalink FROM del)
-      UNION ALL SELECT {FLAT_METADATA} FROM vec_new
-      WHERE permalink IN (SELECT permalink FROM ins)""",
+      SELECT {FLAT_METADATA} FROM vec_updated ANTI JOIN del USING (permalink)
+      UNION ALL SELECT {FLAT_METADATA} FROM vec_new SEMI JOIN ins USING (permalink)""",
     "knn_topk": "SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM ("
     + _neighbours("embeddings", "vec_id", 5)
     + ")",

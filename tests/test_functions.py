@@ -190,3 +190,15 @@ def test_context_line_shows_none(spark):
     df = spark.createDataFrame([("q", None, "PMK", "1/2")], "q string, a string, k string, n string")
     line = df.select(render.context_line(*map(F.col, "qakn"))).first()[0]
     assert line == "- q None [Sumber: PMK Nomor: 1/2] "
+
+
+def test_zeros_in_references_and_characters_that_stay(spark):
+    cases = {
+        "&#0000000039;": "'",
+        "&#x000000041;b": "Ab",
+        "a\0b &amp; c": "a\0b & c",
+        "<script>a && b \ufdd0</script>&lt;": "a && b \ufdd0 <",
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, html string")
+    got = df.select("i", markup.html_to_text(F.col("html")).alias("t")).orderBy("i").collect()
+    assert [r["t"].strip() for r in got] == list(cases.values())

@@ -98,7 +98,7 @@ def test_listing_pages_cover_the_table(spark, monkeypatch):
         assert pages == [expected[:30], expected[30:60], expected[90:], []]
 
 
-@pytest.mark.parametrize("partitions,width", [(1, 1000), (4, 10), (17, 1)])
+@pytest.mark.parametrize("partitions,width", [(1, 1000), (4, 10), (17, 1), (4, None)])
 def test_running_count(spark, partitions, width):
     random.seed(partitions)
     # One key holds a third of the rows; some keys are null.
@@ -121,6 +121,15 @@ def test_running_count_slices_a_hot_key(spark):
     assert windows and all("_slice" in w for w in windows)
 
 
+def test_running_count_of_a_hot_key_with_a_sparse_order(spark):
+    rows = [("hot", i * (1 << 21)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, n long")
+    got = N.running_count(df, "k", "n", out="c")
+    assert sorted((r["n"], r["c"]) for r in got.collect()) == [(n, i) for i, (_, n) in enumerate(rows, 1)]
+    slices = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in slices and "div" not in slices
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 17])
 def test_row_index_and_batches(spark, partitions):
     df = spark.range(1000).select(F.concat(F.lit("id-"), F.col("id")).alias("id"))
