@@ -378,16 +378,16 @@ def page_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T0
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
-    rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
-    thin = materialize(rows.groupBy("page_id", "sha", "size").agg(F.count("*").alias("copies")), "page-digests")
+    # The join and the numbering below share these keys, so payloads are shuffled once.
+    named = {"no_id": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0).cast("long"))}
+    rows = rows.withColumns({**named, "sha": F.sha1("payload"), "size": F.octet_length("payload")})
+    key = ["no_id", "id", "sha"]
+    thin = materialize(rows.select(*key, "size", "page_id").distinct(), "page-digests")
     first = materialize(thin.groupBy("sha", "size").agg(F.max("page_id").alias("first_id")), "first-pages")
-    marks = thin.join(first, ["sha", "size"]).select(
-        F.col("page_id").alias("id"), F.col("sha").alias("sha_of"), "first_id", "copies"
-    )
-    marks = materialize(marks, "page-marks")
-    marked = rows.join(marks, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("sha_of")))
+    marks = materialize(thin.join(first, ["sha", "size"]).select(*key, "first_id"), "page-marks")
+    marked = rows.join(marks, key)
     # Only repeated rows share page_id and payload; the numbering streams through them.
-    number = F.expr("row_number() OVER (PARTITION BY page_id, sha ORDER BY target_uri)")
+    number = F.expr("row_number() OVER (PARTITION BY no_id, id, sha ORDER BY target_uri)")
     first_row = F.col("page_id").eqNullSafe(F.col("first_id")) & (number == 1)
     marked = marked.withColumn("response", first_row | (F.col("size") < min_bytes))
 
