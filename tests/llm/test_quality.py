@@ -59,14 +59,14 @@ def test_partition_sums_equal_one_fit():
 
 
 def test_edges(spark):
-    rows = [(1, None, "x"), (2, "", "x"), (3, "w " * 200_000, "x"), (3, "w " * 10, None), (None, "text", None)]
+    rows = [(1, None, "x"), (7, "", "x"), (8, "w " * 200_000, "x"), (8, "w " * 10, None), (None, "text", None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in Q.score_quality(docs, none).collect()} == {0.5}
     assert Q.accepted(docs, none).count() == len(rows)
-    one = spark.createDataFrame([(2, 0), (3, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    one = spark.createDataFrame([(7, 0), (8, 0), (None, 1), (1, None)], "doc_id long, quality int")
     assert {r.score for r in Q.score_quality(docs, one).collect()} == {0.0}
-    two = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    two = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
     scored = Q.score_quality(docs, two).collect()
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
     assert Q.score_quality(docs.limit(0), two).count() == 0
