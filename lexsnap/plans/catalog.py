@@ -162,6 +162,10 @@ def stage_once(spark, d):
 def vector_batches(spark, d):
     old = A.old_snapshot(spark, d)
     ids = A.vector_table(spark, d, old).select("id")
+    # Stored in files of one batch at most, then numbered over all files.
+    path = scratch_path(spark, "vector-batches")
+    S.write_batches(ids, path, BATCH_ROWS)
+    ids = spark.read.schema(ids.schema).parquet(path)
     return (
         numbering.batch_number(ids, [F.asc("id")], BATCH_ROWS)
         .groupBy("batch")
@@ -339,22 +343,26 @@ def snapshot_merge(spark, d):
 
 @query
 def sync_stream(spark, d):
-    """Both snapshots, announced one after the other and synced by a stream."""
+    """Both snapshots, announced as landed pages one after the other, synced by a stream."""
     base = scratch_path(spark, "sync")
     snapshots = {"1-old": A.listing_old(spark, d), "2-new": A.listing_new(spark, d)}
+    number = F.substring_index(KEY, "-", -1).cast("long")
+    page = F.floor(number / PAGE_ROWS) + 1
     for name, rows in snapshots.items():
-        S.write_json(rows, f"{base}/landed/{name}")
-        snapshot_sync.announce(spark, f"{base}/announced", name, f"{base}/landed/{name}")
+        landed = A.land_pages(spark, rows, rows.select(F.max(page)).scalar(), page)
+        snapshot_sync.announce(spark, f"{base}/announced", name, landed)
 
     def sync(snapshot_id: str, path: str) -> None:
+        pages = read_listing_pages(spark, path)
         sync_snapshot(
             spark,
             f"{base}/tables",
             snapshot_id,
-            S.read_json(spark, path, LISTING),
+            listing_rows(pages),
             A.detail_responses(spark, d),
             generate=_generate,
             embed=lambda records: A.embed(spark, d, records),
+            missing=missing_pages(pages),
         )
 
     stream = snapshot_sync.sync_stream(
