@@ -34,7 +34,7 @@ SENTENCE_CUT, HARD_CUT = 4, 24
 END_TOKEN = 0
 # Tokens packed at a time; the cut after them is forced, which costs one padding.
 STREAM_TOKENS = 1 << 21
-MAX_KNOWN_WORDS = 1 << 19
+MAX_KNOWN_WORDS = 1 << 18
 
 _SPACE_NEXT_TO_SPACE = re.compile(r" \s|\s ")
 _BEFORE_WORD = re.compile(r"(?= \S)")

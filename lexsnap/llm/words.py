@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_KNOWN_WORDS = 1 << 19
+MAX_KNOWN_WORDS = 1 << 17
 # Rows of a side that is sent to all executors: two longs each, some 16 MB at most.
 MAX_SENT_ROWS = 1 << 19
 
@@ -70,6 +70,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
             held += int(size) + 64
         if start < batch.num_rows:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def sent_when_small(df: DataFrame, most_rows: int = MAX_SENT_ROWS) -> DataFrame:
