@@ -413,12 +413,20 @@ def text_chunks(spark, d):
 
 @query
 def date_parse(spark, d):
-    rows = A.base_listing(spark, d).select(
-        KEY, dates.parse_listing_date(F.col("tanggal_efektif")).alias("listed")
+    rows = A.base_listing(spark, d)
+    listed = dates.parse_listing_date(F.col("tanggal_efektif"))
+    as_text = F.date_format(listed, "yyyy-MM-dd")
+    # Every fifth date does not exist, every other fifth is no date at all.
+    damaged = (
+        F.when(F.col("doc_id") % 5 == 0, "31-02-2024")
+        .when(F.col("doc_id") % 5 == 1, as_text)
+        .otherwise(F.col("tanggal_efektif"))
     )
-    as_text = F.date_format("listed", "yyyy-MM-dd")
-    return rows.withColumn("stored", dates.parse_iso_date(as_text)).withColumn(
-        "unreadable", dates.parse_listing_date(as_text, strict=False)
+    return rows.select(
+        KEY,
+        listed.alias("listed"),
+        dates.parse_iso_date(as_text).alias("stored"),
+        dates.parse_listing_date(damaged, strict=False).alias("lenient"),
     )
 
 
