@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsnap.llm.words import sent_when_small
+from lexsnap.llm.words import in_small_batches, sent_when_small
 from lexsnap.session import materialize
 
 CHUNK_BYTES = 1 << 18
@@ -123,7 +123,7 @@ def fingerprinted(
     names = [f"h{k}" for k in range(len(moduli))]
     schema = "doc_id long, text_sha256 string, n_bytes long, chunk_no long, "
     schema += ", ".join(f"{n} long" for n in names)
-    hashed = _chunks(normalised(docs), chunk_bytes, "doc_id", "text_sha256").mapInArrow(_hash_chunks(moduli), schema)
+    hashed = in_small_batches(_chunks(normalised(docs), chunk_bytes, "doc_id", "text_sha256")).mapInArrow(_hash_chunks(moduli), schema)
     summed = hashed.groupBy("doc_id", "text_sha256", "n_bytes").agg(
         F.count_if(F.col("chunk_no") == 0).alias("copies"), *(F.sum(n).alias(n) for n in names)
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexsnap.llm.components import components
-from lexsnap.llm.words import WordHashes, draws, grams, mixed, row_slices, sent_when_small, word_hashes
+from lexsnap.llm.words import WordHashes, draws, grams, in_small_batches, mixed, row_slices, sent_when_small, word_hashes
 from lexsnap.session import materialize
 
 SHINGLE_WORDS = 5
@@ -151,7 +151,8 @@ _SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, " +
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, set_key, bands, s0…)`` per row; set_key names the whole set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, _SIGNED)
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(_sign, _SIGNED)
 
 
 def _could_link(a: str, b: str):

@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsnap.llm.words import in_small_batches
+
 SEQUENCE_TOKENS = 1024
 GRID_TOKENS = 64
 # Penalties in tokens of padding.
 SENTENCE_CUT, HARD_CUT = 4, 24
 END_TOKEN = 0
 # Tokens packed at a time; the cut after them is forced, which costs one padding.
-STREAM_TOKENS = 1 << 21
+STREAM_TOKENS = 1 << 20
 MAX_KNOWN_WORDS = 1 << 18
 
 _SPACE_NEXT_TO_SPACE = re.compile(r" \s|\s ")
@@ -259,7 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     repeated rows and null doc_ids are documents like others, and nothing is shuffled.
     sequence_id is unique over all partitions; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
         _pack(tokenizer_path),
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsnap.llm.words import row_slices, sent_when_small
+from lexsnap.llm.words import in_small_batches, row_slices, sent_when_small
 from lexsnap.session import materialize
 
 FEATURES = 384
@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without training rows of both classes every score is the share of ones (0.5 if none).
     Only sums over rows reach the driver: means, one matrix, SCORE_BINS counts.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     measured = materialize(texts.mapInArrow(_measure, "doc_id long, text_key long, stats array<double>"), "statistics")
     result = measured.withColumn("held_out", held_out_row())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsnap.llm.words import WordHashes, draws, grams, mixed, row_slices, word_hashes
+from lexsnap.llm.words import WordHashes, draws, grams, in_small_batches, mixed, row_slices, word_hashes
 from lexsnap.session import materialize
 
 WINDOW_WORDS = 20
@@ -248,7 +248,7 @@ def factor_duplicates(docs: DataFrame, with_text: bool = True) -> DataFrame:
     and itself. Other columns are not read.
     """
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("rank")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rank, "text")
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), rank, "text")
     blocks = texts.mapInArrow(_blocks, "block long").groupBy("block").count().where("count > 1")
     bits = _bit_filter(materialize(blocks.select("block"), "blocks"))
     index_filter = docs.sparkSession.sparkContext.broadcast(bytes(bits))
