@@ -44,22 +44,30 @@ def _keyed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def feistel(a: Column, b: Column, a_size: Column, b_size: Column, key: str, kind: str) -> Column:
     """Permute pairs ``(a, b)`` with a below a_size and b below b_size.
 
     Odd rounds add a hash of b to a, even ones a hash of a to b, each within its size:
     every round can be undone, so the whole is a permutation.
     """
-    tag = [F.lit(key), F.lit(kind), a_size, b_size]
-
     def step(s: Column, turn: Column) -> Column:
         odd = turn % 2 == 1
+        tag = [F.lit(key), F.lit(kind), s.m, s.n]
         return F.struct(
-            F.when(odd, (s.a + _keyed(*tag, turn, s.b)) % a_size).otherwise(s.a).alias("a"),
-            F.when(odd, s.b).otherwise((s.b + _keyed(*tag, turn, s.a)) % b_size).alias("b"),
+            F.when(odd, (s.a + _keyed(*tag, turn, s.b)) % s.m).otherwise(s.a).alias("a"),
+            F.when(odd, s.b).otherwise((s.b + _keyed(*tag, turn, s.a)) % s.n).alias("b"),
+            s.m.alias("m"),
+            s.n.alias("n"),
         )
 
-    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    # The sizes stand in the state, so that they are worked out once.
+    parts = {"a": a, "b": b, "m": a_size, "n": b_size}
+    start = F.struct(*(value.cast("long").alias(name) for name, value in parts.items()))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
@@ -71,10 +79,13 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     """Another string of as many digits (two at least, 36 at most)."""
     size = F.length(digits)
     left = F.floor(size / 2).cast("int")
-    out = feistel(
-        F.left(digits, left).cast("long"), F.right(digits, size - left).cast("long"), _ten_to(left), _ten_to(size - left), key, kind
+    halves = F.left(digits, left).cast("long"), F.right(digits, size - left).cast("long")
+    return _let(
+        feistel(*halves, _ten_to(left), _ten_to(size - left), key, kind),
+        lambda out: F.concat(
+            F.lpad(out.a.cast("string"), left, "0"), F.lpad(out.b.cast("string"), size - left, "0")
+        ),
     )
-    return F.concat(F.lpad(out.a.cast("string"), left, "0"), F.lpad(out.b.cast("string"), size - left, "0"))
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -110,38 +121,60 @@ def _digits(token: Column) -> Column:
 
 
 def _card(token: Column, key: str) -> Column:
-    digits = _digits(token)
-    body = permute_digits(F.left(digits, F.length(digits) - 1), key, "card")
-    check = (10 - _luhn_sum(body, 0) % 10) % 10
-    return F.when(valid_card(digits), _refill(token, F.concat(body, check.cast("string"))))
+    def moved(digits: Column) -> Column:
+        check = lambda body: (10 - _luhn_sum(body, 0) % 10) % 10
+        body = permute_digits(F.left(digits, F.length(digits) - 1), key, "card")
+        whole = _let(body, lambda x: F.concat(x, check(x).cast("string")))
+        return F.when(valid_card(digits), _let(whole, lambda x: _refill(token, x)))
+
+    return _let(_digits(token), moved)
 
 
 def _phone(token: Column, key: str) -> Column:
     country = F.regexp_extract(token, r"^\+([0-9]{1,3})", 1)
-    digits = _digits(token)
-    rest = F.substr(digits, F.length(country) + 1, F.length(digits))
-    valid = F.length(digits).between(8, 15) & (F.length(rest) >= 4)
-    return F.when(valid, _refill(token, F.concat(country, permute_digits(rest, key, "phone"))))
+
+    def moved(x: Column) -> Column:
+        rest = F.substr(x.digits, F.length(x.country) + 1, F.length(x.digits))
+        valid = F.length(x.digits).between(8, 15) & (F.length(rest) >= 4)
+        whole = F.concat(x.country, _let(rest, lambda r: permute_digits(r, key, "phone")))
+        return F.when(valid, _let(whole, lambda w: _refill(token, w)))
+
+    return _let(F.struct(_digits(token).alias("digits"), country.alias("country")), moved)
+
+
+def _moved_day(form: str, key: str):
+    """Text of the day that a day number moves to."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def moved(day: Column) -> Column:
+        parts = [F.lit(n).cast("long") for n in DAY_PARTS]
+        out = feistel(F.floor(day / DAY_PARTS[1]), day % DAY_PARTS[1], *parts, key, "date")
+        other = _let(out, lambda x: F.date_add(first, (x.a * DAY_PARTS[1] + x.b).cast("int")))
+        return F.when(day.between(0, DAYS - 1), F.date_format(other, form))
+
+    return moved
 
 
 def _date(token: Column, key: str) -> Column:
+    first = F.lit(FIRST_DAY).cast("date")
     result = F.lit(None).cast("string")
     for pattern, form in DATE_FORMATS.items():
-        day = F.datediff(F.try_to_timestamp(token, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        parts = [F.lit(n).cast("long") for n in DAY_PARTS]
-        moved = feistel(F.floor(day / DAY_PARTS[1]), day % DAY_PARTS[1], *parts, key, "date")
-        other = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved.a * DAY_PARTS[1] + moved.b).cast("int"))
-        result = F.when(token.rlike(pattern), F.when(day.between(0, DAYS - 1), F.date_format(other, form))).otherwise(result)
+        day = F.datediff(F.try_to_timestamp(token, F.lit(form)).cast("date"), first)
+        result = F.when(token.rlike(pattern), _let(day, _moved_day(form, key))).otherwise(result)
     return result
 
 
 def _ip(token: Column, key: str) -> Column:
-    part = [F.split_part(token, F.lit("."), F.lit(k)).cast("long") for k in range(1, 5)]
     half = F.lit(65536).cast("long")
-    out = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], half, half, key, "ip")
-    octets = (F.floor(out.a / 256), out.a % 256, F.floor(out.b / 256), out.b % 256)
-    valid = F.greatest(*part) <= 255
-    return F.when(valid, F.concat_ws(".", *(o.cast("string") for o in octets)))
+
+    def moved(part: Column) -> Column:
+        o = [part[k].cast("long") for k in range(4)]
+        out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], half, half, key, "ip")
+        octets = lambda x: (F.floor(x.a / 256), x.a % 256, F.floor(x.b / 256), x.b % 256)
+        text = _let(out, lambda x: F.concat_ws(".", *(o.cast("string") for o in octets(x))))
+        return F.when(F.greatest(*o) <= 255, text)
+
+    return _let(F.split(token, r"\."), moved)
 
 
 def _email(token: Column, key: str) -> Column:
