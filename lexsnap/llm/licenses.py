@@ -1,4 +1,8 @@
-"""License scan by a positional index of rare licence words, in native functions only."""
+"""License scan by a positional index of rare licence words, in native functions only.
+
+Each template is looked up by the rarest word of its own key phrase. The phrase must stand
+whole wherever the template is found, so its word finds every such place.
+"""
 
 from __future__ import annotations
 
@@ -39,11 +43,11 @@ TEMPLATES = (
 # Words too frequent in any prose to look a template up by.
 STOP_WORDS = frozenset("0 2 4 a and any are as by can except for forms in into is it may not of or person purpose terms the this to under use v with without you".split())
 
-RARE_WORDS = 6  # looked up per document, those of highest IDF
 LEAST_SHARE = 0.6  # of a template's weight that must stand in place
 
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p in BASE_PHRASES.values() for w in p.split()})
 INDEXED = [w for w in VOCABULARY if w not in STOP_WORDS]
+RARE_WORDS = len(INDEXED)  # of a document that may lead to a template: all of them
 
 
 def words_of(text: Column) -> Column:
@@ -92,32 +96,36 @@ def _base_hits(label: str) -> Column:
     return F.filter(starts, lambda s: _stands(phrase, s))
 
 
-def _rarest(idf: dict[str, float]) -> Column:
-    """The document's indexed words of highest IDF (ties: in order of spelling)."""
-    ranked = sorted(INDEXED, key=lambda w: (-idf[w], w))
-    return F.slice(F.filter(F.array(*map(F.lit, ranked)), lambda w: F.array_contains("present", w)), 1, RARE_WORDS)
+def _key_place(number: int) -> int:
+    """Word of the template at which its key phrase starts."""
+    _, text, key = TEMPLATES[number]
+    return len(f" {text} "[: f" {text} ".index(f" {key} ")].split())
+
+
+def _anchor(number: int, idf: dict[str, float]) -> tuple[str, int]:
+    """Indexed word of the key phrase of highest IDF (ties: in order of spelling), and its place in the template."""
+    key = TEMPLATES[number][2].split()
+    word = min((w for w in key if w in INDEXED), key=lambda w: (-idf[w], w))
+    return word, _key_place(number) + key.index(word)
 
 
-def _candidates() -> Column:
-    """``(template, start)`` where postings of rare words agree in relative position."""
-    postings: dict[str, list[tuple[int, int]]] = {w: [] for w in INDEXED}
-    for number, (_, text, _) in enumerate(TEMPLATES):
-        for q, word in enumerate(text.split()):
-            if word in postings:
-                postings[word].append((number, q))
+def _candidates(idf: dict[str, float]) -> Column:
+    """``(template, start)`` of every place of the word that a template is looked up by."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for number in range(len(TEMPLATES)):
+        word, q = _anchor(number, idf)
+        postings.setdefault(word, []).append((number, q))
     index = F.create_map(
         *(
             x
             for word, entries in postings.items()
             for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in entries)))
-            if entries
         )
     )
-    rare = F.filter("found", lambda x: F.array_contains("rare", x.word))
-    votes = F.flatten(
+    rare = F.filter("found", lambda x: x.word.isin(list(postings)))
+    return F.flatten(
         F.transform(rare, lambda x: F.transform(F.element_at(index, x.word), lambda p: F.struct(p.t.alias("t"), (x["at"] - p.q).alias("start"))))
     )
-    return F.array_distinct(votes)
 
 
 def _weight_in_place(number: int, idf: dict[str, float], start: Column) -> Column:
@@ -136,10 +144,8 @@ def _judged(idf: dict[str, float]) -> Column:
 
     def judge(c: Column) -> Column:
         result = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("share"))
-        for number, (label, text, key) in enumerate(TEMPLATES):
-            shift = f" {text} ".index(f" {key} ")
-            shift = len(text[:shift].split())
-            verified = _stands(key.split(), c.start + shift)
+        for number, (label, _, key) in enumerate(TEMPLATES):
+            verified = _stands(key.split(), c.start + _key_place(number))
             share = F.when(verified, _weight_in_place(number, idf, c.start)).otherwise(F.lit(0.0))
             result = F.when(c.t == number, F.struct(F.lit(label).alias("label"), share.alias("share"))).otherwise(result)
         return result
@@ -165,10 +171,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     idf = inverse_frequencies(scanned)
     places = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     rows = scanned.withColumn("found", F.filter(places, lambda x: x.word.isin(INDEXED)))
-    rows = rows.withColumn("present", F.array_distinct("found.word"))
     bases = (F.struct(F.lit(label).alias("label"), _base_hits(label).alias("hits")) for label in BASE_PHRASES)
-    rows = rows.withColumn("base", F.array(*bases)).withColumn("rare", _rarest(idf))
-    rows = rows.withColumn("candidates", _candidates()).withColumn("judged", _judged(idf))
+    rows = rows.withColumn("base", F.array(*bases))
+    rows = rows.withColumn("candidates", _candidates(idf)).withColumn("judged", _judged(idf))
     starts = F.flatten("base.hits")
     base_labels = F.filter("base", lambda b: F.size(b.hits) > 0)["label"]
     every = F.array_sort(F.array_distinct(F.concat(base_labels, F.col("judged.label"))))

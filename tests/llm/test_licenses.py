@@ -92,3 +92,30 @@ def test_empty_table_and_plan_without_python(spark):
     assert scanned.count() == 0
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def everywhere(w, idf):
+    """Labels and best share by trying every template at every place, however it is found."""
+    out = []
+    for label, text, key in L.TEMPLATES:
+        t, k = text.split(), key.split()
+        shift = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        weights = [idf.get(x, 0.25) for x in t]
+        for at in range(len(w)):
+            if w[at : at + len(k)] == k:
+                there = [0 <= at - shift + q < len(w) and w[at - shift + q] == x for q, x in enumerate(t)]
+                share = round(sum(v for v, held in zip(weights, there) if held) / sum(weights), 9)
+                out += [(label, share)] * (share >= L.LEAST_SHARE)
+    return out
+
+
+def test_every_licence_beside_every_other(spark):
+    texts = [f"{a}. {b}" for _, a, _ in L.TEMPLATES for _, b, _ in L.TEMPLATES]
+    texts += [" ".join(x for _, x, _ in L.TEMPLATES), " ".join(L.INDEXED) + " " + L.TEMPLATES[7][1]]
+    docs = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    idf = L.inverse_frequencies(L.licence_words(docs))
+    for row in L.scan_licenses(docs).collect():
+        w, hits = base(texts[row.doc_id])
+        assert row.labels == ",".join(sorted({x for _, x in hits} | {x for x, _ in everywhere(w, idf)})), texts[row.doc_id]
+    both = f"{L.TEMPLATES[1][1]} {L.TEMPLATES[7][1]}"
+    assert L.scan_licenses(spark.createDataFrame([(1, both, None, 1)], SCHEMA)).first().labels == "gpl,mit"
