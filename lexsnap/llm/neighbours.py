@@ -6,7 +6,7 @@ a node meet: each pair of them of which one is new is compared, and whoever gets
 better neighbour keeps it. Search: from its own node a query goes on along the edges (both
 ways) of the best nodes it has seen, until the best ones have all been visited.
 
-Inside, vectors are codes of one byte per component; the final ranking is exact.
+Every comparison is of the original vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -21,52 +21,74 @@ from pyspark.sql.window import Window
 
 from lexsnap.session import materialize
 
-NEIGHBOURS = 32
+EFFORT_ROWS = 50_000  # up to which the least neighbours, beam and visits do
+NEIGHBOURS, MORE_NEIGHBOURS = 32, 0  # the second for each doubling beyond EFFORT_ROWS
+BEAM, VISITS, MORE_VISITS = 160, 48, 0
 REVERSE = 16
-TABLES, SIGNS = 8, 24
+TABLES, SIGNS, LINE_BITS = 8, 24, 38
 BLOCK_ROWS = 4096
 START_NEIGHBOURS = 16  # per table
-ROUNDS = 3
 OFFERS = 8  # that a meeting makes to each who takes part
 SETTLED = 0.02  # share of new edges below which the rounds end
-BEAM, VISITS, SEARCH_ROUNDS = 160, 48, 5
 SEED = 7
 
 
-def _codes(matrix: np.ndarray) -> np.ndarray:
-    """Each row scaled so that its largest component is 127."""
-    return np.rint(matrix * (127 / np.abs(matrix).max(axis=1, keepdims=True))).astype(np.int8)
+def _doublings(count: int) -> float:
+    return max(0.0, float(np.log2(max(1, count) / EFFORT_ROWS)))
 
 
-def _unit(codes: np.ndarray) -> np.ndarray:
-    rows = codes.astype(np.float32)
+def neighbours_of(count: int) -> int:
+    """Edges that a node keeps in a graph of ``count`` nodes."""
+    return NEIGHBOURS + round(MORE_NEIGHBOURS * _doublings(count))
+
+
+def visits_of(count: int) -> int:
+    """Best nodes of a query that must all have been visited before it ends."""
+    return VISITS + round(MORE_VISITS * _doublings(count))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square is lost or infinite."""
+    rows = vectors.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _from_binary(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of bytes of one binary column without nulls."""
+    """Rows of floats of one binary column without nulls."""
     column = column if not isinstance(column, pa.ChunkedArray) else column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(-1, width)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, width)
 
 
-def _to_binary(codes: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in codes], pa.binary())
+def _to_binary(vectors: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in vectors], pa.binary())
 
 
 def _encode(width: int):
+    """The vectors as bytes, and per table the signs and, below them, the place along a line.
+
+    The line orders what no plane parts, such as large groups of near copies.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(SEED).normal(size=(width, TABLES * SIGNS)).astype(np.float32)
+        random = np.random.default_rng(SEED)
+        planes = random.normal(size=(width, TABLES * SIGNS))
+        lines = random.normal(size=(width, TABLES))
+        lines /= np.linalg.norm(lines, axis=0)
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            codes = _codes(flat.reshape(-1, width).astype(np.float64))
-            signs = (codes.astype(np.float32) @ planes > 0).reshape(-1, TABLES, SIGNS)
+            vectors = flat.reshape(-1, width).astype(np.float32)
+            unit = _unit(vectors)
+            signs = (unit @ planes > 0).reshape(-1, TABLES, SIGNS)
             keys = signs @ (1 << np.arange(SIGNS, dtype=np.int64)[::-1])
+            place = ((unit @ lines + 1) * (1 << LINE_BITS - 1)).astype(np.int64)
+            keys = (keys << LINE_BITS) + np.clip(place, 0, (1 << LINE_BITS) - 1)
             offsets = pa.array(np.arange(0, keys.size + 1, TABLES, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), _to_binary(codes), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                [batch.column("node"), _to_binary(vectors), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
                 ["node", "code", "keys"],
             )
 
@@ -79,7 +101,7 @@ def _best(scores: np.ndarray, count: int) -> np.ndarray:
 
 
 def _edges(nodes, others, scores) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(nodes, np.int64)), pa.array(np.asarray(others, np.int64)), pa.array(np.asarray(scores, np.float32))]
+    columns = [pa.array(np.asarray(nodes, np.int64)), pa.array(np.asarray(others, np.int64)), pa.array(np.asarray(scores, np.float64))]
     return pa.RecordBatch.from_arrays(columns, ["node", "other", "score"])
 
 
@@ -139,14 +161,15 @@ def _meet(width: int):
             ids = flat.field("member").to_numpy(zero_copy_only=False)
             fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
             worst = flat.field("worst").to_numpy(zero_copy_only=False)
-            unit = _unit(_from_binary(flat.field("code"), width)) if len(ids) else None
+            vectors = _from_binary(flat.field("code"), width) if len(ids) else None
             ends = np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
             out: list[tuple] = []
             for start, end in zip(np.append(0, ends[:-1]), ends):
                 if end - start < 2 or not fresh[start:end].any():
                     continue
                 part = slice(start, end)
-                scores = unit[part] @ unit[part].T
+                unit = _unit(vectors[part])
+                scores = unit @ unit.T
                 new = fresh[part]
                 scores[~(new[:, None] | new[None, :]) | (scores <= worst[part][:, None])] = -9
                 np.fill_diagonal(scores, -9)
@@ -178,67 +201,71 @@ def _top(edges: DataFrame, by: str, other: str, count: int, order: list[Column]
     return edges.withColumn("place", F.row_number().over(window)).where(F.col("place") <= count).drop("place")
 
 
-def _merged(graph: DataFrame, offers: DataFrame) -> DataFrame:
+def _merged(graph: DataFrame, offers: DataFrame, count: int) -> DataFrame:
     """The graph with the offers that are good enough; what it had is no longer fresh."""
     both = graph.select("node", "other", "score", F.lit(False).alias("fresh")).unionByName(
         offers.select("node", "other", "score", F.lit(True).alias("fresh"))
     )
     single = both.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-    return materialize(_top(single, "node", "other", NEIGHBOURS), "graph")
+    return materialize(_top(single, "node", "other", count), "graph")
 
 
 def neighbour_graph(codes: DataFrame, width: int) -> DataFrame:
-    """``(node, other, score, fresh)``: about the nearest NEIGHBOURS of each node.
+    """``(node, other, score, fresh)``: about the nearest ``neighbours_of`` nodes of each.
 
     ``codes`` is a stored table ``(node, code, keys)`` of different vectors.
     """
     count = codes.count()
+    kept = neighbours_of(count)
     blocks = max(1, -(-count * TABLES // BLOCK_ROWS))
     spread = codes.select("node", "code", F.posexplode("keys").alias("table", "key"))
     spread = spread.repartitionByRange(blocks, "table", "key").sortWithinPartitions("table", "key", "node")
-    start = spread.select("table", "node", "code").mapInArrow(_compare_blocks(width), "node long, other long, score float")
-    graph = _merged(start.limit(0).select("node", "other", "score"), start)
+    start = spread.select("table", "node", "code").mapInArrow(_compare_blocks(width), "node long, other long, score double")
+    graph = _merged(start.limit(0).select("node", "other", "score"), start, kept)
 
-    for turn in range(ROUNDS):
+    for turn in range(3):
         back = graph.select(F.col("other").alias("node"), F.col("node").alias("member"), "fresh")
         back = _top(back, "node", "member", REVERSE, [F.col("fresh").desc(), F.xxhash64("member", F.lit(turn)), F.col("member")])
         around = graph.select("node", F.col("other").alias("member"), "fresh").unionByName(back)
         around = around.groupBy("node", "member").agg(F.max("fresh").alias("fresh"))
         worst = graph.groupBy("node").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-        worst = worst.select("node", F.when(F.col("n") < NEIGHBOURS, -2.0).otherwise(F.col("low")).cast("float").alias("worst"))
+        worst = worst.select("node", F.when(F.col("n") < kept, -2.0).otherwise(F.col("low")).alias("worst"))
         known = materialize(codes.select("node", "code").join(worst, "node", "left").select(
-            F.col("node").alias("member"), "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst")
+            F.col("node").alias("member"), "code", F.coalesce("worst", F.lit(-2.0)).alias("worst")
         ), "members")
         met = around.join(known, "member").groupBy("node").agg(
             F.collect_list(F.struct("member", "fresh", "worst", "code")).alias("members")
         )
-        offers = met.select("members").mapInArrow(_meet(width), "node long, other long, score float")
-        graph = _merged(graph, offers)
-        if graph.where("fresh").count() < SETTLED * count * NEIGHBOURS:
+        offers = met.select("members").mapInArrow(_meet(width), "node long, other long, score double")
+        graph = _merged(graph, offers, kept)
+        if graph.where("fresh").count() <= SETTLED * count * kept:
             break
     return graph
 
 
 def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width: int) -> DataFrame:
-    """``(query, node)``: the best BEAM nodes found for each query node, itself included."""
+    """``(query, node)``: the best nodes found for each query node, itself included."""
     codes = codes.select("node", "code")
-    back = _top(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), "node", "other", NEIGHBOURS)
+    count = codes.count()
+    kept, visits = neighbours_of(count), visits_of(count)
+    held = max(BEAM, 2 * visits)
+    back = _top(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), "node", "other", kept)
     ways = materialize(graph.select("node", "other").union(back.select("node", "other")).distinct(), "ways")
     wanted = materialize(queries.join(codes, "node").select(F.col("node").alias("query"), F.col("code").alias("query_code")), "queries")
-    beam = wanted.select("query", F.col("query").alias("node"), F.lit(2.0).cast("float").alias("score"), F.lit(False).alias("visited"))
-    for _ in range(SEARCH_ROUNDS):
-        best = _top(beam, "query", "node", VISITS).where("not visited").select("query", "node")
+    beam = wanted.select("query", F.col("query").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("visited"))
+    for _ in range(5):
+        best = _top(beam, "query", "node", visits).where("not visited").select("query", "node")
         best = materialize(best, "visits")
         if best.isEmpty():
             break
         reached = best.join(ways, "node").select("query", F.col("other").alias("node")).distinct()
         reached = reached.join(beam.select("query", "node"), ["query", "node"], "left_anti")
         paired = reached.join(codes, "node").join(wanted, "query").select("query", "node", "query_code", "code")
-        found = paired.mapInArrow(_score_pairs(width), "query long, node long, score float")
+        found = paired.mapInArrow(_score_pairs(width), "query long, node long, score double")
         seen = beam.join(best.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
             "query", "node", "score", (F.col("visited") | F.col("now").isNotNull()).alias("visited")
         )
-        beam = materialize(_top(seen.unionByName(found.withColumn("visited", F.lit(False))), "query", "node", BEAM), "beam")
+        beam = materialize(_top(seen.unionByName(found.withColumn("visited", F.lit(False))), "query", "node", held), "beam")
     return beam.select("query", "node")
 
 

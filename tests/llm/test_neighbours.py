@@ -75,3 +75,15 @@ def test_fewer_candidates_than_asked_for_and_none(spark):
     assert sorted(got) == [(0, 1, 1), (0, 2, 2)]
     assert N.nearest_neighbours(three.limit(0), F.col("vec_id") == 0).count() == 0
     assert N.nearest_neighbours(three.limit(1), F.col("vec_id") == 0).count() == 0
+
+
+def recall(spark, matrix, every):
+    rows = [(i, v, None) for i, v in enumerate(matrix.astype(np.float32).tolist())]
+    got = N.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % every == 0).collect()
+    return compare(got, brute(rows, lambda i: i % every == 0, 5))
+
+
+def test_near_copies_closer_than_a_byte_tells_apart(spark):
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=64) + 0.002 * rng.normal(size=(3000, 64))
+    assert recall(spark, np.concatenate([group, rng.normal(size=(1000, 64))]), 20) >= 0.95
