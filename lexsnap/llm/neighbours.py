@@ -6,11 +6,14 @@ a node meet: each pair of them of which one is new is compared, and whoever gets
 better neighbour keeps it. Search: from its own node a query goes on along the edges (both
 ways) of the best nodes it has seen, until the best ones have all been visited.
 
-Every comparison is of the original vectors, in double precision.
+Every comparison is of the original vectors, in double precision. Nothing but the data
+ends the rounds: those of the graph when few edges are new, those of a query when its
+best nodes stay the same. How many these are grows with the number of nodes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,8 @@ from pyspark.sql.window import Window
 from lexsnap.session import materialize
 
 EFFORT_ROWS = 50_000  # up to which the least neighbours, beam and visits do
-NEIGHBOURS, MORE_NEIGHBOURS = 32, 0  # the second for each doubling beyond EFFORT_ROWS
-BEAM, VISITS, MORE_VISITS = 160, 48, 0
+NEIGHBOURS, MORE_NEIGHBOURS = 40, 8  # the second for each doubling beyond EFFORT_ROWS
+BEAM, VISITS, MORE_VISITS = 160, 64, 64
 REVERSE = 16
 TABLES, SIGNS, LINE_BITS = 8, 24, 38
 BLOCK_ROWS = 4096
@@ -223,7 +226,8 @@ def neighbour_graph(codes: DataFrame, width: int) -> DataFrame:
     start = spread.select("table", "node", "code").mapInArrow(_compare_blocks(width), "node long, other long, score double")
     graph = _merged(start.limit(0).select("node", "other", "score"), start, kept)
 
-    for turn in range(3):
+    # Ends by itself: a round with fresh edges has made the graph better.
+    for turn in itertools.count():
         back = graph.select(F.col("other").alias("node"), F.col("node").alias("member"), "fresh")
         back = _top(back, "node", "member", REVERSE, [F.col("fresh").desc(), F.xxhash64("member", F.lit(turn)), F.col("member")])
         around = graph.select("node", F.col("other").alias("member"), "fresh").unionByName(back)
@@ -253,7 +257,7 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width:
     ways = materialize(graph.select("node", "other").union(back.select("node", "other")).distinct(), "ways")
     wanted = materialize(queries.join(codes, "node").select(F.col("node").alias("query"), F.col("code").alias("query_code")), "queries")
     beam = wanted.select("query", F.col("query").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("visited"))
-    for _ in range(5):
+    while True:  # a node that has left a beam is worse than all of it and never comes back
         best = _top(beam, "query", "node", visits).where("not visited").select("query", "node")
         best = materialize(best, "visits")
         if best.isEmpty():

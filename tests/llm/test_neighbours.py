@@ -87,3 +87,14 @@ def test_near_copies_closer_than_a_byte_tells_apart(spark):
     rng = np.random.default_rng(3)
     group = rng.normal(size=64) + 0.002 * rng.normal(size=(3000, 64))
     assert recall(spark, np.concatenate([group, rng.normal(size=(1000, 64))]), 20) >= 0.95
+
+
+def test_a_search_goes_on_until_its_best_stay_the_same(spark):
+    # One way of twelve steps, each nearer to the query than the one before.
+    angles = [0.0] + [1.5 - 0.1 * k for k in range(12)]
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<float>")
+    codes = nodes.mapInArrow(N._encode(2), "node long, code binary, keys array<long>")
+    graph = spark.createDataFrame([(i, i + 1, 0.0) for i in range(12)], "node long, other long, score double")
+    found = N.greedy_search(graph, codes, spark.createDataFrame([(0,)], "node long"), 2)
+    assert {r.node for r in found.collect()} == set(range(13))
