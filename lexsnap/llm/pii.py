@@ -6,10 +6,15 @@ not validate (a card number with a wrong check digit, 31 February) stays as it i
 
 | kind | valid if | permuted |
 | card | 13 to 19 digits, blanks or hyphens between, right check digit | all but the check digit, which is set anew |
-| phone | + and country code, 8 to 15 digits in all | the digits after the country code |
-| date | of the years 1700 to 2099 | the day within these 400 years |
+| phone | + and country code, 8 to 15 digits in all; or (NNN) NNN-NNNN, NNN-NNN-NNNN | the digits after the country code |
+| date | of the years 1700 to 2099, day first or else month first | the day within these 400 years, day first |
 | ip | four numbers up to 255 | the 32 bits |
 | email | local part and domain | the local part becomes a keyed name |
+
+Other numbers may stand beside them. In a run of digit groups every part of whole groups is
+tried as a card; from the left, 16 digits before other lengths, longer before shorter ones.
+A phone of country code 1 has 10 digits more; others end with the last group that fits
+into 15 digits, as the lengths of their countries are not held here.
 """
 
 from __future__ import annotations
@@ -22,8 +27,16 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/|-[0-9]{2}-)[0-9]{4})(?![0-9]|[./-][0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){1,4}(?![0-9])"
-CARD = r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+NATIONAL = r"(?<![0-9+(./-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])"
+PHONE = (
+    r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])"
+    r"|\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){1,4}(?![0-9])"
+    # 8 to 15 digits; written out, as a repeated group has no length for a lookbehind
+    rf"(?<=\+{'[0-9][ ()-]{0,2}' * 7}{'(?:[0-9][ ()-]{0,2})?' * 7}[0-9])"
+    rf"|{NATIONAL}"
+)
+# A run of digit groups, up to where something else starts; cards are looked for inside.
+CARD = rf"(?<![0-9+])(?=(?:[0-9][ -]?){{13}})[0-9]++(?:[ -](?!{EMAIL}|{DATE}|{IP}|{NATIONAL})[0-9]++)*+"
 CANDIDATE = "|".join((EMAIL, DATE, IP, PHONE, CARD))
 
 # 400 years have 146097 days, always; 146097 = 189 * 773.
@@ -35,6 +48,8 @@ DATE_FORMATS = {
     r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$": "dd/MM/yyyy",
     r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$": "dd-MM-yyyy",
 }
+# Where no day-first date stands. Only the day counts: 03/25/2020 and 25/03/2020 are equal.
+MONTH_FIRST = {"dd/MM/yyyy": "MM/dd/yyyy", "dd-MM-yyyy": "MM-dd-yyyy"}
 KINDS = ("card", "phone", "date", "ip", "email")
 
 
@@ -130,6 +145,45 @@ def _card(token: Column, key: str) -> Column:
     return _let(_digits(token), moved)
 
 
+def _cards(token: Column, key: str) -> Column:
+    """``(text, n)``: a run of digit groups with its ``n`` cards replaced."""
+    groups, gaps = F.split(token, "[ -]"), F.regexp_extract_all(token, F.lit("([ -])"), F.lit(1))
+
+    def walk(run: Column) -> Column:
+        last = F.size(run.groups) - 1
+
+        def part(first: Column, end: Column) -> Column:
+            return F.array_join(F.slice(run.groups, first + 1, end - first + 1), "")
+
+        def tried(first: Column, end: Column) -> Column:
+            digits = part(first, end)
+            size = F.length(digits)
+            order = F.when(size == 16, 0).otherwise(40 - size)
+            return F.when(valid_card(digits), F.struct(order.alias("order"), end.alias("end"), digits.alias("digits")))
+
+        def step(s: Column, k: Column) -> Column:
+            ends = F.sequence(k, F.least(k + 18, last))
+            found = F.array_min(F.transform(ends, lambda end: tried(k, end)))
+
+            def take(best: Column) -> Column:
+                # As many gaps as groups but one, put back where they stood.
+                shape = F.array_join(
+                    F.zip_with(F.slice(run.groups, k + 1, best.end - k + 1), F.slice(run.gaps, k + 1, best.end - k), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), ""
+                )
+                gap = F.coalesce(F.get(run.gaps, best.end), F.lit(""))
+                return F.struct(F.concat(s.text, _card(shape, key), gap).alias("text"), (s.n + 1).alias("n"), (best.end + 1).alias("at"))
+
+            plain = F.struct(
+                F.concat(s.text, F.get(run.groups, k), F.coalesce(F.get(run.gaps, k), F.lit(""))).alias("text"), s.n.alias("n"), (k + 1).alias("at")
+            )
+            return F.when(k < s["at"], s).otherwise(_let(found, lambda best: F.when(best.isNotNull(), take(best)).otherwise(plain)))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step)
+
+    return _let(F.struct(groups.alias("groups"), gaps.alias("gaps")), walk)
+
+
 def _phone(token: Column, key: str) -> Column:
     country = F.regexp_extract(token, r"^\+([0-9]{1,3})", 1)
 
@@ -159,7 +213,8 @@ def _date(token: Column, key: str) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     result = F.lit(None).cast("string")
     for pattern, form in DATE_FORMATS.items():
-        day = F.datediff(F.try_to_timestamp(token, F.lit(form)).cast("date"), first)
+        forms = [form, *([MONTH_FIRST[form]] if form in MONTH_FIRST else [])]
+        day = F.datediff(F.coalesce(*(F.try_to_timestamp(token, F.lit(f)).cast("date") for f in forms)), first)
         result = F.when(token.rlike(pattern), _let(day, _moved_day(form, key))).otherwise(result)
     return result
 
@@ -185,7 +240,7 @@ def _email(token: Column, key: str) -> Column:
 def _kind(token: Column) -> Column:
     return (
         F.when(token.contains("@"), "email")
-        .when(token.startswith("+"), "phone")
+        .when(token.startswith("+") | token.startswith("(") | token.rlike("^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
         .when(token.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
         .when(F.length(token) == 10, "date")
         .otherwise("card")
@@ -193,16 +248,17 @@ def _kind(token: Column) -> Column:
 
 
 def pseudonym(token: Column, key: str) -> Column:
-    """``(kind, text)`` of a candidate; text is null where it does not validate."""
+    """``(kind, text, n)`` of a candidate: how many it holds; text is null where it does not validate."""
     kind = _kind(token)
     text = (
         F.when(kind == "email", _email(token, key))
         .when(kind == "phone", _phone(token, key))
         .when(kind == "ip", _ip(token, key))
         .when(kind == "date", _date(token, key))
-        .otherwise(_card(token, key))
     )
-    return F.struct(kind.alias("kind"), text.alias("text"))
+    one = _let(text, lambda t: F.struct(t.alias("text"), t.isNotNull().cast("int").alias("n")))
+    named = F.when(kind == "card", F.transform(F.array(_cards(token, key)), lambda c: F.struct(c.text.alias("text"), c.n.alias("n")))[0]).otherwise(one)
+    return _let(named, lambda x: F.struct(kind.alias("kind"), x.text.alias("text"), x.n.alias("n")))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -227,7 +283,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     text = F.when(F.size("tokens") > 0, merged).otherwise(F.col("doc.text"))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("names", lambda n: (n.kind == kind) & n.text.isNotNull())).cast("long").alias(f"n_{kind}")
+        mine = F.filter("names", lambda n: n.kind == kind)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda total, n: total + n.n).alias(f"n_{kind}")
 
     kept = [text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in columns]
     return rows.select(*kept, *(count(kind) for kind in KINDS))

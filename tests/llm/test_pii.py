@@ -115,3 +115,35 @@ def test_counts(spark):
     text = "a@b.org 4929348385146306 4952935900253050 2024-02-29 10.0.0.1 +1 (017) 555-7713"
     row = P.pseudonymised(spark.createDataFrame([(1, text, None)], SCHEMA), KEY).first()
     assert (row.n_email, row.n_card, row.n_date, row.n_ip, row.n_phone) == (1, 1, 1, 1, 1)
+
+
+PHONE10 = "+1 (555) 123-4567"
+
+
+def test_numbers_beside_personal_data(spark):
+    # Braces mark what is personal; everything else must stay.
+    marked = [
+        "{4111111111111111} 12/26", "{4111111111111111} 123", "2 {4111 1111 1111 1111}", "7-{4111-1111-1111-1111} 88 9",
+        "{4111111111111111} {4929 3483 8514 6306}", "{4111111111111111} {2024-02-29} 5", "{4111111111111111} {10.0.0.1}",
+        "{4111111111111111} {12ab@x.org}", "{+1 (555) 123-4567} 2024 1999", "{+1 (826) 555-4081} 190", "{+1 (826) 555-4081}",
+        "{+49 30 1234567} 123456", "12 {2024-02-29} 7", "1" * 40, "4111111111111112 12/26", "5 12 7",
+    ]
+    texts = [t.replace("{", "").replace("}", "") for t in marked]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in P.pseudonymised(rows, KEY).collect()}
+    for i, text in enumerate(marked):
+        assert got[i].text == re.sub(r"\{(.*?)\}", lambda m: expected(m[1]), text), text
+        assert sum(got[i][f"n_{k}"] for k in P.KINDS) == text.count("{"), text
+
+
+def test_month_first_dates_and_national_phones(spark):
+    texts = ["12/25/2020 25/12/2020", "on 12-25-2020 7", "31/11/1999", "(555) 123-4567 190", "555-123-4567", "+1 (555) 123-4567", "7 (555) 123-4567 2024", "12 555-123-4567 1999"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in P.pseudonymised(rows, KEY).collect()}
+    assert got[0].text == f"{expected('25/12/2020')} {expected('25/12/2020')}" and got[0].n_date == 2
+    assert got[1].text == f"on {expected('25-12-2020')} 7"
+    assert got[2].text == texts[2] and got[2].n_date == 0
+    assert got[3].text == expected(PHONE10)[3:] + " 190" and got[5].text == expected(PHONE10)
+    assert re.sub("[^0-9]", "", got[4].text) == re.sub("[^0-9]", "", expected(PHONE10))[1:]
+    assert [got[i].n_phone for i in range(3, 8)] == [1, 1, 1, 1, 1]
+    assert got[6].text == f"7{expected(PHONE10)[2:]} 2024" and got[7].text == f"12 {got[4].text} 1999"
