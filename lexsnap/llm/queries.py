@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pii, quality, substring_dedup, warc
+from lexsnap.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, pii, quality, substring_dedup, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +89,8 @@ PSEUDONYM_KEY = "sample-key-1"
 @query
 def op6_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.pseudonymised(table(spark, d, "documents"), PSEUDONYM_KEY)
+
+
+@query
+def op11_block_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(table(spark, d, "embeddings"))
