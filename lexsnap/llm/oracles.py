@@ -113,5 +113,38 @@ FROM measured
 """
 
 
+def _linked_by_shingles(percent: int, extra: str = "") -> str:
+    """Components of documents whose shingle sets have at least this Jaccard similarity."""
+    return rf"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(words) - 4, 1) + 1), lambda k: array_to_string(words[k:k + 4], ' '))) END AS shingles
+    FROM split
+), grams AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS gram FROM sets
+), links AS (
+    SELECT a.doc_id AS one, b.doc_id AS other
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+    SELECT one, other FROM links
+    UNION
+    SELECT r.one, l.other FROM reach r JOIN links l ON r.other = l.one
+), least AS (
+    SELECT one, min(other) AS smallest FROM reach GROUP BY one
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(smallest, doc_id)) AS component_id{extra}
+FROM sets LEFT JOIN least ON doc_id = one
+"""
+
+
+OP9 = _linked_by_shingles(75, ", doc_id = least(doc_id, coalesce(smallest, doc_id)) AS kept")
+OP13 = _linked_by_shingles(80)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op3_mixing": OP3, "op8_exact_dedup": OP8, "op12_filter_tries": OP12}
+    return {"op9_superminhash_dedup": OP9, "op13_rare_first_join": OP13, "op2_warc": OP2, "op3_mixing": OP3, "op8_exact_dedup": OP8, "op12_filter_tries": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsnap.llm import exact_dedup, filter_audit, licenses, mixing, near_dedup, neighbours, packing, pii, quality, substring_dedup, warc, whitening
+from lexsnap.llm import exact_dedup, filter_audit, jaccard_join, licenses, mixing, near_dedup, neighbours, packing, pii, quality, substring_dedup, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +99,8 @@ def op11_block_whitening(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op12_filter_tries(spark: SparkSession, d: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op13_rare_first_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.similar_sets(table(spark, d, "documents"))
