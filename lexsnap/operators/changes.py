@@ -19,12 +19,15 @@ def require_keys(df: DataFrame, key: str = KEY, unique: bool = True) -> None:
 
     A null key matches nothing, so it would count as inserted and deleted.
     """
-    if not df.filter(F.col(key).isNull()).isEmpty():
-        raise ValueError(f"{key} is null in some row")
     if unique:
-        twice = df.groupBy(key).count().filter("count > 1").first()
-        if twice is not None:
-            raise ValueError(f"{key} {twice[key]!r} is not unique")
+        df = df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1))
+    else:
+        df = df.filter(F.col(key).isNull())
+    wrong = df.select(key).first()
+    if wrong is not None:
+        if wrong[key] is None:
+            raise ValueError(f"{key} is null in some row")
+        raise ValueError(f"{key} {wrong[key]!r} is not unique")
 
 
 def compare_snapshots(

@@ -236,6 +236,21 @@ def kept_items(qa: DataFrame, sentinel: str = FAILED_QUESTION) -> DataFrame:
     return qa.filter(F.col("question") != sentinel)
 
 
+def with_outcome(generated: DataFrame) -> DataFrame:
+    """``(permalink, qa_list, attempts, error)``; a generator that reports nothing has not failed."""
+    defaults = {"attempts": F.lit(1).cast("long"), "error": F.lit(None).cast("string")}
+    missing = {c: v for c, v in defaults.items() if c not in generated.columns}
+    return generated.withColumns(missing).select(KEY, "qa_list", "attempts", "error")
+
+
+def after_kept(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """New items of documents, numbered on from the last id that is kept of each."""
+    last = kept.groupBy(KEY).agg(F.max("id").alias("last"))
+    return items.join(last, KEY, "left").select(
+        (F.col("id") + F.coalesce("last", F.lit(0))).alias("id"), KEY, "question", "answer"
+    )
+
+
 def regenerate_failed(
     qa: DataFrame,
     regulations: DataFrame,
@@ -276,17 +291,7 @@ def regenerate_failed(
             "item.answer",
         )
     else:
-        last = kept.groupBy(KEY).agg(F.max("id").alias("last"))
-        renewed = (
-            explode_qa(fresh)
-            .join(last, KEY, "left")
-            .select(
-                (F.col("id") + F.coalesce("last", F.lit(0))).alias("id"),
-                KEY,
-                "question",
-                "answer",
-            )
-        )
+        renewed = after_kept(explode_qa(fresh), kept)
     return kept.select("id", KEY, "question", "answer").unionByName(renewed)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from lexsnap.plans.snapshot_jobs import (
     audit_tables,
     flattened_vectors,
     read_tables,
+    retry_failures as retry_job,
     sync_snapshot,
     write_audit,
 )
@@ -31,6 +33,7 @@ from lexsnap.schemas import (
 from lexsnap.session import materialize, scratch_path
 from lexsnap.sources import tables as S
 from lexsnap.sources.listing import listing_rows, missing_pages, read_listing_pages
+from lexsnap.sources.versions import bucket_of
 from lexsnap.streaming import snapshot_sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +363,7 @@ def sync_stream(spark, d):
             snapshot_id,
             listing_rows(pages),
             A.detail_responses(spark, d),
-            generate=_generate,
+            generate=_attempt,
             embed=lambda records: A.embed(spark, d, records),
             missing=missing_pages(pages),
         )
@@ -380,6 +383,63 @@ def sync_stream(spark, d):
     )
 
 
+@query
+def sync_touched_buckets(spark, d):
+    """The new snapshot changes only documents of src0; where the rows lie then, and since when."""
+    base = scratch_path(spark, "buckets")
+    of_src0 = A.table(spark, d, "documents").filter("source = 'src0'")
+    of_src0 = of_src0.select(F.concat(F.lit("doc-"), "doc_id").alias(KEY))
+    rows = A.listing_old(spark, d)
+    changed = A.listing_new(spark, d).join(of_src0, KEY, "left_semi")
+    mixed = changed.unionByName(rows.join(of_src0, KEY, "left_anti"))
+    for name, listed in (("1-old", rows), ("2-new", mixed)):
+        version = sync_snapshot(
+            spark,
+            base,
+            name,
+            listed,
+            A.detail_responses(spark, d, with_body=False),
+            generate=_attempt,
+            embed=lambda records: A.embed(spark, d, records),
+            audit=False,
+            buckets=A.SYNC_BUCKETS,
+        )
+    written = spark.createDataFrame(
+        list(enumerate(version.buckets["regulation"])), "bucket long, written long"
+    )
+    stored = read_tables(spark, base)["regulation"]
+    counts = stored.groupBy(bucket_of(KEY, A.SYNC_BUCKETS).alias("bucket")).agg(
+        F.count("*").alias("documents"), F.max("status_dokumen").alias("last_status")
+    )
+    return counts.join(written, "bucket")
+
+
+@query
+def retry_failures(spark, d):
+    """Published vectors and the ledger of failures after a load and a later retry."""
+    base = scratch_path(spark, "retry")
+
+    def embed(records):
+        return A.embed(spark, d, records)
+
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    sync_snapshot(
+        spark, base, "1", A.listing_old(spark, d), A.detail_responses(spark, d),
+        generate=_attempt, embed=embed, audit=False, now=start,
+    )
+    retry_job(spark, base, _attempt_again, embed, now=start + datetime.timedelta(hours=2))
+    tables = read_tables(spark, base)
+    records = tables["vectors"].groupBy(F.col("metadata.permalink").alias(KEY)).agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("document") == qa.FAILED_QUESTION).alias("failed_records"),
+        F.max("id").alias("last_id"),
+    )
+    ledger = tables["failures"].withColumn(
+        "next_try", F.date_format("next_try", "yyyy-MM-dd HH:mm")
+    )
+    return tables["regulation"].select(KEY).join(records, KEY, "left").join(ledger, KEY, "left")
+
+
 # ---- text -------------------------------------------------------------------
 
 
@@ -440,9 +500,16 @@ def jakarta_stamp(spark, d):
 # ---- questions and answers --------------------------------------------------
 
 
+def _attempt(documents: DataFrame) -> DataFrame:
+    return qa.generate_qa(documents, A.halves, max_attempts=2, wait_seconds=0.0)
+
+
+def _attempt_again(documents: DataFrame) -> DataFrame:
+    return qa.generate_qa(documents, A.halves_later, max_attempts=2, wait_seconds=0.0)
+
+
 def _generate(documents: DataFrame) -> DataFrame:
-    generated = qa.generate_qa(documents, A.halves, max_attempts=2, wait_seconds=0.0)
-    return qa.mark_failed(generated)
+    return qa.mark_failed(_attempt(documents))
 
 
 @query

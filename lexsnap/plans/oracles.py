@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexsnap.operators.nearest import hyperplanes
 from lexsnap.operators.qa import FAILED_QUESTION
-from lexsnap.plans.adapters import SHORT_PART, TURNS_PER_PART
+from lexsnap.plans.adapters import SHORT_PART, SYNC_BUCKETS, TURNS_PER_PART
 
 LISTING = "permalink, perihal, tanggal_efektif, status_dokumen, topik"
 DETAIL = (
@@ -190,6 +190,10 @@ def _distance(a: str, b: str) -> str:
     )
 
 
+def _bucket(key: str) -> str:
+    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {SYNC_BUCKETS}"
+
+
 def _neighbours(docs: str, key: str, k: int) -> str:
     return f"""
       SELECT query_id, rank, {key}, distance FROM (
@@ -343,11 +347,36 @@ BODIES = {
         m.jenis_peraturan, m.nomor_peraturan,
         CAST(t.records AS BIGINT) AS records
       FROM merged m LEFT JOIN (
-        SELECT permalink, CASE WHEN length(body) % 5 = 0 OR body IS NULL THEN 1
-          ELSE 2 END AS records
+        SELECT permalink, CASE WHEN body IS NULL THEN 1 WHEN length(body) % 5 <> 0 THEN 2
+          END AS records
         FROM (SELECT permalink, """
     + _plain("body_final")
     + """ AS body FROM merged)) t USING (permalink)""",
+    "sync_touched_buckets": f"""
+      WITH of_src0 AS (SELECT 'doc-' || doc_id AS permalink FROM documents WHERE source = 'src0'),
+        next AS (SELECT * FROM listing_new SEMI JOIN of_src0 USING (permalink)
+          UNION ALL SELECT * FROM listing_old ANTI JOIN of_src0 USING (permalink)),
+        was AS (SELECT *, {_bucket("permalink")} AS bucket FROM listing_old),
+        now AS (SELECT *, {_bucket("permalink")} AS bucket FROM next),
+        touched AS (SELECT coalesce(n.bucket, o.bucket) AS bucket
+          FROM was o FULL JOIN now n ON n.permalink = o.permalink
+          WHERE n.permalink IS NULL OR o.permalink IS NULL OR n.perihal <> o.perihal
+            OR n.status_dokumen <> o.status_dokumen)
+      SELECT bucket, count(*) AS documents, max(status_dokumen) AS last_status,
+        CAST(CASE WHEN bucket IN (SELECT bucket FROM touched) THEN 2 ELSE 1 END AS BIGINT)
+          AS written
+      FROM now GROUP BY bucket""",
+    "retry_failures": f"""
+      SELECT permalink, CAST(records AS BIGINT) AS records,
+        CAST(CASE WHEN records IS NOT NULL THEN 0 END AS BIGINT) AS failed_records,
+        permalink || '#' || records AS last_id,
+        CASE WHEN records IS NULL THEN 'ValueError: no response' END AS error,
+        CAST(CASE WHEN records IS NULL THEN 4 END AS BIGINT) AS attempts,
+        CAST(CASE WHEN records IS NULL THEN 2 END AS BIGINT) AS rounds,
+        CASE WHEN records IS NULL THEN '2024-01-01 04:00' END AS next_try
+      FROM (SELECT permalink, CASE WHEN body IS NULL THEN 1
+          WHEN length(body) % 35 <> 0 THEN 2 END AS records
+        FROM (SELECT permalink, {_plain("body_final")} AS body FROM regulation_old))""",
     "text_clean": f"SELECT doc_id, {_clean_body('text')} AS body FROM documents",
     "text_normalize": f"SELECT doc_id, {_normalized('text')} AS body FROM documents",
     "html_to_text": f"SELECT page_id, {_plain('html')} AS body FROM pages",

@@ -1,10 +1,12 @@
-"""The two jobs: first load and snapshot sync."""
+"""The jobs: first load and snapshot sync, and the retry of failed generations."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,17 +21,45 @@ from lexsnap.operators.changes import (
     with_details,
 )
 from lexsnap.operators.listing import ingest_listing, wanted_rows
-from lexsnap.operators.qa import explode_qa, plain_text
+from lexsnap.operators.qa import (
+    FAILED_QUESTION,
+    after_kept,
+    explode_qa,
+    kept_items,
+    mark_failed,
+    plain_text,
+    with_outcome,
+)
 from lexsnap.operators.regulations import topic_dimension
-from lexsnap.schemas import KEY, QA, REGULATION, TOPIC, VECTOR_DOCUMENT
+from lexsnap.schemas import FAILURE, KEY, QA, REGULATION, TOPIC, VECTOR_DOCUMENT
 from lexsnap.session import materialize
 from lexsnap.sources.tables import write_json
-from lexsnap.sources.versions import Version, current_version, publish, read_version
+from lexsnap.sources.versions import (
+    Rewrite,
+    Version,
+    current_version,
+    publish,
+    read_version,
+    touched_buckets,
+)
 
 CHANGE_COUNTS = T.StructType(
     [T.StructField("op", T.StringType()), T.StructField("n", T.LongType())]
 )
 
+# The tables kept in buckets, all by document: what touches a document touches the same
+# bucket of each.
+BUCKETED = {
+    "regulation": (REGULATION, KEY),
+    "qa": (QA, KEY),
+    "vectors": (VECTOR_DOCUMENT, f"metadata.{KEY}"),
+    "failures": (FAILURE, KEY),
+}
+BUCKETS = 16
+
+# Until a failed document is generated again: doubled with each round.
+FIRST_WAIT = datetime.timedelta(hours=1)
+
 Plugin = Callable[[DataFrame], DataFrame]
 
 
@@ -44,63 +74,185 @@ def sync_snapshot(
     missing: DataFrame | None = None,
     refresh_updates: bool = False,
     audit: bool = True,
+    buckets: int = BUCKETS,
+    now: datetime.datetime | None = None,
 ) -> Version:
     """Bring the tables under ``root`` in line with one whole listing snapshot.
 
     ``listing`` is the nested listing and ``responses`` the landed details of (at
     least) the inserted rows. ``generate`` maps ``(permalink, body_final)`` to
-    ``(permalink, qa_list)`` and ``embed`` adds ``embedding`` to vector records.
-    ``missing`` holds page numbers that were not read: a partial snapshot would
-    look like deletes, so it is refused. With no version yet this is the first
-    load. A snapshot that is not newer than the last one is skipped, which makes
-    a repeated run a no-op. ``audit`` keeps the change sets as JSON, for which the
-    stored bodies are read once more.
+    ``(permalink, qa_list)``, with ``attempts`` and ``error`` if it can fail, and
+    ``embed`` adds ``embedding`` to vector records. ``missing`` holds page numbers that
+    were not read: a partial snapshot would look like deletes, so it is refused. With no
+    version yet this is the first load. A snapshot that is not newer than the last one is
+    skipped, which makes a repeated run a no-op.
+
+    The stored tables lie in ``buckets`` buckets (a number that the first load fixes;
+    take one that leaves some hundred MB to each). Only those that hold a changed
+    document are read and written; of all others the diff reads the compared columns.
+    Documents whose generation failed get a row in ``failures``, from which
+    ``retry_failures`` takes them; they have no vectors until then. ``audit`` keeps the
+    change sets as JSON.
     """
     current = current_version(spark, root)
     if current.snapshot_id is not None and snapshot_id <= current.snapshot_id:
         return current
     if missing is not None and not missing.isEmpty():
         raise ValueError("the snapshot lacks pages; deletes cannot be told")
-
-    old = read_version(spark, current, "regulation", REGULATION)
-    old_qa = read_version(spark, current, "qa", QA)
-    old_vectors = read_version(spark, current, "vectors", VECTOR_DOCUMENT)
+    if "regulation" in current.buckets:
+        buckets = len(current.buckets["regulation"])
 
     new = materialize(ingest_listing(listing), "listing")
     require_keys(new, unique=False)
 
     # Each change set is written once: it feeds several tables, and the joins
     # below are planned by its true size.
-    changes = materialize(snapshot_diff(old, new), "changes")
+    stored = read_version(spark, current, "regulation", REGULATION)
+    changes = materialize(snapshot_diff(stored, new), "changes")
+    touched = touched_buckets(changes, KEY, buckets)
+    old = {
+        name: read_version(spark, current, name, schema, touched)
+        for name, (schema, _) in BUCKETED.items()
+    }
     renewed = "op in ('insert', 'update')" if refresh_updates else "op = 'insert'"
     fresh = materialize(with_details(changes.filter(renewed), responses), "fresh")
     require_keys(fresh)
-    changed = materialize(updated(changes, old).select(KEY, *V.FOLLOWING), "changed")
+    changed = materialize(updated(changes, old["regulation"]), "changed")
     gone = deleted(changes)
 
-    fresh_qa = materialize(explode_qa(generate(plain_text(fresh))), "qa")
-    records = materialize(embed(V.vector_documents(fresh_qa, fresh)), "records")
+    generated = materialize(with_outcome(generate(plain_text(fresh))), "generated")
+    fresh_qa = materialize(explode_qa(mark_failed(generated)), "qa")
+    records = materialize(embed(V.vector_documents(answered(fresh_qa), fresh)), "records")
     dropped = gone
     if refresh_updates:
         # All records of a renewed document give way to its new ones.
         dropped = changes.filter("op in ('update', 'delete')").select(KEY)
-        kept_vectors = V.delete_where_in(old_vectors, dropped)
+        kept_vectors = V.delete_where_in(old["vectors"], dropped)
         vectors = V.upsert(kept_vectors, records)
     else:
-        vectors = V.apply_changes(old_vectors, records, changed, gone)
-    qa = old_qa.join(dropped, KEY, "left_anti").unionByName(fresh_qa)
+        vectors = V.apply_changes(old["vectors"], records, changed, gone)
+    qa = old["qa"].join(dropped, KEY, "left_anti").unionByName(fresh_qa)
+    failures = old["failures"].join(dropped, KEY, "left_anti")
+    failures = failures.unionByName(_failed(generated, now))
 
+    rows = {
+        "regulation": snapshot_merge(old["regulation"], changes, fresh, refresh_updates),
+        "qa": qa,
+        "vectors": vectors,
+        "failures": failures,
+    }
     tables = {
-        "regulation": snapshot_merge(old, changes, fresh, refresh_updates),
         "topic": topic_dimension(wanted_rows(listing)),
-        "qa": qa.select(*QA.names),
-        "vectors": vectors.select(*VECTOR_DOCUMENT.names),
         "change_counts": change_summary(changes).filter("op <> 'same'"),
     }
     if audit:
-        change_sets = audit_tables(fresh, updated(changes, old), gone)
-        write_audit(change_sets, f"{root}/audit/{snapshot_id}")
-    return publish(spark, root, tables, snapshot_id)
+        write_audit(audit_tables(fresh, changed, gone), f"{root}/audit/{snapshot_id}")
+    return publish(
+        spark,
+        root,
+        tables,
+        snapshot_id,
+        rewrites=_rewrites(rows, touched),
+        buckets=buckets,
+        before=current,
+    )
+
+
+def _rewrites(rows: dict[str, DataFrame], touched: list[int]) -> dict[str, Rewrite]:
+    out = {}
+    for name, df in rows.items():
+        schema, key = BUCKETED[name]
+        out[name] = Rewrite(df.select(*schema.names), F.col(key), touched)
+    return out
+
+
+def answered(qa: DataFrame) -> DataFrame:
+    """All items but those that stand for a failed generation."""
+    return qa.filter(~F.col("question").eqNullSafe(FAILED_QUESTION))
+
+
+def _failed(generated: DataFrame, now: datetime.datetime | None) -> DataFrame:
+    """First rows of the ledger for the documents that failed."""
+    return _ledger(
+        generated.filter("error is not null").select(
+            KEY, "error", "attempts", F.lit(1).cast("long").alias("rounds")
+        ),
+        now,
+    )
+
+
+def _ledger(rows: DataFrame, now: datetime.datetime | None) -> DataFrame:
+    wait = F.lit(FIRST_WAIT.total_seconds()) * F.pow(F.lit(2.0), F.col("rounds") - 1)
+    later = F.unix_micros(_time(now)) + (wait * 1_000_000).cast("long")
+    return rows.withColumn("next_try", F.timestamp_micros(later)).select(*FAILURE.names)
+
+
+def _time(now: datetime.datetime | None) -> Column:
+    return F.current_timestamp() if now is None else F.lit(now)
+
+
+def retry_failures(
+    spark: SparkSession,
+    root: str,
+    generate: Plugin,
+    embed: Plugin,
+    now: datetime.datetime | None = None,
+    max_rounds: int = 8,
+) -> Version:
+    """Generate the documents again that failed and are due, and publish what comes of it.
+
+    ``generate`` and ``embed`` are those of ``sync_snapshot``. A document that succeeds
+    gets its question rows, numbered on from those it has kept, and its vectors, and
+    leaves the ledger. One that fails again waits twice as long as before, and is left
+    alone after ``max_rounds`` rounds; its ledger row keeps the last error and the number
+    of attempts. All of that becomes current together, and only the buckets of the due
+    documents are written. With nothing due the tables stay as they are, so a repeated
+    run is harmless.
+    """
+    current = current_version(spark, root)
+    ledger = read_version(spark, current, "failures", FAILURE)
+    is_due = (F.col("next_try") <= _time(now)) & (F.col("rounds") < max_rounds)
+    due = materialize(ledger.filter(is_due), "due")
+    if due.isEmpty():
+        return current
+    touched = touched_buckets(due, KEY, len(current.buckets["failures"]))
+    old = {
+        name: read_version(spark, current, name, schema, touched)
+        for name, (schema, _) in BUCKETED.items()
+    }
+    documents = old["regulation"].join(due.select(KEY), KEY, "left_semi")
+    generated = materialize(with_outcome(generate(plain_text(documents))), "generated")
+    solved = generated.filter("error is null")
+
+    mine = old["qa"].join(solved.select(KEY), KEY, "left_semi")
+    kept = kept_items(mine)
+    items = materialize(after_kept(explode_qa(solved), kept), "qa")
+    records = materialize(embed(V.vector_documents(answered(items), documents)), "records")
+    others = old["qa"].join(solved.select(KEY), KEY, "left_anti")
+
+    again = generated.filter("error is not null").join(
+        due.select(KEY, F.col("attempts").alias("_attempts"), F.col("rounds").alias("_rounds")), KEY
+    )
+    again = again.select(
+        KEY,
+        "error",
+        (F.col("attempts") + F.col("_attempts")).alias("attempts"),
+        (F.col("_rounds") + 1).alias("rounds"),
+    )
+    waiting = old["failures"].join(due.select(KEY), KEY, "left_anti")
+    rows = {
+        "qa": others.unionByName(kept.select(*QA.names)).unionByName(items),
+        "vectors": V.upsert(old["vectors"], records),
+        "failures": waiting.unionByName(_ledger(again, now)),
+    }
+    return publish(
+        spark,
+        root,
+        {},
+        current.snapshot_id,
+        rewrites=_rewrites(rows, touched),
+        before=current,
+    )
 
 
 def audit_tables(
@@ -115,22 +267,23 @@ def write_audit(change_sets: dict[str, DataFrame], path: str) -> list[str]:
 
     Gives the names of those written.
     """
-    written = [n for n, rows in change_sets.items() if not rows.select(KEY).isEmpty()]
-    for name in written:
+
+    def write(name: str) -> bool:
+        if change_sets[name].select(KEY).isEmpty():
+            return False
         write_json(change_sets[name], f"{path}/{name}.json", mode="overwrite")
-    return written
+        return True
+
+    with ThreadPoolExecutor(len(change_sets)) as writers:
+        written = list(writers.map(write, change_sets))
+    return [name for name, done in zip(change_sets, written) if done]
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The current tables."""
     version = current_version(spark, root)
-    schemas = {
-        "regulation": REGULATION,
-        "topic": TOPIC,
-        "qa": QA,
-        "vectors": VECTOR_DOCUMENT,
-        "change_counts": CHANGE_COUNTS,
-    }
+    schemas = {name: schema for name, (schema, _) in BUCKETED.items()}
+    schemas |= {"topic": TOPIC, "change_counts": CHANGE_COUNTS}
     return {
         name: read_version(spark, version, name, schema)
         for name, schema in schemas.items()

@@ -109,3 +109,15 @@ VECTOR_DOCUMENT = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
+
+# Documents whose generation failed: ``attempts`` in all, ``rounds`` of them (one per run
+# of a job), and when the next round may start.
+FAILURE = T.StructType(
+    [
+        T.StructField("permalink", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("attempts", T.LongType()),
+        T.StructField("rounds", T.LongType()),
+        T.StructField("next_try", T.TimestampType()),
+    ]
+)
