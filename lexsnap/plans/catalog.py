@@ -129,6 +129,24 @@ def csv_roundtrip(spark, d):
     return S.read_csv(spark, path, documents.schema)
 
 
+@query
+def csv_split_read(spark, d):
+    """Records with line ends in them, read by as many tasks as the files have splits."""
+    documents = A.table(spark, d, "documents")
+    path = scratch_path(spark, "documents-csv")
+    S.write_csv(documents, path)
+    return S.read_csv(spark, path, documents.schema, splittable=True)
+
+
+@query
+def json_array_split_read(spark, d):
+    """Arrays of rows, read by as many tasks as the files have splits."""
+    documents = A.table(spark, d, "documents")
+    path = scratch_path(spark, "documents-array")
+    S.write_json(documents, path, array_of_rows=True)
+    return S.read_json(spark, path, documents.schema, array_of_rows=True, splittable=True)
+
+
 @query
 def load_table_dispatch(spark, d):
     labels = A.table(spark, d, "labels")

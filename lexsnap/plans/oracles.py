@@ -266,6 +266,8 @@ BODIES = {
       SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
     "json_roundtrip": "SELECT * FROM documents",
     "csv_roundtrip": "SELECT * FROM documents",
+    "csv_split_read": "SELECT * FROM documents",
+    "json_array_split_read": "SELECT * FROM documents",
     "load_table_dispatch": """
       SELECT *, '.csv' AS suffix FROM labels UNION ALL
       SELECT *, '.json' AS suffix FROM labels""",
