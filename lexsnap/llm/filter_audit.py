@@ -32,7 +32,7 @@ MARKUP = b"#$%&*|"
 DUPLICATE = 1 << FILTERS.index("E")
 
 GROUP_BYTES = 16 << 20  # of texts that a task holds to find copies among them
-RANGE_BYTES = 64 << 20  # of texts that may share a prefix before it is lengthened
+RANGE_BYTES = 64 << 20  # of texts in a range, about
 TRIE_BYTES = 16 << 20  # after which a trie is walked and dropped at the next prefix
 FIRST_PREFIX, LONGER = 8, 8  # bytes, and how many times longer the next prefix is
 
@@ -180,18 +180,18 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found(trie)
 
 
-def with_prefixes(texts: DataFrame) -> DataFrame:
+def with_prefixes(texts: DataFrame, most_bytes: int) -> DataFrame:
     """``texts``, a stored table, with ``prefix``: few enough bytes of texts share one.
 
-    Only where a prefix stands for more than RANGE_BYTES is it lengthened, as often as it
-    takes; a text that is no longer than its prefix cannot be told apart any further.
+    Only where a prefix stands for more than ``most_bytes`` is it lengthened, as often as
+    it takes; a text that is no longer than its prefix cannot be told apart any further.
     """
     length = FIRST_PREFIX
     rows = texts.withColumn("prefix", F.substring("text", 1, length))
     while True:
         open_rows = rows.where((F.length("prefix") == length) & (F.length("text") > length))
         sizes = open_rows.groupBy("prefix").agg(F.sum(F.length("text")).alias("_bytes"))
-        heavy = materialize(sizes.where(F.col("_bytes") > RANGE_BYTES).select(F.col("prefix").alias("_heavy")), "prefixes")
+        heavy = materialize(sizes.where(F.col("_bytes") > most_bytes).select(F.col("prefix").alias("_heavy")), "prefixes")
         if heavy.isEmpty():
             return rows
         length *= LONGER
@@ -204,7 +204,8 @@ def _repeated(texts: DataFrame) -> DataFrame:
     """``group`` of each text row that has the same text as a row with a smaller id."""
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    dealt = with_prefixes(texts).repartitionByRange(ranges, "prefix").sortWithinPartitions("prefix")
+    # A prefix that holds more than a range's share would fill several.
+    dealt = with_prefixes(texts, max(1, size // ranges)).repartitionByRange(ranges, "prefix").sortWithinPartitions("prefix")
     return dealt.select("prefix", "text", "least", "group").mapInArrow(_walk, "group long")
 
 

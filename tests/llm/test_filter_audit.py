@@ -77,10 +77,9 @@ def test_audit_equals_brute_force(spark, monkeypatch, small):
     assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
 
-def test_prefixes_grow_where_many_texts_share_them(spark, monkeypatch):
-    monkeypatch.setattr(A, "RANGE_BYTES", 3000)
+def test_prefixes_grow_where_many_texts_share_them(spark):
     texts = ["common beginning of many " * 30 + str(k) for k in range(20)] + ["other %d" % k for k in range(20)]
-    rows = A.with_prefixes(spark.createDataFrame([(t.encode(),) for t in texts], "text binary")).collect()
+    rows = A.with_prefixes(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"), 3000).collect()
     lengths = {len(r.prefix) for r in rows if r.text.startswith(b"common")}
     assert min(lengths) > 700
     assert {len(r.prefix) for r in rows if r.text.startswith(b"other")} == {7, 8}
