@@ -24,6 +24,15 @@ def with_detail(listing: DataFrame, responses: DataFrame) -> DataFrame:
     return listing.join(first_record(responses), KEY, "left")
 
 
+def looked_up(index: DataFrame, listing: DataFrame) -> DataFrame:
+    """The rows of a thin index of the details whose keys are listed.
+
+    Put it before the join that attaches the bodies: then only the bodies of listed
+    documents are shuffled. Keys alone are compared, and broadcast while they are few.
+    """
+    return index.join(listing.select(KEY), KEY, "left_semi")
+
+
 def detail_fields(detail: str = "detail") -> list[Column]:
     """The record's columns, with the keywords taken from ``meta``."""
     plain = [F.col(f"{detail}.{c}").alias(c) for c in DETAIL_COLUMNS if c != "keywords"]

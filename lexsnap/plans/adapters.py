@@ -14,7 +14,7 @@ from lexsnap.operators.qa import (
     explode_qa_parts,
     parse_responses,
 )
-from lexsnap.operators.regulations import clean_regulations, with_detail
+from lexsnap.operators.regulations import clean_regulations, looked_up, with_detail
 from lexsnap.operators.vectors import vector_documents
 from lexsnap.schemas import KEY, LISTING
 from lexsnap.session import materialize, scratch_path
@@ -97,13 +97,19 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def detail_responses(
-    spark: SparkSession, sf_dir: str, with_body: bool = True
+    spark: SparkSession,
+    sf_dir: str,
+    with_body: bool = True,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """One detail response per document; every 29th has no record.
 
-    Without bodies the pages are not read at all.
+    Without bodies the pages are not read at all. With ``wanted``, a table with their
+    permalinks, only those documents are looked up, before the bodies are attached.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    if wanted is not None:
+        docs = looked_up(docs.withColumn(KEY, F.expr("'doc-' || doc_id")), wanted).drop(KEY)
     if with_body:
         pages = table(spark, sf_dir, "pages").select("page_id", "html")
         page_count = table(spark, sf_dir, "pages").select(F.count("*")).scalar()
@@ -131,7 +137,7 @@ def detail_responses(
 def regulations(
     spark: SparkSession, sf_dir: str, listing: DataFrame, with_body: bool = True
 ) -> DataFrame:
-    details = detail_responses(spark, sf_dir, with_body)
+    details = detail_responses(spark, sf_dir, with_body, wanted=listing)
     return clean_regulations(with_detail(listing, details))
 
 

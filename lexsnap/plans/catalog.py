@@ -31,6 +31,7 @@ from lexsnap.schemas import (
     RELATION_COLUMNS,
 )
 from lexsnap.session import materialize, scratch_path
+from lexsnap.sources import stages
 from lexsnap.sources import tables as S
 from lexsnap.sources.listing import listing_rows, missing_pages, read_listing_pages
 from lexsnap.sources.versions import bucket_of
@@ -43,6 +44,7 @@ SMALL_PAGE_ROWS = 4
 NEIGHBOURS = 5
 CONTEXT_ROWS = 3
 BATCH_ROWS = 100
+STORE_FILE_ROWS = 120
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 VECTOR_DIM = 64
 
@@ -95,7 +97,7 @@ def listing_missing_pages(spark, d):
 @query
 def detail_enrich_join(spark, d):
     rows = A.old_snapshot(spark, d)
-    enriched = regulations.with_detail(rows, A.detail_responses(spark, d))
+    enriched = regulations.with_detail(rows, A.detail_responses(spark, d, wanted=rows))
     return enriched.select(
         KEY,
         "status_dokumen",
@@ -175,27 +177,36 @@ def stage_once(spark, d):
     """The second run of the stage finds its output and changes nothing."""
     labels = A.table(spark, d, "labels")
     path = scratch_path(spark, "stage")
-    S.stage_once(labels, path)
-    return S.stage_once(labels.withColumn("quality", F.lit(-1)), path)
+    stages.stage_once(labels, path)
+    return stages.stage_once(labels.withColumn("quality", F.lit(-1)), path)
+
+
+@query
+def stage_outdated(spark, d):
+    """A stage over a folder of labels, run again after more of them have landed."""
+    labels = A.table(spark, d, "labels")
+    base = scratch_path(spark, "landed")
+    landed = labels.limit(0)
+    for part in ("quality = 1", "quality = 0"):
+        labels.filter(part).write.mode("append").parquet(base)
+        landed = spark.read.schema(labels.schema).parquet(base)
+        out = stages.stage_once(landed.groupBy("toxic").agg(F.count("*").alias("n")), f"{base}-counts")
+    return out
 
 
 @query
 def vector_batches(spark, d):
-    old = A.old_snapshot(spark, d)
-    ids = A.vector_table(spark, d, old).select("id")
-    # Stored in files of one batch at most, then numbered over all files.
+    """First load of the vectors: what each file of whole records holds."""
     path = scratch_path(spark, "vector-batches")
-    S.write_batches(ids, path, BATCH_ROWS)
-    ids = spark.read.schema(ids.schema).parquet(path)
-    return (
-        numbering.batch_number(ids, [F.asc("id")], BATCH_ROWS)
-        .groupBy("batch")
-        .agg(
-            F.count("*").alias("records"),
-            F.min("id").alias("first_id"),
-            F.max("id").alias("last_id"),
-        )
+    records = _vectors(spark, d)
+    stages.write_batches(records, path, BATCH_ROWS, [F.asc("id")])
+    stored = spark.read.schema(records.schema).parquet(path)
+    files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count_if(F.size("embedding") == VECTOR_DIM).alias("records"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
     )
+    return numbering.batch_number(files.drop("file"), [F.asc("first_id")], 1)
 
 
 @query
@@ -276,6 +287,21 @@ def listing_page(spark, d):
     return listing.listing_page(rows, page=2, limit=PAGE_ROWS)
 
 
+@query
+def listing_stored_page(spark, d):
+    """A deep page of the listing out of a sorted store: the last whole one."""
+    rows = A.base_listing(spark, d).select(
+        KEY,
+        dates.parse_listing_date(F.col("tanggal_efektif")).alias("tanggal_efektif"),
+        "status_dokumen",
+    )
+    path = scratch_path(spark, "listing-store")
+    order = [F.desc("tanggal_efektif"), F.asc(KEY)]
+    stages.write_ordered(rows, path, order, max_rows=STORE_FILE_ROWS)
+    page = A.table(spark, d, "documents").count() // PAGE_ROWS
+    return stages.read_page(spark, path, rows.schema, order, page, PAGE_ROWS)
+
+
 @query
 def struct_extract(spark, d):
     records = regulations.first_record(A.detail_responses(spark, d))

@@ -273,6 +273,8 @@ BODIES = {
       SELECT *, '.json' AS suffix FROM labels""",
     "promote_snapshot": f"SELECT {LISTING}, {DETAIL} FROM regulation_old",
     "stage_once": "SELECT * FROM labels",
+    "stage_outdated": """
+      SELECT toxic, count(*) AS n FROM labels WHERE quality IN (0, 1) GROUP BY toxic""",
     "vector_batches": """
       SELECT batch, count(*) AS records, min(id) AS first_id, max(id) AS last_id
       FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM vec_old)
@@ -305,6 +307,10 @@ BODIES = {
     "listing_page": """
       SELECT permalink, tanggal_efektif, status_dokumen FROM base
       ORDER BY tanggal_efektif DESC, permalink LIMIT 50 OFFSET 50""",
+    "listing_stored_page": """
+      SELECT permalink, tanggal_efektif, status_dokumen FROM base
+      ORDER BY tanggal_efektif DESC, permalink LIMIT 50
+      OFFSET ((SELECT count(*) FROM documents) // 50 - 1) * 50""",
     "struct_extract": """
       SELECT 'doc-' || d.doc_id AS permalink, r.jenis_peraturan, r.nomor_peraturan,
         r.body_final, r.keywords, CAST(len(r.peraturan_terbaru) AS BIGINT)

@@ -147,18 +147,3 @@ def promote(spark: SparkSession, source: str, target: str) -> DataFrame:
     table = spark.read.parquet(source)
     table.write.mode("errorifexists").parquet(target)
     return spark.read.schema(table.schema).parquet(target)
-
-
-def stage_once(df: DataFrame, path: str) -> DataFrame:
-    """Run a stage only if its output is missing, then read the output."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def write_batches(df: DataFrame, path: str, max_rows: int) -> None:
-    """First load of a collection: files of at most ``max_rows`` rows."""
-    (
-        df.write.option("maxRecordsPerFile", max_rows)
-        .mode("errorifexists")
-        .parquet(path)
-    )

@@ -76,13 +76,6 @@ def test_json_rows(spark):
     assert [tuple(r) for r in got] == [(1, 5), (2, None)]
 
 
-def test_stage_once_runs_once(spark, tmp_path):
-    path = str(tmp_path / "stage")
-    assert S.stage_once(spark.range(3), path).count() == 3
-    failing = spark.range(9).select(F.raise_error(F.lit("must not run")).cast("long").alias("id"))
-    assert S.stage_once(failing, path).count() == 3
-
-
 def test_promote_refuses_to_overwrite(spark, tmp_path):
     source, target = str(tmp_path / "clean"), str(tmp_path / "final")
     spark.range(4).write.parquet(source)
@@ -91,14 +84,6 @@ def test_promote_refuses_to_overwrite(spark, tmp_path):
         S.promote(spark, source, target)
 
 
-def test_write_batches_caps_rows_per_file(spark, tmp_path):
-    path = str(tmp_path / "batches")
-    S.write_batches(spark.range(10, numPartitions=2), path, max_rows=3)
-    files = spark.read.parquet(path).groupBy(F.input_file_name()).count()
-    sizes = sorted(r["count"] for r in files.collect())
-    assert sum(sizes) == 10 and max(sizes) <= 3
-
-
 def envelope(page, total, rows):
     return {"page": page, "data": {"search_data": rows}, "pagination": {"total_page": total}}
 
