@@ -66,9 +66,32 @@ def workspace(spark: SparkSession) -> str:
     return _LOCAL_WORKSPACES[app_id]
 
 
+# Scratch paths given out, by application, for jobs that release theirs.
+_GIVEN_OUT: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the workspace."""
-    return f"{workspace(spark)}/lexsnap/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/lexsnap/{label}-{uuid.uuid4().hex}"
+    scratch_paths(spark).append(path)
+    return path
+
+
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch paths given out so far in this application, in order."""
+    return _GIVEN_OUT.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    given_out = scratch_paths(spark)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path not in given_out:
+            raise ValueError(f"{path} is no scratch path of this application")
+        given_out.remove(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
