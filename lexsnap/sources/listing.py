@@ -8,7 +8,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    InputPartition,
+)
+from pyspark.sql.streaming import StreamingQuery
 
 from lexsnap.schemas import LISTING, LISTING_PAGE
 
@@ -120,3 +126,101 @@ class PagedListingSource(DataSource):
             int(self.options.get("limit", "4000")),
             int(self.options.get("pages_per_task", "1")),
         )
+
+
+class _PageStream(DataSourceStreamReader):
+    """Offsets are ``{"snapshot", "page"}``: pages up to ``page`` have been planned."""
+
+    def __init__(self, functions: tuple, options: dict[str, str]):
+        self._read_page, self._landed, self._on_commit = functions
+        self._snapshot = options.get("snapshot", "")
+        self._limit = int(options.get("limit", "4000"))
+        self._pages_per_task = int(options.get("pages_per_task", "1"))
+
+    def initialOffset(self) -> dict:
+        return {"snapshot": self._snapshot, "page": 0}
+
+    def latestOffset(self) -> dict:
+        if self._landed is not None:
+            last = self._landed(self._limit)
+        else:
+            last = self._read_page(1, self._limit)["pagination"]["total_page"]
+        return {"snapshot": self._snapshot, "page": int(last)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start["snapshot"] != end["snapshot"]:
+            raise ValueError(
+                f"the checkpoint is of snapshot {start['snapshot']!r}, not {end['snapshot']!r}"
+            )
+        step = self._pages_per_task
+        return [
+            _PageRange(first, min(first + step - 1, end["page"]))
+            for first in range(start["page"] + 1, end["page"] + 1, step)
+        ]
+
+    def read(self, partition: _PageRange) -> Iterator[tuple]:
+        for page in range(partition.first, partition.last + 1):
+            envelope = self._read_page(page, self._limit)
+            rows = [_listing_tuple(row) for row in envelope["data"]["search_data"]]
+            yield page, (rows,), (envelope["pagination"]["total_page"],)
+
+    def commit(self, end: dict) -> None:
+        if self._on_commit is not None:
+            self._on_commit(end["page"])
+
+
+def page_stream(
+    read_page: PageReader,
+    landed: Callable[[int], int] | None = None,
+    on_commit: Callable[[int], None] | None = None,
+) -> type[DataSource]:
+    """A source for ``spark.dataSource.register`` and ``readStream.format("listing_pages")``.
+
+    It gives page envelopes as they land. ``read_page`` takes page and limit and returns
+    the envelope as a dict; ``landed`` takes the limit and returns how many pages can be
+    read by now (default: all that page 1 tells of); ``on_commit`` is told up to which
+    page all are stored. Options: ``snapshot``, the id of the snapshot whose pages are
+    read, ``limit`` and ``pages_per_task``. A query that is started again goes on behind
+    the last page that its checkpoint has; a checkpoint of another snapshot is refused.
+    """
+    functions = (read_page, landed, on_commit)
+
+    class PageStreamSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "listing_pages"
+
+        def schema(self) -> T.StructType:
+            return LISTING_PAGE
+
+        def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+            return _PageStream(functions, dict(self.options))
+
+    return PageStreamSource
+
+
+def land_pages(
+    spark: SparkSession,
+    folder: str,
+    checkpoint: str,
+    snapshot: str,
+    source: type[DataSource],
+    **options: str,
+) -> StreamingQuery:
+    """Store the pages of a snapshot that can be read by now, each once, and stop.
+
+    ``source`` comes from ``page_stream``. Run it again, with the same folder and
+    checkpoint, until ``missing_pages`` of the folder is empty: only pages that are new are
+    read. Read the folder with ``read_listing_pages``.
+    """
+    spark.dataSource.register(source)
+    pages = spark.readStream.format("listing_pages").option("snapshot", snapshot)
+    return (
+        pages.options(**options)
+        .load()
+        .writeStream.format("json")
+        .option("path", folder)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
