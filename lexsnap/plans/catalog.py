@@ -29,12 +29,13 @@ from lexsnap.schemas import (
     REGULATION,
     REGULATION_COLUMNS,
     RELATION_COLUMNS,
+    VECTOR_DOCUMENT,
 )
 from lexsnap.session import materialize, scratch_path
 from lexsnap.sources import stages
 from lexsnap.sources import tables as S
 from lexsnap.sources.listing import listing_rows, missing_pages, read_listing_pages
-from lexsnap.sources.versions import bucket_of
+from lexsnap.sources.versions import Rewrite, bucket_of, publish, read_keys
 from lexsnap.streaming import snapshot_sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -680,6 +681,19 @@ def vector_sync(spark, d):
     return flattened_vectors(merged)
 
 
+@query
+def vector_lookup(spark, d):
+    """The records of the documents that have changed, out of a published vector table."""
+    base = scratch_path(spark, "lookup")
+    old, new = A.snapshots(spark, d)
+    changed = materialize(C.snapshot_diff(old, new).filter("op = 'update'").select(KEY), "changed")
+    records = _vectors(spark, d).select(*VECTOR_DOCUMENT.names)
+    every = Rewrite(records, f"metadata.{KEY}", range(A.SYNC_BUCKETS))
+    version = publish(spark, base, {}, "1", rewrites={"vectors": every}, buckets=A.SYNC_BUCKETS)
+    found = read_keys(spark, version, "vectors", VECTOR_DOCUMENT, f"metadata.{KEY}", changed)
+    return flattened_vectors(found)
+
+
 # ---- retrieval --------------------------------------------------------------
 
 

@@ -447,6 +447,9 @@ BODIES = {
     "vector_get_where": f"""
       SELECT {FLAT_METADATA} FROM vec_old
       WHERE permalink IN (SELECT permalink FROM upd)""",
+    "vector_lookup": f"""
+      SELECT {FLAT_METADATA} FROM vec_old
+      WHERE permalink IN (SELECT permalink FROM upd)""",
     "vector_sync": f"""
       SELECT {FLAT_METADATA} FROM vec_updated ANTI JOIN del USING (permalink)
       UNION ALL SELECT {FLAT_METADATA} FROM vec_new SEMI JOIN ins USING (permalink)""",

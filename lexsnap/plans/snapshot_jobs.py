@@ -162,7 +162,7 @@ def _rewrites(rows: dict[str, DataFrame], touched: list[int]) -> dict[str, Rewri
     out = {}
     for name, df in rows.items():
         schema, key = BUCKETED[name]
-        out[name] = Rewrite(df.select(*schema.names), F.col(key), touched)
+        out[name] = Rewrite(df.select(*schema.names), key, touched)
     return out
 
 

@@ -49,10 +49,13 @@ class Version:
 
 @dataclass(frozen=True)
 class Rewrite:
-    """The next rows of the touched buckets of a table, whole; ``key`` deals them out."""
+    """The next rows of the touched buckets of a table, whole.
+
+    ``key``, a column or the path of a field, deals them out, and sorts them in each file.
+    """
 
     rows: DataFrame
-    key: Column
+    key: str
     touched: Iterable[int]
 
 
@@ -119,6 +122,28 @@ def read_version(
     return spark.read.schema(schema).parquet(*paths)
 
 
+def read_keys(
+    spark: SparkSession,
+    version: Version,
+    table: str,
+    schema: T.StructType,
+    key: str,
+    keys: DataFrame,
+) -> DataFrame:
+    """The rows of a table in buckets whose ``key`` is in ``keys``, a table of one column.
+
+    Only the buckets that can hold them are opened.
+    """
+    if table not in version.buckets:
+        rows, wanted = read_version(spark, version, table, schema), keys
+    else:
+        wanted = keys.toDF("_key").filter("_key is not null").distinct()
+        touched = touched_buckets(wanted, "_key", len(version.buckets[table]))
+        rows = read_version(spark, version, table, schema, touched)
+    wanted = wanted.toDF("_key")
+    return rows.join(wanted, F.col(key) == F.col("_key"), "left_semi")
+
+
 def publish(
     spark: SparkSession,
     root: str,
@@ -157,10 +182,15 @@ def publish(
         if touched:
             path = f"{root}/{name}/v{number:08d}"
             dealt = rewrite.rows.withColumn("bucket", bucket_of(rewrite.key, len(written)))
+            # Sorted, and with a Bloom filter of the key: of a bucket that has grown to
+            # several row groups, a lookup reads one.
             (
                 dealt.hint("rebalance", "bucket")
+                .sortWithinPartitions("bucket", rewrite.key)
                 .write.mode("overwrite")
                 .option("maxRecordsPerFile", max_rows_per_file)
+                .option(f"parquet.bloom.filter.enabled#{rewrite.key}", "true")
+                .option("parquet.bloom.filter.adaptive.enabled", "true")
                 .partitionBy("bucket")
                 .parquet(path)
             )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lexsnap.sources.versions import (
     bucket_paths,
     current_version,
     publish,
+    read_keys,
     read_version,
     touched_buckets,
 )
@@ -138,9 +140,28 @@ def test_a_lookup_opens_one_bucket(spark, tmp_path):
     assert read_version(spark, version, "vectors", VECTOR_DOCUMENT, []).isEmpty()
 
 
+def test_keys_open_their_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "t")
+    version = sync(spark, root, "1", {f"d{k}": "A" for k in range(200)})
+    keys = spark.createDataFrame([("d5",), ("d6",), ("d6",), ("missing",), (None,)], "k string")
+    found = read_keys(spark, version, "vectors", VECTOR_DOCUMENT, "metadata.permalink", keys)
+    assert sorted(r["id"] for r in found.collect()) == ["d5#1", "d5#2", "d6#1", "d6#2"]
+    opened = {f for f in found.inputFiles() if "/vectors/" in f}
+    everything = read_version(spark, version, "vectors", VECTOR_DOCUMENT).inputFiles()
+    assert 0 < len(opened) <= 3 < len(everything)
+    # Rows lie sorted in each file, with a filter that tells keys that are not there.
+    for path in (tmp_path / "t" / "vectors").rglob("part-*.parquet"):
+        stored = spark.read.schema(VECTOR_DOCUMENT).parquet(str(path))
+        order = [r[0] for r in stored.select("metadata.permalink").collect()]
+        assert order == sorted(order)
+        column = pq.ParquetFile(path).metadata.row_group(0).column(2)
+        assert column.path_in_schema == "metadata.permalink"
+        assert path.stat().st_size > column.total_compressed_size
+
+
 def test_rows_outside_the_touched_buckets_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([(f"d{k}",) for k in range(50)] + [(None,)], "permalink string")
-    wrong = {"t": Rewrite(rows, F.col("permalink"), [1])}
+    wrong = {"t": Rewrite(rows, "permalink", [1])}
     with pytest.raises(ValueError, match="not rewritten"):
         publish(spark, str(tmp_path / "t"), {}, "1", rewrites=wrong, buckets=BUCKETS)
     buckets = {r[0]: r[1] for r in rows.select("permalink", bucket_of("permalink", BUCKETS)).collect()}
