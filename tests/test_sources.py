@@ -188,3 +188,20 @@ def test_shuffle_partitions_grow_with_input():
     assert shuffle_partitions_for(100 << 40) == 100 * (1 << 20) // 128
 
 
+
+
+def test_released_scratch_tables_are_gone(spark):
+    from pyspark.errors import AnalysisException
+
+    from lexsnap.session import materialize, release, scratch_paths
+
+    before = len(scratch_paths(spark))
+    kept, gone = materialize(spark.range(3), "kept"), materialize(spark.range(4), "gone")
+    paths = scratch_paths(spark)[before:]
+    assert len(paths) == 2
+    release(spark, paths[1:])
+    assert kept.count() == 3 and paths[1] not in scratch_paths(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(paths[1])
+    with pytest.raises(ValueError, match="no scratch path"):
+        release(spark, ["/somewhere/else"])
