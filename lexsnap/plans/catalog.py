@@ -22,9 +22,7 @@ from lexsnap.plans.snapshot_jobs import (
     write_audit,
 )
 from lexsnap.schemas import (
-    DETAIL_COLUMNS,
     KEY,
-    LISTING,
     LISTING_COLUMNS,
     REGULATION,
     REGULATION_COLUMNS,
