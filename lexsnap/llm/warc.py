@@ -164,68 +164,108 @@ def _parse_fields(block: bytes) -> dict[str, str]:
 
 
 class _Member:
-    """The bytes of one record: ``head`` up to the empty line, the rest on demand."""
+    """The records of a gzip member, or of a plain archive from here on, one after the other.
 
-    def __init__(self, stream):
-        self.stream = stream
+    An archive that ends inside a record raises ``ValueError``.
+    """
+
+    def __init__(self, stream, size: int):
+        self.stream, self.size = stream, size
         self.begin = stream.tell()
         magic = stream.read(2)
         stream.seek(self.begin)
         self.gzip = magic == b"\x1f\x8b"
-        self.end = None
+        self.end = self.length = None
+        self.left = False  # by a seek, before all was inflated
         if self.gzip:
             first = stream.read(24)
             if len(first) == 24 and first[3] & 4 and first[12:14] == b"sl":
-                self.end = self.begin + struct.unpack("<I", first[16:20])[0]
+                packed, self.length = struct.unpack("<II", first[16:24])
+                self.end = self.begin + packed
             stream.seek(self.begin)
             self.inflate = zlib.decompressobj(31)
         self.data = b""
-        while (cut := self.data.find(_END)) < 0 and self._more():
-            pass
-        self.head, self.rest = self.data[:cut], self.data[cut + 4 :]
+        self.told = 0  # bytes of the member that heads and blocks before have taken
 
-    def _more(self) -> bool:
-        if not self.gzip:
-            line = self.stream.readline()
-            self.data += line
-            return bool(line)
-        if self.inflate.eof:
-            return False
-        raw = self.inflate.unconsumed_tail or self.stream.read(_HEAD_BYTES)
-        if not raw:
-            return False
-        self.data += self.inflate.decompress(raw, _HEAD_BYTES)
-        return True
+    def head(self) -> bytes | None:
+        """The next record's header; None behind the last, where the stream stands at what follows."""
+        while not self.left and (cut := self.data.find(_END)) < 0 and self._more():
+            pass
+        if self.left:
+            return None
+        if cut < 0:
+            if self.data.strip(b"\r\n"):
+                raise self._cut_off()
+            if self.gzip:
+                self.stream.seek(self.stream.tell() - len(self.inflate.unused_data))
+            return None
+        block, self.data = self.data[:cut], self.data[cut + 4 :]
+        self.told += cut + 4
+        return block.lstrip(b"\r\n")
 
     def body(self, length: int) -> bytes:
-        """The record's block; the stream then stands at the next record."""
+        """The block of the record whose header was taken last."""
         if not self.gzip:
             block = self.stream.read(length)
+            if len(block) < length:
+                raise self._cut_off()
             self.stream.seek(4, io.SEEK_CUR)
             return block
-        parts = [self.rest]
-        self._drain(parts)
-        return b"".join(parts)[:length]
+        parts, held = [self.data], len(self.data)
+        while held < length + 4 and (piece := self._inflated(1 << 20)) is not None:
+            parts.append(piece)
+            held += len(piece)
+        if held < length:
+            raise self._cut_off()
+        whole = b"".join(parts)
+        self.data = whole[length + 4 :]
+        self.told += length + 4
+        return whole[:length]
 
     def skip(self, length: int) -> None:
+        """Step over that block: unread where the archive is plain or notes the member's length."""
         if not self.gzip:
+            if self.stream.tell() + length > self.size:
+                raise self._cut_off()
             self.stream.seek(length + 4, io.SEEK_CUR)
-        elif self.end is not None:
+        elif self.end is not None and self.told + length + 4 == self.length:
+            if self.end > self.size:
+                raise self._cut_off()
             self.stream.seek(self.end)
+            self.left = True
         else:
-            self._drain(None)
+            left = length - len(self.data)
+            while left > 0:
+                piece = self._inflated(1 << 20)
+                if piece is None:
+                    raise self._cut_off()
+                self.data, left = piece, left - len(piece)
+            self.data = self.data[len(self.data) + left :]
+            while len(self.data) < 4 and self._more():
+                pass
+            self.data = self.data[4:]
+            self.told += length + 4
 
-    def _drain(self, parts: list[bytes] | None) -> None:
-        used = self.inflate.unconsumed_tail
-        while not self.inflate.eof:
-            raw = used or self.stream.read(1 << 16)
-            if not raw:
-                raise ValueError(f"truncated record at byte {self.begin}")
-            piece = self.inflate.decompress(raw, 1 << 20)
-            used = self.inflate.unconsumed_tail
-            if parts is not None:
-                parts.append(piece)
-        self.stream.seek(self.stream.tell() - len(self.inflate.unused_data))
+    def _more(self) -> bool:
+        if self.gzip:
+            piece = self._inflated(_HEAD_BYTES)
+        else:
+            piece = self.stream.readline() or None
+        if piece is None:
+            return False
+        self.data += piece
+        return True
+
+    def _inflated(self, most: int) -> bytes | None:
+        if self.inflate.eof:
+            return None
+        raw = self.inflate.unconsumed_tail or self.stream.read(_HEAD_BYTES if most == _HEAD_BYTES else 1 << 16)
+        if not raw:
+            raise self._cut_off()
+        return self.inflate.decompress(raw, most)
+
+    def _cut_off(self) -> ValueError:
+        return ValueError(f"the archive is cut off in a record of the member at byte {self.begin}")
 
 
 def _wanted(head: dict[str, str], tests: list[tuple[str, str, tuple]]) -> bool:
@@ -265,10 +305,13 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         """Whole files, small ones together up to ``partitionBytes``."""
         fs, root = pafs.FileSystem.from_uri(self.root)
-        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        files = sorted(
-            (f.path, f.size) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern) and f.base_name[0] not in "._"
-        )
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+        root = root.rstrip("/")
+
+        def hidden(path: str) -> bool:
+            return any(part[0] in "._" for part in path.removeprefix(root).strip("/").split("/"))
+
+        files = sorted((f.path, f.size) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern) and not hidden(f.path))
         parts: list[Files] = []
         held = 0
         for path, size in files:
@@ -285,11 +328,7 @@ class WarcReader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with fs.open_input_file(path) as raw:
-                stream = io.BufferedReader(raw, 1 << 16)
-                while stream.peek(1):
-                    row = self._record(stream)
-                    if row is None:
-                        continue
+                for row in self._rows(io.BufferedReader(raw, 1 << 16), raw.size()):
                     rows.append(row)
                     held += len(row["payload"] or b"") + 1024
                     if held >= BATCH_BYTES:
@@ -298,9 +337,16 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    def _record(self, stream) -> dict | None:
-        member = _Member(stream)
-        head = _parse_fields(member.head)
+    def _rows(self, stream, size: int) -> Iterator[dict]:
+        while stream.peek(1):
+            member = _Member(stream, size)
+            while (block := member.head()) is not None:
+                row = self._record(member, block)
+                if row is not None:
+                    yield row
+
+    def _record(self, member: _Member, block: bytes) -> dict | None:
+        head = _parse_fields(block)
         length = int(head.get("content-length", 0))
         if not _wanted(head, self.tests):
             member.skip(length)

@@ -92,6 +92,43 @@ def test_archives_without_lengths_and_plain_ones(spark, tmp_path):
     assert len(W.WarcReader({"path": f"file://{tmp_path}/w", "partitionBytes": "1"}).partitions()) == 2
 
 
+def record_of(number, payload):
+    row = {"record_type": "response", "record_id": f"<urn:x:{number}>", "date": "d", "target_uri": "http://a", "refers_to": None, "payload": payload}
+    return W.record_bytes(row)
+
+
+@pytest.mark.parametrize("sizes", [(3, 0, 5), (200_000, 1, 70_000), (1,)])
+def test_members_of_several_records_and_nested_folders(tmp_path, sizes):
+    payloads = [os.urandom(n) for n in sizes]
+    records = [record_of(k, p) for k, p in enumerate(payloads)]
+    os.makedirs(tmp_path / "w/2024/05")
+    os.makedirs(tmp_path / "w/_pending")
+    (tmp_path / "w/2024/05/a.warc.gz").write_bytes(gzip.compress(b"".join(records)) + gzip.compress(record_of(9, b"last")))
+    (tmp_path / "w/_pending/b.warc.gz").write_bytes(gzip.compress(record_of(8, b"not yet")))
+    path = f"file://{tmp_path}/w"
+    want = [(f"<urn:x:{k}>", p) for k, p in enumerate(payloads)] + [("<urn:x:9>", b"last")]
+    assert [(r["record_id"], r["payload"]) for r in _reader(path)] == want
+    for wanted in want:  # the others are stepped over
+        assert [(r["record_id"], r["payload"]) for r in _reader(path, W.EqualTo(("record_id",), wanted[0]))] == [wanted]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_that_are_cut_off_raise(tmp_path, packed):
+    record = record_of(1, b"payload" * 40)
+    whole = (gzip.compress(record) + gzip.compress(record)) if packed else record * 2
+    half = len(whole) // 2
+    os.mkdir(tmp_path / "w")
+    # In the second record: its first bytes, its header, its block.
+    for cut in (half + 5, half + 30, half + (half * 3) // 4):
+        (tmp_path / "w/a.warc").write_bytes(whole[:cut])
+        with pytest.raises(ValueError, match="cut off"):
+            _reader(f"file://{tmp_path}/w")
+        with pytest.raises(ValueError, match="cut off"):
+            _reader(f"file://{tmp_path}/w", W.EqualTo(("record_id",), "<urn:x:7>"))
+    (tmp_path / "w/a.warc").write_bytes(whole)
+    assert len(_reader(f"file://{tmp_path}/w")) == 2
+
+
 def test_empty_table_and_empty_folder(spark, tmp_path):
     path = W.archive_pages(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w")
     assert W.archived_pages(spark, path).count() == 0
