@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,12 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     in the worker at once, several times while it is copied. No result depends on it.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+    if size_in_bytes(str(conf.get(key))) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def size_in_bytes(setting: str) -> int:
+    """A size as Spark's settings give it: ``4194304``, ``64m``, ``1gb``."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << (10 * (" kmgtp".index(unit) if unit else 0))

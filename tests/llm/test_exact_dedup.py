@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexsnap.llm.words import size_in_bytes
 from lexsnap.llm import exact_dedup as E
 
 SCHEMA = "doc_id long, text string, lang string, kept string"
@@ -81,3 +82,8 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert E.exact_groups(docs).count() == 0
     assert E.deduplicated(docs).count() == 0
+
+
+def test_sizes_of_batches_as_spark_writes_them():
+    sizes = {"1024": 1024, "64m": 64 << 20, "1g": 1 << 30, "8MB": 8 << 20, "100b": 100, "2k": 2048, "-1": -1}
+    assert {text: size_in_bytes(text) for text in sizes} == sizes
