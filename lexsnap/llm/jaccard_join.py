@@ -40,7 +40,8 @@ SHARED_PART = 5
 # A gram's place in the order: the power of two of its frequency above bits of its hash.
 HASH_BITS = 58
 SUFFIX_DEPTH = 4
-BLOCK_SETS = 256
+# Sets of a block, and grams in all of them, about.
+BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 20
 BLOCK_COLUMNS = 4096
 MAX_KNOWN_SETS = 1 << 17
 
@@ -64,9 +65,9 @@ def least_shared(n):
     return -(-n * PERCENT // 100)
 
 
-def least_overlap(n, m):
+def least_overlap(n, m, percent=PERCENT):
     """Grams that linked sets of ``n`` and ``m`` share at least."""
-    return -(-(n + m) * PERCENT // (100 + PERCENT))
+    return -(-(n + m) * percent // (100 + percent))
 
 
 def _shared_in_prefix(n):
@@ -219,14 +220,13 @@ def _still_split(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(seats.join(split, "gram", "left_semi"), "seats")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(sides: list[pa.StructArray], percent: int) -> pa.RecordBatch:
     """Links between the components of two blocks (or within one), a tree of them at most."""
-    ids = table.column("set_id").to_numpy()
-    sides, sizes = table.column("side").to_numpy(), table.column("n").to_numpy()
-    group = table.column("component").to_numpy()
-    lists = table.column("grams").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    ids, group, sizes = (
+        np.concatenate([side.field(c).to_numpy(zero_copy_only=False) for side in sides]) for c in ("set_id", "component", "n")
+    )
+    flat = np.concatenate([side.field("grams").flatten().to_numpy(zero_copy_only=False) for side in sides])
+    lengths = np.concatenate([side.field("grams").value_lengths().to_numpy(zero_copy_only=False) for side in sides])
     owner = np.repeat(np.arange(len(ids)), lengths)
     values, places, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(counts > 1)  # only these can be in an intersection
@@ -236,15 +236,15 @@ def _block_links(table: pa.Table) -> pa.Table:
     owner, places = owner[places >= 0], places[places >= 0]
     order = np.argsort(places, kind="stable")
     owner, places = owner[order], places[order]
-    left = np.flatnonzero(sides == 0)
-    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    left = np.arange(len(sides[0]))
+    right = np.arange(len(left), len(ids)) if len(sides) > 1 else left
     overlap = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24
     for start in range(0, len(shared), BLOCK_COLUMNS):
         a, b = np.searchsorted(places, [start, start + BLOCK_COLUMNS])
         held = np.zeros((len(ids), BLOCK_COLUMNS), np.float32)
         held[owner[a:b], places[a:b] - start] = 1
         overlap += held[left] @ held[right].T
-    need = least_overlap(sizes[left][:, None], sizes[right][None, :])
+    need = least_overlap(sizes[left][:, None], sizes[right][None, :], percent)
     rows, columns = np.nonzero((overlap >= need) & (group[left][:, None] != group[right][None, :]))
     parent: dict[int, int] = {}
 
@@ -260,32 +260,47 @@ def _block_links(table: pa.Table) -> pa.Table:
             parent[max(p, q)] = min(p, q)
             out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
     high, low = zip(*out) if out else ((), ())
-    return pa.table({"high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64())})
+    return pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["high", "low"])
+
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("members"), batch.column("others")):
+                yield _block_links([side.values for side in (left, right) if side.is_valid], percent)
+
+    return run
+
 
+def block_wise(seats: DataFrame, ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All links ``(high, low)`` between components that share a bucket, compared block by block.
 
-def _block_wise(seats: DataFrame, ordered: DataFrame) -> DataFrame:
-    """All links between components that share a bucket, compared block by block."""
+    ``seats`` are ``(gram, set_id, head, component)``, a row per set and bucket (``gram``),
+    ``head`` the bucket's smallest set; ``ordered`` has ``(set_id, n, grams)``.
+    """
     cells = seats.groupBy("set_id").agg(F.min("head").alias("cell"), F.min("component").alias("component"))
     cells = materialize(cells, "cells")
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
     met = seats.join(cells.select("set_id", "cell"), "set_id").select("gram", "cell").distinct()
     met = materialize(met, "met")
     cell_pairs = met.join(met.withColumnRenamed("cell", "other"), "gram").where("cell <= other").select("cell", "other").distinct()
-    blocks = sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    others = blocks.select(F.col("cell").alias("other"), F.col("block").alias("other_block"))
-    tasks = cell_pairs.join(blocks, "cell").join(others, "other").where("cell < other or block <= other_block")
-    tasks = materialize(tasks, "tasks")
-    first = tasks.select("cell", "block", "other", "other_block", F.lit(0).alias("side"), F.col("cell").alias("_cell"), F.col("block").alias("_block"))
-    second = tasks.where("cell < other or block < other_block").select(
-        "cell", "block", "other", "other_block", F.lit(1).alias("side"), F.col("other").alias("_cell"), F.col("other_block").alias("_block")
-    )
-    placed = cells.join(sizes.withColumnRenamed("cell", "_c"), F.col("cell") == F.col("_c")).select(
-        "set_id", "component", F.col("cell").alias("_cell"), F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("_block")
-    )
-    placed = placed.join(ordered.select("set_id", "n", "grams"), "set_id")
-    rows = first.union(second).join(materialize(placed, "placed"), ["_cell", "_block"])
-    rows = rows.select("cell", "block", "other", "other_block", "side", "set_id", "component", "n", "grams")
-    return rows.groupBy("cell", "block", "other", "other_block").applyInArrow(_block_links, "high long, low long")
+
+    # A row per block, of a bounded size however many sets a cell has and however long they are.
+    members = materialize(cells.join(ordered.select("set_id", "n", "grams"), "set_id"), "cell-sets")
+    by_count, by_size = F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS)
+    sizes = materialize(members.groupBy("cell").agg(F.greatest(by_count, by_size).alias("blocks")), "sizes")
+    placed = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("set_id", "grams"), F.col("blocks")))
+    blocks = placed.groupBy("cell", "block").agg(F.collect_list(F.struct("set_id", "component", "n", "grams")).alias("members"))
+    blocks = materialize(blocks, "blocks")
+
+    numbers = sizes.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    others = numbers.select(F.col("cell").alias("other"), F.col("block").alias("other_block"))
+    tasks = cell_pairs.join(numbers, "cell").join(others, "other").where("cell < other or block <= other_block")
+    # A block that meets itself is sent once.
+    alone = (F.col("cell") == F.col("other")) & (F.col("block") == F.col("other_block"))
+    tasks = tasks.withColumn("other", F.when(~alone, F.col("other")))
+    second = blocks.select(F.col("cell").alias("other"), F.col("block").alias("other_block"), F.col("members").alias("others"))
+    both = tasks.join(blocks, ["cell", "block"]).join(second, ["other", "other_block"], "left")
+    return both.select("members", "others").mapInArrow(_compare(percent), "high long, low long")
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -320,7 +335,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     others = seats.join(heads, F.col("head") == F.col("_head")).where("component != _of")
     links = links.union(_links(_pairs(others.select(*members.columns)), ordered))
     seats = _still_split(seats, links)
-    links = links.union(materialize(_block_wise(seats, ordered), "links"))
+    links = links.union(materialize(block_wise(seats, ordered), "links"))
 
     reps = ordered.select("set_id", "rep")
     ends = links.join(reps.select(F.col("set_id").alias("high"), F.col("rep").alias("one")), "high")

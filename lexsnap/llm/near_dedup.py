@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexsnap.llm.components import components
+from lexsnap.llm.jaccard_join import block_wise
 from lexsnap.llm.words import WordHashes, draws, grams, in_small_batches, mixed, row_slices, sent_when_small, word_hashes
 from lexsnap.session import materialize
 
@@ -170,11 +171,6 @@ def _could_link(a: str, b: str):
     return (F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT) & (apart <= most)
 
 
-def _shared_first(a: str, b: str):
-    """Is this bucket the first that the two documents share? So that it alone pairs them."""
-    return F.element_at(F.array_intersect(f"{a}.bands", f"{b}.bands"), 1) == F.col(f"{a}.bucket")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(low, high)`` that reach the threshold on their full sets."""
     low = sets.select(F.col("doc_id").alias("low"), F.col("shingles").alias("low_set"))
@@ -210,9 +206,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Documents that share a band (a bucket) are candidates. Each is first held against
        the smallest document of all its buckets, and components are formed; then against
        the smallest of each bucket in which that one is of another component.
-    3. In buckets that still hold several components, all pairs across components are
-       checked. So no link between components is left out, while a large group of copies
-       costs one check per member.
+    3. In buckets that still hold several components, all members are compared across
+       components, in blocks of a bounded size on their full sets. So no link between
+       components is left out, while a large group of copies costs one check per member.
     4. Components again, over all links.
 
     A doc_id is one node: rows that repeat it share their links. Rows without words are
@@ -248,18 +244,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(materialize(_linked(later_pairs, sets), "links"))
     seats = _seated(seats.drop("component"), components(links))
 
-    checked = first_pairs.union(later_pairs)
-    rows = materialize(seats.join(traits, "doc_id").join(single.select("doc_id", "bands"), "doc_id"), "open")
-    across = rows.alias("a").join(
-        rows.alias("b"),
-        (F.col("a.bucket") == F.col("b.bucket"))
-        & (F.col("a.doc_id") < F.col("b.doc_id"))
-        & (F.col("a.component") != F.col("b.component"))
-        & F.when(_could_link("a", "b"), _shared_first("a", "b")).otherwise(F.lit(False)),
-    )
-    across = across.select(F.col("a.doc_id").alias("low"), F.col("b.doc_id").alias("high")).distinct()
-    across = across.join(checked, ["low", "high"], "left_anti")
-    more = _linked(materialize(across, "across"), sets)
+    # Near misses are left: compared in blocks, which give links and not pairs.
+    open_docs = materialize(seats.select("doc_id").distinct(), "open")
+    whole = sets.join(open_docs, "doc_id", "left_semi").dropDuplicates(["doc_id", "shingles"])
+    whole = whole.select(F.col("doc_id").alias("set_id"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("grams"))
+    seats = seats.select(F.col("bucket").alias("gram"), F.col("doc_id").alias("set_id"), F.col("low").alias("head"), "component")
+    more = materialize(block_wise(seats, whole, PERCENT).select("low", "high"), "links")
     every = links.union(more).union(copies.select("low", F.col("doc_id").alias("high")))
     group = components(every).select(F.col("node").alias("doc_id"), "component")
 
