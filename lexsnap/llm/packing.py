@@ -36,11 +36,15 @@ SENTENCE_CUT, HARD_CUT = 4, 24
 END_TOKEN = 0
 # Tokens packed at a time; the cut after them is forced, which costs one padding.
 STREAM_TOKENS = 1 << 20
-MAX_KNOWN_WORDS = 1 << 18
+# Words that a worker keeps: two generations of so many, none longer than KNOWN_LETTERS.
+# That is some 250 MB per worker at most, and a quarter more for words without a blank.
+GENERATION_WORDS = 1 << 19
+KNOWN_LETTERS = 64
 
 _SPACE_NEXT_TO_SPACE = re.compile(r" \s|\s ")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _STOPS = ".,;:!?"
+MOST_STOPS = 4  # in a run of them that is kept: a few thousand runs
 # Single line ends between other characters than white space, and no other white space.
 _LINE_END = re.compile(r"\A\S+(?:\n\S+)+\Z")
 
@@ -59,36 +63,46 @@ class Ids(dict):
     belongs to that word. So a text cut before such blanks gives the same ids, and a
     word met before needs no new encoding. The same holds for letters, the stops behind
     them and a line end between words; a run of letters goes straight to the
-    tokenizer's merges. Starts over when it has grown large.
+    tokenizer's merges. A full table becomes the old generation; a word of that one is
+    taken over when it is met again, and the rest goes when the next table is full.
     """
 
-    def __init__(self, tokenizer, blank: str = " "):
+    def __init__(self, tokenizer, blank: str = " ", size: int | None = None):
         super().__init__()
+        self.size = size or GENERATION_WORDS
+        self.old: dict[str, bytes] = {}
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.blank = blank
-        self.bare = Ids(tokenizer, "") if blank else self
+        self.bare = Ids(tokenizer, "", max(1, self.size // 4)) if blank else self
         self.stops: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_KNOWN_WORDS:
-            self.clear()
+        value = self.old.get(word)
+        if value is None:
+            value = self.new(word)
+        if len(word) <= KNOWN_LETTERS:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+    def new(self, word: str) -> bytes:
         letters = word.rstrip(_STOPS)
         if letters.isalpha():
             if len(letters) < len(word):
-                value = self[letters] + self.stop(word[len(letters) :])
-            else:
-                raw = (self.blank + word).encode().decode("latin-1").translate(self.letters)
-                value = array("I", [token.id for token in self.merge(raw)]).tobytes()
-        elif _LINE_END.search(word):
+                return self[letters] + self.stop(word[len(letters) :])
+            raw = (self.blank + word).encode().decode("latin-1").translate(self.letters)
+            return array("I", [token.id for token in self.merge(raw)]).tobytes()
+        if _LINE_END.search(word):
             first, *lines = word.split("\n")
-            value = self[first] + b"".join(self.stop("\n") + self.bare[line] for line in lines)
-        else:
-            value = self.plain(self.blank + word)
-        self[word] = value
-        return value
+            return self[first] + b"".join(self.stop("\n") + self.bare[line] for line in lines)
+        return self.plain(self.blank + word)
 
     def stop(self, text: str) -> bytes:
+        if len(text) > MOST_STOPS:
+            return self.plain(text)
         if text not in self.stops:
             self.stops[text] = self.plain(text)
         return self.stops[text]

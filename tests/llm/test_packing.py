@@ -50,14 +50,27 @@ TEXTS = [
 ]
 
 
-def test_ids_are_those_of_the_tokenizer():
+@pytest.mark.parametrize("size", [None, 1, 7])
+def test_ids_are_those_of_the_tokenizer(size):
     tokenizer = Tokenizer.from_file(PATH)
-    ids = K.Ids(tokenizer)
+    ids = K.Ids(tokenizer, size=size)
     for text in TEXTS:
         for _ in range(2):
             assert ids.of(text or "").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_known_words_are_bounded_and_met_ones_stay():
+    ids = K.Ids(Tokenizer.from_file(PATH), size=50)
+    encoded = []
+    fresh = ids.new
+    ids.new = lambda word: encoded.append(word) or fresh(word)
+    for k in range(1000):
+        ids.of(f"a often w{k} {'y' * 100} {'!' * 50}")
+        assert len(ids) <= 50 and len(ids.old) <= 50 and len(ids.stops) < 5
+    assert encoded.count("often") == 1 and encoded.count("w500") == 1
+    assert encoded.count("y" * 100) == 1000  # long words are not kept
+
+
 @pytest.mark.parametrize("stream", [1 << 21, 1000])
 def test_every_token_lies_in_one_piece(spark, monkeypatch, stream):
     monkeypatch.setattr(K, "STREAM_TOKENS", stream)
