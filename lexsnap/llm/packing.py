@@ -41,7 +41,8 @@ STREAM_TOKENS = 1 << 20
 GENERATION_WORDS = 1 << 19
 KNOWN_LETTERS = 64
 
-_SPACE_NEXT_TO_SPACE = re.compile(r" \s|\s ")
+# Starts with the blank, which the search then skips to.
+_SPACE_NEXT_TO_SPACE = re.compile(r" (?:\s|(?<=\s ))")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _STOPS = ".,;:!?"
 MOST_STOPS = 4  # in a run of them that is kept: a few thousand runs
@@ -62,8 +63,8 @@ class Ids(dict):
     Byte-level BPE splits a text into words before it merges, and a blank before a word
     belongs to that word. So a text cut before such blanks gives the same ids, and a
     word met before needs no new encoding. The same holds for letters, the stops behind
-    them and a line end between words; a run of letters goes straight to the
-    tokenizer's merges. A full table becomes the old generation; a word of that one is
+    them and a line end between words, which is put together each time; a run of letters
+    goes straight to the tokenizer's merges. A full table becomes the old generation; a word of that one is
     taken over when it is met again, and the rest goes when the next table is full.
     """
 
@@ -73,7 +74,7 @@ class Ids(dict):
         self.old: dict[str, bytes] = {}
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.blank = blank
+        self.blank, self.written = blank, blank.translate(self.letters)
         self.bare = Ids(tokenizer, "", max(1, self.size // 4)) if blank else self
         self.stops: dict[str, bytes] = {}
 
@@ -81,7 +82,7 @@ class Ids(dict):
         value = self.old.get(word)
         if value is None:
             value = self.new(word)
-        if len(word) <= KNOWN_LETTERS:
+        if len(word) <= KNOWN_LETTERS and "\n" not in word:
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
@@ -93,7 +94,10 @@ class Ids(dict):
         if letters.isalpha():
             if len(letters) < len(word):
                 return self[letters] + self.stop(word[len(letters) :])
-            raw = (self.blank + word).encode().decode("latin-1").translate(self.letters)
+            if word.isascii():
+                raw = self.written + word
+            else:
+                raw = self.written + word.encode().decode("latin-1").translate(self.letters)
             return array("I", [token.id for token in self.merge(raw)]).tobytes()
         if _LINE_END.search(word):
             first, *lines = word.split("\n")
