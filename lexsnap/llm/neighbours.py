@@ -4,7 +4,8 @@ Graph: every node starts with neighbours from blocks of rows that lie together a
 random hyperplane signs. Then, round by round, the neighbours and reverse neighbours of
 a node meet: each pair of them of which one is new is compared, and whoever gets a
 better neighbour keeps it. Search: from its own node a query goes on along the edges (both
-ways) of the best nodes it has seen, until the best ones have all been visited.
+ways) of the few best nodes that it has seen and not visited, until its best ones have all
+been visited.
 
 Every comparison is of the original vectors, in double precision. Nothing but the data
 ends the rounds: those of the graph when few edges are new, those of a query when its
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from lexsnap.session import materialize
@@ -27,6 +29,7 @@ from lexsnap.session import materialize
 EFFORT_ROWS = 50_000  # up to which the least neighbours, beam and visits do
 NEIGHBOURS, MORE_NEIGHBOURS = 40, 8  # the second for each doubling beyond EFFORT_ROWS
 BEAM, VISITS, MORE_VISITS = 160, 64, 64
+STEP = 8  # nodes that a query visits at a time
 REVERSE = 16
 TABLES, SIGNS, LINE_BITS = 8, 24, 38
 BLOCK_ROWS = 4096
@@ -57,18 +60,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _from_binary(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of floats of one binary column without nulls."""
+def _from_binary(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """Rows of one binary column without nulls, of the numpy type ``kind``."""
     column = column if not isinstance(column, pa.ChunkedArray) else column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, width)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
 
 
 def _to_binary(vectors: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in vectors], pa.binary())
 
 
-def _encode(width: int):
+def _encode(width: int, kind: str = "f4"):
     """The vectors as bytes, and per table the signs and, below them, the place along a line.
 
     The line orders what no plane parts, such as large groups of near copies.
@@ -83,7 +86,7 @@ def _encode(width: int):
             if not batch.num_rows:
                 continue
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(-1, width).astype(np.float32)
+            vectors = flat.reshape(-1, width).astype(kind)
             unit = _unit(vectors)
             signs = (unit @ planes > 0).reshape(-1, TABLES, SIGNS)
             keys = signs @ (1 << np.arange(SIGNS, dtype=np.int64)[::-1])
@@ -108,7 +111,7 @@ def _edges(nodes, others, scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["node", "other", "score"])
 
 
-def _compare_blocks(width: int):
+def _compare_blocks(width: int, kind: str):
     """Best neighbours within blocks of consecutive rows of one table."""
 
     def block(nodes: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,7 @@ def _compare_blocks(width: int):
         for batch in batches:
             tables = batch.column("table").to_numpy(zero_copy_only=False)
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            codes = _from_binary(batch.column("code"), width)
+            codes = _from_binary(batch.column("code"), width, kind)
             start = 0
             while start < len(nodes):
                 if tables[start] != table or rows >= BLOCK_ROWS:
@@ -154,7 +157,7 @@ def _compare_blocks(width: int):
     return run
 
 
-def _meet(width: int):
+def _meet(width: int, kind: str):
     """The members of each node's surroundings compare each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def _meet(width: int):
             ids = flat.field("member").to_numpy(zero_copy_only=False)
             fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
             worst = flat.field("worst").to_numpy(zero_copy_only=False)
-            vectors = _from_binary(flat.field("code"), width) if len(ids) else None
+            vectors = _from_binary(flat.field("code"), width, kind) if len(ids) else None
             ends = np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
             out: list[tuple] = []
             for start, end in zip(np.append(0, ends[:-1]), ends):
@@ -186,12 +189,12 @@ def _meet(width: int):
     return run
 
 
-def _score_pairs(width: int):
+def _score_pairs(width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (_unit(_from_binary(batch.column(c), width)) for c in ("query_code", "code"))
+            a, b = (_unit(_from_binary(batch.column(c), width, kind)) for c in ("query_code", "code"))
             score = np.einsum("ij,ij->i", a, b)
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
 
@@ -213,17 +216,18 @@ def _merged(graph: DataFrame, offers: DataFrame, count: int) -> DataFrame:
     return materialize(_top(single, "node", "other", count), "graph")
 
 
-def neighbour_graph(codes: DataFrame, width: int) -> DataFrame:
+def neighbour_graph(codes: DataFrame, width: int, kind: str = "f4") -> DataFrame:
     """``(node, other, score, fresh)``: about the nearest ``neighbours_of`` nodes of each.
 
-    ``codes`` is a stored table ``(node, code, keys)`` of different vectors.
+    ``codes`` is a stored table ``(node, code, keys)`` of different vectors, whose
+    components ``code`` holds as the numpy type ``kind``.
     """
     count = codes.count()
     kept = neighbours_of(count)
     blocks = max(1, -(-count * TABLES // BLOCK_ROWS))
     spread = codes.select("node", "code", F.posexplode("keys").alias("table", "key"))
     spread = spread.repartitionByRange(blocks, "table", "key").sortWithinPartitions("table", "key", "node")
-    start = spread.select("table", "node", "code").mapInArrow(_compare_blocks(width), "node long, other long, score double")
+    start = spread.select("table", "node", "code").mapInArrow(_compare_blocks(width, kind), "node long, other long, score double")
     graph = _merged(start.limit(0).select("node", "other", "score"), start, kept)
 
     # Ends by itself: a round with fresh edges has made the graph better.
@@ -240,14 +244,14 @@ def neighbour_graph(codes: DataFrame, width: int) -> DataFrame:
         met = around.join(known, "member").groupBy("node").agg(
             F.collect_list(F.struct("member", "fresh", "worst", "code")).alias("members")
         )
-        offers = met.select("members").mapInArrow(_meet(width), "node long, other long, score double")
+        offers = met.select("members").mapInArrow(_meet(width, kind), "node long, other long, score double")
         graph = _merged(graph, offers, kept)
         if graph.where("fresh").count() <= SETTLED * count * kept:
             break
     return graph
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width: int, kind: str = "f4") -> DataFrame:
     """``(query, node)``: the best nodes found for each query node, itself included."""
     codes = codes.select("node", "code")
     count = codes.count()
@@ -258,14 +262,14 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width:
     wanted = materialize(queries.join(codes, "node").select(F.col("node").alias("query"), F.col("code").alias("query_code")), "queries")
     beam = wanted.select("query", F.col("query").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("visited"))
     while True:  # a node that has left a beam is worse than all of it and never comes back
-        best = _top(beam, "query", "node", visits).where("not visited").select("query", "node")
-        best = materialize(best, "visits")
+        best = _top(beam, "query", "node", visits).where("not visited")
+        best = materialize(_top(best, "query", "node", STEP).select("query", "node"), "visits")
         if best.isEmpty():
             break
         reached = best.join(ways, "node").select("query", F.col("other").alias("node")).distinct()
         reached = reached.join(beam.select("query", "node"), ["query", "node"], "left_anti")
         paired = reached.join(codes, "node").join(wanted, "query").select("query", "node", "query_code", "code")
-        found = paired.mapInArrow(_score_pairs(width), "query long, node long, score double")
+        found = paired.mapInArrow(_score_pairs(width, kind), "query long, node long, score double")
         seen = beam.join(best.withColumn("now", F.lit(True)), ["query", "node"], "left").select(
             "query", "node", "score", (F.col("visited") | F.col("now").isNotNull()).alias("visited")
         )
@@ -279,20 +283,18 @@ def _dot(a: str, b: str) -> Column:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, vector)`` of the vectors that have a direction.
+    """``(vec_id, vector)`` of the different rows whose vector has a direction.
 
     Null vectors, those with null, NaN or infinite components, empty and zero ones and
-    rows without vec_id are left out, then all but the most frequent length (of two, the
-    longer). Of several vectors of one vec_id the smallest counts.
+    rows without vec_id are left out. Floats stay floats, other numbers become doubles.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     infinite = float("inf")
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite))
-    rows = rows.where(F.col("vec_id").isNotNull() & sound & F.exists("vector", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(1)
-    top = lengths.first()
-    rows = rows.where(F.size("vector") == (top.length if top else 0))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.where(F.col("vec_id").isNotNull() & sound & F.exists("vector", lambda x: x != 0)).distinct()
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -301,27 +303,46 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5) -> Data
     ``(query_id, rank, vec_id, score)``: cosines in double precision of the original
     vectors, largest first, ties to the smaller vec_id; a query is no neighbour of its
     own. Equal vectors are one node of the graph, with their k + 1 smallest ids: no more
-    can be among the nearest. Unusable vectors (see ``usable``) take no part; other
-    columns are not read.
+    can be among the nearest. Rows that repeat a vec_id with another vector are further
+    vectors of it: each is searched and found, the largest cosine between two ids counts.
+    Vectors have a cosine with those of their own length only, so each length is a graph
+    of its own. Unusable vectors (see ``usable``) take no part; other columns are not read.
     """
-    rows = materialize(usable(vectors), "vectors")
-    first = rows.select(F.size("vector").alias("width")).first()
-    if first is None:
+    rows = materialize(usable(vectors).withColumn("width", F.size("vector")), "vectors")
+    # One number per length that occurs.
+    widths = [r.width for r in rows.select("width").distinct().orderBy("width").collect()]
+    scored = [_scored(rows.where(F.col("width") == width).drop("width"), width, is_query, k) for width in widths]
+    if not scored:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = first.width
+    pairs = scored[0]
+    for more in scored[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _scored(rows: DataFrame, width: int, is_query: Column, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)`` of what the search finds among vectors of one length."""
+    single = isinstance(rows.schema["vector"].dataType.elementType, FloatType)
+    kind = "f4" if single else "f8"
     same = Window.partitionBy("vector").orderBy("vec_id")
     ranked = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     ranked = materialize(ranked, "copies")
-    nodes = ranked.where("place = 1").select(F.col("vec_id").alias("node"), "vector")
-    codes = materialize(nodes.mapInArrow(_encode(width), "node long, code binary, keys array<long>"), "codes")
-    graph = neighbour_graph(codes, width)
+    # An id may have several vectors, so nodes get numbers of their own, fixed once written.
+    nodes = ranked.where("place = 1").select("vector", F.monotonically_increasing_id().alias("node"))
+    nodes = materialize(nodes, "nodes")
+    codes = materialize(nodes.select("node", "vector").mapInArrow(_encode(width, kind), "node long, code binary, keys array<long>"), "codes")
+    graph = neighbour_graph(codes, width, kind)
 
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").join(nodes, "vector")
     asked = materialize(asked.select("query_id", F.col("node").alias("query"), F.col("vector").alias("query_vector")), "asked")
-    found = greedy_search(graph, codes, asked.select(F.col("query").alias("node")).distinct(), width)
-    copies = ranked.join(nodes, "vector").select("node", "vec_id", "vector")
+    found = greedy_search(graph, codes, asked.select(F.col("query").alias("node")).distinct(), width, kind)
+    copies = ranked.select("vec_id", "vector").join(nodes, "vector").select("node", "vec_id", "vector")
     pairs = asked.join(found, "query").join(copies, "node").where("vec_id != query_id")
+    if not single:  # squares of doubles may be lost or infinite
+        for name in ("query_vector", "vector"):
+            most = F.array_max(F.transform(name, F.abs))
+            pairs = pairs.withColumn("most", most).withColumn(name, F.transform(name, lambda x: x / F.col("most")))
     cosine = _dot("query_vector", "vector") / (F.sqrt(_dot("query_vector", "query_vector")) * F.sqrt(_dot("vector", "vector")))
-    scored = pairs.select("query_id", "vec_id", cosine.alias("score"))
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("query_id", "vec_id", cosine.alias("score"))

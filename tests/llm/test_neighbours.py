@@ -8,24 +8,27 @@ from lexsnap.llm import neighbours as N
 SCHEMA = "vec_id long, embedding array<float>, node string"
 
 
-def brute(rows, is_query, k):
+def brute(rows, is_query, k, dtype=np.float32):
+    """Vectors of each length apart; the largest cosine between two ids counts."""
+    scores = {}
     good = {}
     for vec_id, vector, *_ in rows:
         if vec_id is None or vector is None or any(x is None or not np.isfinite(x) for x in vector) or not any(vector):
             continue
-        good.setdefault(vec_id, []).append(vector)
-    sizes = [len(v) for vs in good.values() for v in vs]
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    ids = sorted(i for i in good if any(len(v) == width for v in good[i]))
-    matrix = np.array([min(v for v in good[i] if len(v) == width) for i in ids], np.float32).astype(float)
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    out = {}
-    for q, i in enumerate(ids):
-        if is_query(i):
-            scores = unit @ unit[q]
-            order = sorted((r for r in range(len(ids)) if r != q), key=lambda r: (-round(scores[r], 12), ids[r]))[:k]
-            out[i] = [(ids[r], scores[r]) for r in order]
-    return out
+        good.setdefault(len(vector), {})[vec_id, tuple(vector)] = None
+    for members in good.values():
+        ids = [i for i, _ in members]
+        matrix = np.array([v for _, v in members], dtype).astype(float)
+        matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        for q, i in enumerate(ids):
+            if is_query(i):
+                mine = scores.setdefault(i, {})
+                for other, score in zip(ids, unit @ unit[q]):
+                    if other != i:
+                        mine[other] = max(score, mine.get(other, -9))
+    order = lambda item: (-round(item[1], 12), item[0])
+    return {i: sorted(mine.items(), key=order)[:k] for i, mine in scores.items() if mine}
 
 
 def compare(got, want):
@@ -69,6 +72,33 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert mine == [0, 101, 102, 103, 104]
 
 
+def test_each_length_and_each_vector_of_an_id_takes_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist(), None) for i in range(200)]
+    rows += [(i, rng.normal(size=8).astype(np.float32).tolist(), None) for i in range(200, 300)]
+    rows += [(i, rng.normal(size=4).astype(np.float32).tolist(), None) for i in range(0, 100, 5)]
+    rows += [(i, rng.normal(size=8).astype(np.float32).tolist(), None) for i in range(0, 100, 25)]
+    rows += rows[:10]
+    got = N.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    want = brute(rows, lambda i: i % 50 == 0, 5)
+    assert {r.query_id for r in got} == set(want) == {0, 50, 100, 150, 200, 250}
+    assert compare(got, want) == 1.0
+
+
+def test_doubles_beyond_floats(spark):
+    rng = np.random.default_rng(6)
+    size = np.array([1e200, 1e-200, 1.0])[np.arange(90) % 3]
+    rows = [(i, (rng.normal(size=6) * size[i]).tolist(), None) for i in range(90)]
+    # Directions that floats do not tell apart.
+    rows += [(100 + i, [1.0, 1.0 + i * 1e-12, 0.0, 0.0, 0.0, 0.0], None) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
+    got = N.nearest_neighbours(table, F.col("vec_id") % 10 == 0).collect()
+    want = brute(rows, lambda i: i % 10 == 0, 5, float)
+    assert {r.query_id for r in got} == set(want)
+    for r in got:  # within the last group all are as near
+        assert abs(want[r.query_id][r["rank"] - 1][1] - r.score) < 1e-12
+
+
 def test_fewer_candidates_than_asked_for_and_none(spark):
     three = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [1.0, 1.0], "x"), (2, [0.0, 1.0], "x")], SCHEMA)
     got = [(r.query_id, r["rank"], r.vec_id) for r in N.nearest_neighbours(three, F.col("vec_id") == 0).collect()]
