@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsnap.session import in_small_batches, size_in_bytes  # noqa: F401  (taken from here)
+
 MAX_KNOWN_WORDS = 1 << 17
 # Rows of a side that is sent to all executors: two longs each, some 16 MB at most.
 MAX_SENT_ROWS = 1 << 19
 
-# Of text that goes to a Python worker at a time.
-BATCH_BYTES = 8 << 20
-
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
@@ -80,21 +78,3 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
 def sent_when_small(df: DataFrame, most_rows: int = MAX_SENT_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if it has few rows; else leave it to Spark."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands texts to Python in batches of BATCH_BYTES at most.
-
-    The session's setting is lowered where it is higher: a batch exists in the JVM and
-    in the worker at once, several times while it is copied. No result depends on it.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if size_in_bytes(str(conf.get(key))) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-    return df
-
-
-def size_in_bytes(setting: str) -> int:
-    """A size as Spark's settings give it: ``4194304``, ``64m``, ``1gb``."""
-    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
-    return int(number) << (10 * (" kmgtp".index(unit) if unit else 0))

@@ -15,11 +15,14 @@ from lexsnap.functions.markup import html_to_text
 from lexsnap.functions.text import normalize_whitespace
 from lexsnap.operators.numbering import running_sum
 from lexsnap.schemas import KEY, QA_ITEM
-from lexsnap.session import materialize
+from lexsnap.session import in_small_batches, materialize
 
 # Fixed value: the question of a row whose generation failed.
 FAILED_QUESTION = "Failed to generate."
 
+# Characters of questions and answers that a caller gathers before it passes them on.
+RESULT_CHARS = 4 << 20
+
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _RESPONSE = "array<struct<qa_list: array<struct<question: variant, answer: variant>>>>"
 
@@ -168,7 +171,8 @@ def generate_qa(
     row keeps the error and a null list. Null bodies are not sent. The calls are
     costly and may differ between runs: write the result before using it twice
     (``lexsnap.session.materialize``). ``parallelism`` sets the number of
-    concurrent callers.
+    concurrent callers. Bodies and results pass a caller some megabytes at a time,
+    however many rows its partition has.
     """
     schema = T.StructType(
         [
@@ -193,22 +197,29 @@ def generate_qa(
                     time.sleep(wait_seconds)
         return None, max_attempts, error
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        columns = zip(*rows)
+        return pd.DataFrame(
+            {f.name: pd.Series(column, dtype=object) for f, column in zip(schema, columns)}
+        )
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = [attempt(body) for body in batch["body_final"]]
-            yield pd.DataFrame(
-                {
-                    KEY: batch[KEY],
-                    "qa_list": pd.Series([r[0] for r in results], dtype=object),
-                    "attempts": [r[1] for r in results],
-                    "error": pd.Series([r[2] for r in results], dtype=object),
-                }
-            )
+            rows, held = [], 0
+            for key, body in zip(batch[KEY], batch["body_final"]):
+                pairs, attempts, error = attempt(body)
+                rows.append((key, pairs, attempts, error))
+                held += sum(len(p["question"]) + len(p["answer"]) for p in pairs or ())
+                if held >= RESULT_CHARS:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     documents = documents.select(KEY, "body_final")
     if parallelism:
         documents = documents.repartition(parallelism, KEY)
-    return documents.mapInPandas(call, schema)
+    return in_small_batches(documents).mapInPandas(call, schema)
 
 
 def mark_failed(generated: DataFrame) -> DataFrame:

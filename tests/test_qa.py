@@ -183,3 +183,27 @@ def test_nothing_to_regenerate(spark):
     rows = [(1, "a", "q", "x"), (2, "a", None, None)]
     got, seen = regenerated(spark, rows)
     assert got == rows and seen == []
+
+
+def test_bodies_reach_the_generator_in_small_batches(spark):
+    """30 MB in one partition: no batch of them holds more than some megabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 300, 1, 1).selectExpr(
+        "'d' || id AS permalink", "repeat(cast(id % 10 AS string), 100000) AS body_final"
+    )
+
+    def generator(text):
+        middle = len(text) // 2
+        return json.dumps({"qa_list": [{"question": text[:middle], "answer": text[middle:]}]})
+
+    spark.conf.set(key, str(64 << 20))
+    try:
+        generated = Q.generate_qa(docs, generator, 1, 0.0)
+        assert int(spark.conf.get(key)) <= 8 << 20
+        rows = generated.selectExpr("permalink", "qa_list[0].question AS q", "attempts").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r["permalink"], r["q"], r["attempts"]) for r in rows} == {
+        (f"d{n}", str(n % 10) * 50000, 1) for n in range(300)
+    }
