@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexsnap.operators.regulations import clean_regulations, with_detail
 from lexsnap.schemas import DETAIL_COLUMNS, KEY, LISTING_COLUMNS, REGULATION_COLUMNS
+from lexsnap.session import sent
 
 OPERATIONS = ("insert", "update", "delete", "same")
 
@@ -91,9 +92,15 @@ def inserted(changes: DataFrame) -> DataFrame:
     )
 
 
-def updated(changes: DataFrame, old: DataFrame) -> DataFrame:
-    """Changed rows: listing columns are new, detail columns are the stored ones."""
+def updated(changes: DataFrame, old: DataFrame, keys_are_few: bool = False) -> DataFrame:
+    """Changed rows: listing columns are new, detail columns are the stored ones.
+
+    With ``keys_are_few`` the keys are sent to all executors, and only the stored rows
+    that have changed are shuffled.
+    """
     listing = changes.filter("op = 'update'").select(KEY, *LISTING_COLUMNS)
+    if keys_are_few:
+        old = old.join(sent(listing.select(KEY), True), KEY, "left_semi")
     return listing.join(old.select(KEY, *DETAIL_COLUMNS), KEY).select(*REGULATION_COLUMNS)
 
 
@@ -113,6 +120,8 @@ def snapshot_merge(
     changes: DataFrame,
     fresh: DataFrame,
     refresh_updates: bool = False,
+    changed: DataFrame | None = None,
+    keys_are_few: bool = False,
 ) -> DataFrame:
     """The next regulation table.
 
@@ -120,8 +129,16 @@ def snapshot_merge(
     joined with the keys to update or delete; while these are few, Spark
     broadcasts them and the wide table is not shuffled. Stored rows whose key is
     null match no change and stay. With ``refresh_updates`` the updated rows are
-    in ``fresh`` too and replace the stored ones whole.
+    in ``fresh`` too and replace the stored ones whole. Where the updated rows are stored
+    already, give them as ``changed``: then the keys alone are compared, and sent to
+    all executors if they are few, and no text is shuffled.
     """
+    if changed is not None:
+        keys = changes.filter("op in ('update', 'delete')").select(KEY)
+        kept = old.join(sent(keys, keys_are_few), KEY, "left_anti").select(*REGULATION_COLUMNS)
+        if not refresh_updates:
+            kept = kept.unionByName(changed.select(*REGULATION_COLUMNS))
+        return kept.unionByName(fresh.select(*REGULATION_COLUMNS))
     touched = changes.filter("op in ('update', 'delete')").select(
         F.col(KEY).alias("_key"),
         F.col("op").alias("_op"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexsnap.schemas import KEY, METADATA_COLUMNS
+from lexsnap.session import sent
 
 # Metadata that follows the regulation table; text and vector never do.
 FOLLOWING = ("status_dokumen", "topik", "jenis_peraturan", "nomor_peraturan")
@@ -41,9 +42,12 @@ def delete_where_in(vectors: DataFrame, keys: DataFrame) -> DataFrame:
     return vectors.join(gone, F.col("metadata.permalink") == F.col("_key"), "left_anti")
 
 
-def upsert(vectors: DataFrame, records: DataFrame) -> DataFrame:
-    """Replace records with the same id and add the others."""
-    ids = records.select(F.col("id").alias("_id"))
+def upsert(vectors: DataFrame, records: DataFrame, ids_are_few: bool = False) -> DataFrame:
+    """Replace records with the same id and add the others.
+
+    With ``ids_are_few`` their ids are sent to all executors, and the table stays in place.
+    """
+    ids = sent(records.select(F.col("id").alias("_id")), ids_are_few)
     kept = vectors.join(ids, F.col("id") == F.col("_id"), "left_anti")
     return kept.unionByName(records)
 
@@ -64,13 +68,19 @@ def update_metadata(vectors: DataFrame, regulations: DataFrame) -> DataFrame:
 
 
 def apply_changes(
-    vectors: DataFrame, records: DataFrame, changed: DataFrame, gone: DataFrame
+    vectors: DataFrame,
+    records: DataFrame,
+    changed: DataFrame,
+    gone: DataFrame,
+    keys_are_few: bool = False,
+    ids_are_few: bool = False,
 ) -> DataFrame:
     """Upsert, metadata update and delete over one scan of the table.
 
     The same as the three operators in turn. Changes and deletes share one join
     on the permalink; each side that is small is broadcast, so that the vectors
-    themselves stay where they are.
+    themselves stay where they are; with ``keys_are_few`` that of the changes always,
+    and with ``ids_are_few`` that of the new ids.
     """
     touched = changed.select(
         F.col(KEY).alias("_key"),
@@ -83,9 +93,9 @@ def apply_changes(
     metadata = F.col("metadata")
     for name in FOLLOWING:
         metadata = metadata.withField(name, F.col(f"_now.{name}"))
-    upserted = upsert(vectors, records)
+    upserted = upsert(vectors, records, ids_are_few)
     return (
-        upserted.join(touched, F.col("metadata.permalink") == F.col("_key"), "left")
+        upserted.join(sent(touched, keys_are_few), F.col("metadata.permalink") == F.col("_key"), "left")
         .filter(F.col("_gone").isNull() | ~F.col("_gone"))
         .withColumn(
             "metadata",

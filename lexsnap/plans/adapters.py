@@ -17,7 +17,7 @@ from lexsnap.operators.qa import (
 from lexsnap.operators.regulations import clean_regulations, looked_up, with_detail
 from lexsnap.operators.vectors import vector_documents
 from lexsnap.schemas import KEY, LISTING
-from lexsnap.session import materialize, scratch_path
+from lexsnap.session import materialize, scratch_path, sent, stored_bytes
 
 # Turns per response. Long conversations give several responses of bounded size.
 TURNS_PER_PART = 64
@@ -25,6 +25,8 @@ TURNS_PER_PART = 64
 SYNC_BUCKETS = 64
 # With two turns per response a document has several, and some of them fail.
 SHORT_PART = 2
+# Of a table's files, compressed, that is sent to all executors at most.
+SENT_BYTES = 16 << 20
 
 
 # Given schemas save a look into the files each time a query is built.
@@ -57,7 +59,9 @@ def base_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         """transform(array(doc_id % 4, doc_id % 7 + 1), code -> named_struct(
              'uuid', CAST(code AS INT), 'keterangan', 'Topik ' || code)) AS topik""",
     )
+    # Two numbers a row: while they are few, the texts are not shuffled to meet them.
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    quality = sent(quality, stored_bytes(quality) <= SENT_BYTES)
     return rows.join(quality, "doc_id", "left").selectExpr(
         "doc_id",
         "permalink",
@@ -167,7 +171,8 @@ def land_pages(
             F.struct("search_data").alias("data"),
             F.struct(total_page.alias("total_page")).alias("pagination"),
         )
-        .write.json(path)
+        .write.option("compression", "gzip")
+        .json(path)
     )
     return path
 

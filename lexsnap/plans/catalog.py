@@ -405,7 +405,7 @@ def sync_stream(spark, d):
             f"{base}/tables",
             snapshot_id,
             listing_rows(pages),
-            A.detail_responses(spark, d),
+            lambda wanted: A.detail_responses(spark, d, wanted=wanted),
             generate=_attempt,
             embed=lambda records: A.embed(spark, d, records),
             missing=missing_pages(pages),
@@ -467,7 +467,8 @@ def retry_failures(spark, d):
 
     start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
     sync_snapshot(
-        spark, base, "1", A.listing_old(spark, d), A.detail_responses(spark, d),
+        spark, base, "1", A.listing_old(spark, d),
+        lambda wanted: A.detail_responses(spark, d, wanted=wanted),
         generate=_attempt, embed=embed, audit=False, now=start,
     )
     retry_job(spark, base, _attempt_again, embed, now=start + datetime.timedelta(hours=2))

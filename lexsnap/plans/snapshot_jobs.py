@@ -31,13 +31,23 @@ from lexsnap.operators.qa import (
     with_outcome,
 )
 from lexsnap.operators.regulations import topic_dimension
-from lexsnap.schemas import FAILURE, KEY, QA, REGULATION, TOPIC, VECTOR_DOCUMENT
-from lexsnap.session import materialize
+from lexsnap.schemas import (
+    DETAIL_COLUMNS,
+    FAILURE,
+    KEY,
+    LISTING_COLUMNS,
+    QA,
+    REGULATION,
+    TOPIC,
+    VECTOR_DOCUMENT,
+)
+from lexsnap.session import few, materialize, sent, stored_bytes
 from lexsnap.sources.tables import write_json
 from lexsnap.sources.versions import (
     Rewrite,
     Version,
     current_version,
+    in_few_tasks,
     publish,
     read_version,
     touched_buckets,
@@ -68,7 +78,7 @@ def sync_snapshot(
     root: str,
     snapshot_id: str,
     listing: DataFrame,
-    responses: DataFrame,
+    responses: DataFrame | Plugin,
     generate: Plugin,
     embed: Plugin,
     missing: DataFrame | None = None,
@@ -80,7 +90,8 @@ def sync_snapshot(
     """Bring the tables under ``root`` in line with one whole listing snapshot.
 
     ``listing`` is the nested listing and ``responses`` the landed details of (at
-    least) the inserted rows. ``generate`` maps ``(permalink, body_final)`` to
+    least) the inserted rows, or a function that looks these up for a table with their
+    permalinks. ``generate`` maps ``(permalink, body_final)`` to
     ``(permalink, qa_list)``, with ``attempts`` and ``error`` if it can fail, and
     ``embed`` adds ``embedding`` to vector records. ``missing`` holds page numbers that
     were not read: a partial snapshot would look like deletes, so it is refused. With no
@@ -102,41 +113,69 @@ def sync_snapshot(
     if "regulation" in current.buckets:
         buckets = len(current.buckets["regulation"])
 
-    new = materialize(ingest_listing(listing), "listing")
-    require_keys(new, unique=False)
-
     # Each change set is written once: it feeds several tables, and the joins
-    # below are planned by its true size.
+    # below are planned by its true size. Those with a row per document are stored by
+    # its key, so that a text is shuffled when it comes in and not again.
     stored = read_version(spark, current, "regulation", REGULATION)
-    changes = materialize(snapshot_diff(stored, new), "changes")
+    changes = _by_key(snapshot_diff(stored, ingest_listing(listing)), "changes")
+    # A null key of the listing matches nothing, so it shows as an insert.
+    require_keys(changes.filter("op = 'insert'"), unique=False)
     touched = touched_buckets(changes, KEY, buckets)
     old = {
         name: read_version(spark, current, name, schema, touched)
         for name, (schema, _) in BUCKETED.items()
     }
+    # A first load has no keys to compare. Where there are few, the stored tables
+    # stay in place: neither joins nor buckets shuffle them.
+    first_load = not current.buckets
+    in_place = first_load or few(changes.select(KEY))
+
     renewed = "op in ('insert', 'update')" if refresh_updates else "op = 'insert'"
-    fresh = materialize(with_details(changes.filter(renewed), responses), "fresh")
-    require_keys(fresh)
-    changed = materialize(updated(changes, old["regulation"]), "changed")
+    listed = changes.filter(renewed)
+    found = responses(listed.select(KEY)) if callable(responses) else responses
+    details = _by_key(with_details(listed, found).select(KEY, *DETAIL_COLUMNS), "details")
+    require_keys(details)
+    fresh = listed.select(KEY, *LISTING_COLUMNS).join(details, KEY)
+    changed = _stored(updated(changes, old["regulation"], in_place), "changed")
     gone = deleted(changes)
 
-    generated = materialize(with_outcome(generate(plain_text(fresh))), "generated")
-    fresh_qa = materialize(explode_qa(mark_failed(generated)), "qa")
-    records = materialize(embed(V.vector_documents(answered(fresh_qa), fresh)), "records")
+    generated = _by_key(with_outcome(generate(plain_text(details))), "generated")
+    fresh_qa = explode_qa(mark_failed(generated))
+    records = embed(V.vector_documents(answered(fresh_qa), fresh))
+    if not first_load:  # then their ids are compared, besides
+        records = _stored(records, "records")
+    new_rows = {"regulation": fresh, "qa": fresh_qa, "vectors": records}
+    if in_place:
+        text_bytes = stored_bytes(generated)
+        sizes = {
+            "regulation": stored_bytes(changes) + stored_bytes(details),
+            "qa": text_bytes,
+            "vectors": 2 * text_bytes,
+        }
+        new_rows = {
+            name: in_few_tasks(rows, sizes[name], buckets) for name, rows in new_rows.items()
+        }
+
     dropped = gone
     if refresh_updates:
         # All records of a renewed document give way to its new ones.
         dropped = changes.filter("op in ('update', 'delete')").select(KEY)
-        kept_vectors = V.delete_where_in(old["vectors"], dropped)
-        vectors = V.upsert(kept_vectors, records)
+        kept_vectors = V.delete_where_in(old["vectors"], sent(dropped, in_place))
+        vectors = V.upsert(kept_vectors, new_rows["vectors"], in_place and few(records))
     else:
-        vectors = V.apply_changes(old["vectors"], records, changed, gone)
-    qa = old["qa"].join(dropped, KEY, "left_anti").unionByName(fresh_qa)
+        vectors = V.apply_changes(
+            old["vectors"], new_rows["vectors"], changed, gone, in_place,
+            ids_are_few=not first_load and few(records),
+        )
+    dropped = sent(dropped, in_place)
+    qa = old["qa"].join(dropped, KEY, "left_anti").unionByName(new_rows["qa"])
     failures = old["failures"].join(dropped, KEY, "left_anti")
     failures = failures.unionByName(_failed(generated, now))
 
     rows = {
-        "regulation": snapshot_merge(old["regulation"], changes, fresh, refresh_updates),
+        "regulation": snapshot_merge(
+            old["regulation"], changes, new_rows["regulation"], refresh_updates, changed, in_place
+        ),
         "qa": qa,
         "vectors": vectors,
         "failures": failures,
@@ -152,17 +191,29 @@ def sync_snapshot(
         root,
         tables,
         snapshot_id,
-        rewrites=_rewrites(rows, touched),
+        rewrites=_rewrites(rows, touched, in_place),
         buckets=buckets,
         before=current,
     )
 
 
-def _rewrites(rows: dict[str, DataFrame], touched: list[int]) -> dict[str, Rewrite]:
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    return materialize(df, label, codec="zstd")
+
+
+def _by_key(df: DataFrame, label: str) -> DataFrame:
+    return materialize(df, label, by=KEY, codec="zstd")
+
+
+def _rewrites(
+    rows: dict[str, DataFrame], touched: list[int], in_place: bool
+) -> dict[str, Rewrite]:
+    """The ledger has few short rows, and is always dealt anew."""
     out = {}
     for name, df in rows.items():
         schema, key = BUCKETED[name]
-        out[name] = Rewrite(df.select(*schema.names), key, touched)
+        stays = in_place and name != "failures"
+        out[name] = Rewrite(df.select(*schema.names), key, touched, stays)
     return out
 
 
@@ -220,15 +271,26 @@ def retry_failures(
         name: read_version(spark, current, name, schema, touched)
         for name, (schema, _) in BUCKETED.items()
     }
-    documents = old["regulation"].join(due.select(KEY), KEY, "left_semi")
-    generated = materialize(with_outcome(generate(plain_text(documents))), "generated")
+    # While few are due, the stored tables stay in place.
+    in_place = few(due)
+    due_keys = sent(due.select(KEY), in_place)
+    documents = old["regulation"].join(due_keys, KEY, "left_semi")
+    generated = _stored(with_outcome(generate(plain_text(documents))), "generated")
     solved = generated.filter("error is null")
+    solved_keys = sent(solved.select(KEY), in_place)
 
-    mine = old["qa"].join(solved.select(KEY), KEY, "left_semi")
+    mine = old["qa"].join(solved_keys, KEY, "left_semi")
     kept = kept_items(mine)
-    items = materialize(after_kept(explode_qa(solved), kept), "qa")
-    records = materialize(embed(V.vector_documents(answered(items), documents)), "records")
-    others = old["qa"].join(solved.select(KEY), KEY, "left_anti")
+    items = _stored(after_kept(explode_qa(solved), kept), "qa")
+    records = _stored(embed(V.vector_documents(answered(items), documents)), "records")
+    others = old["qa"].join(solved_keys, KEY, "left_anti")
+    # Ids hold the permalink: those of other documents are others.
+    vectors = V.upsert(V.get_where_in(old["vectors"], solved_keys), records)
+    renewed = kept.select(*QA.names).unionByName(items)
+    if in_place:
+        n_buckets = len(current.buckets["failures"])
+        renewed = in_few_tasks(renewed, stored_bytes(items), n_buckets)
+        vectors = in_few_tasks(vectors, stored_bytes(records), n_buckets)
 
     again = generated.filter("error is not null").join(
         due.select(KEY, F.col("attempts").alias("_attempts"), F.col("rounds").alias("_rounds")), KEY
@@ -241,8 +303,8 @@ def retry_failures(
     )
     waiting = old["failures"].join(due.select(KEY), KEY, "left_anti")
     rows = {
-        "qa": others.unionByName(kept.select(*QA.names)).unionByName(items),
-        "vectors": V.upsert(old["vectors"], records),
+        "qa": others.unionByName(renewed),
+        "vectors": V.delete_where_in(old["vectors"], solved_keys).unionByName(vectors),
         "failures": waiting.unionByName(_ledger(again, now)),
     }
     return publish(
@@ -250,7 +312,7 @@ def retry_failures(
         root,
         {},
         current.snapshot_id,
-        rewrites=_rewrites(rows, touched),
+        rewrites=_rewrites(rows, touched, in_place),
         before=current,
     )
 
@@ -263,7 +325,7 @@ def audit_tables(
 
 
 def write_audit(change_sets: dict[str, DataFrame], path: str) -> list[str]:
-    """Keep each change set that is not empty as JSON; a repeated run rewrites it.
+    """Keep each change set that is not empty as JSON, gzipped; a repeated run rewrites it.
 
     Gives the names of those written.
     """
@@ -271,7 +333,7 @@ def write_audit(change_sets: dict[str, DataFrame], path: str) -> list[str]:
     def write(name: str) -> bool:
         if change_sets[name].select(KEY).isEmpty():
             return False
-        write_json(change_sets[name], f"{path}/{name}.json", mode="overwrite")
+        write_json(change_sets[name], f"{path}/{name}.json", mode="overwrite", compression="gzip")
         return True
 
     with ThreadPoolExecutor(len(change_sets)) as writers:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime re-planning does the sizing: AQE merges shuffle partitions to the advisory
 # size and splits skewed ones. It cannot split ordinary ones, so give ``build_session``
@@ -95,16 +96,53 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(hadoop).delete(folder, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(
+    df: DataFrame, label: str, by: str | None = None, codec: str | None = None
+) -> DataFrame:
     """Write ``df`` once to the workspace and read it back.
 
     Cuts the lineage in storage that outlives executors, keeps costly or
     order-dependent work from running twice, and gives the planner true sizes,
     so that it broadcasts a change set only when the set is in fact small.
+
+    With ``by`` the rows lie in Spark's buckets of that column, one per shuffle partition:
+    tables stored by the same column are joined on it without a shuffle. ``codec``
+    compresses the files, with zstd much more than without.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    writer = df.write.mode("errorifexists")
+    if codec:
+        writer = writer.option("compression", codec)
+    if by is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    # The catalog is only the way to name the buckets: what is resolved needs no entry.
+    name = f"lexsnap_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """About the size of a stored table, or of what Spark expects of other rows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+# Rows of keys that are sent to all executors at most: some 100 to 200 MB.
+MAX_SENT_KEYS = 1 << 20
+
+
+def few(df: DataFrame, most_rows: int = MAX_SENT_KEYS) -> bool:
+    """Has this stored table of short rows so few that all executors can hold them?"""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
+def sent(df: DataFrame, small: bool) -> DataFrame:
+    """Marked for broadcast if it is small, whatever Spark's threshold is."""
+    return F.broadcast(df) if small else df
 
 
 # Of text that goes to a Python worker at a time.

@@ -90,6 +90,7 @@ def write_json(
     mode: str = "errorifexists",
     partition_by: str | None = None,
     array_of_rows: bool = False,
+    compression: str | None = None,
 ) -> None:
     """JSON lines, or with ``array_of_rows`` files that hold one array each."""
     if array_of_rows:
@@ -99,6 +100,8 @@ def write_json(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.json(path)
 
 

@@ -35,6 +35,10 @@ _LOG = T.StructType(
 # Tables of a publish that are written at the same time.
 _WRITERS = 4
 
+# Of rows that are dealt in place: to a file of a bucket, and in all to a task.
+FILE_BYTES = 8 << 20
+TASK_BYTES = 96 << 20
+
 
 @dataclass(frozen=True)
 class Version:
@@ -52,11 +56,22 @@ class Rewrite:
     """The next rows of the touched buckets of a table, whole.
 
     ``key``, a column or the path of a field, deals them out, and sorts them in each file.
+    With ``in_place`` they are not shuffled for it: each task writes its rows of a bucket,
+    as suits rows that are read from buckets, or come in few partitions.
     """
 
     rows: DataFrame
     key: str
     touched: Iterable[int]
+    in_place: bool = False
+
+
+def in_few_tasks(rows: DataFrame, stored: int, buckets: int) -> DataFrame:
+    """``rows``, of about ``stored`` bytes, in partitions of some size for each bucket.
+
+    A partition stays small enough to be sorted in memory.
+    """
+    return rows.coalesce(max(1, -(-stored // min(TASK_BYTES, buckets * FILE_BYTES))))
 
 
 def bucket_of(key: Column | str, buckets: int) -> Column:
@@ -112,13 +127,15 @@ def read_version(
 
     With ``buckets`` only these buckets are read, of a table that is kept in buckets.
     """
+    # Known to be empty when a query is planned, so that joins with it need no shuffle.
+    nothing = spark.createDataFrame([], schema).limit(0)
     if table not in version.tables:
-        return spark.createDataFrame([], schema)
+        return nothing
     if table not in version.buckets:
         return spark.read.schema(schema).parquet(version.tables[table])
     paths = list(bucket_paths(version, table, buckets).values())
     if not paths:
-        return spark.createDataFrame([], schema)
+        return nothing
     return spark.read.schema(schema).parquet(*paths)
 
 
@@ -184,10 +201,12 @@ def publish(
             dealt = rewrite.rows.withColumn("bucket", bucket_of(rewrite.key, len(written)))
             # Sorted, and with a Bloom filter of the key: of a bucket that has grown to
             # several row groups, a lookup reads one.
+            if not rewrite.in_place:
+                dealt = dealt.hint("rebalance", "bucket")
             (
-                dealt.hint("rebalance", "bucket")
-                .sortWithinPartitions("bucket", rewrite.key)
+                dealt.sortWithinPartitions("bucket", rewrite.key)
                 .write.mode("overwrite")
+                .option("compression", "zstd")
                 .option("maxRecordsPerFile", max_rows_per_file)
                 .option(f"parquet.bloom.filter.enabled#{rewrite.key}", "true")
                 .option("parquet.bloom.filter.adaptive.enabled", "true")

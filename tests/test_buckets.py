@@ -9,14 +9,18 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lexsnap import session
 from lexsnap.operators.qa import FAILED_QUESTION
 from lexsnap.plans.snapshot_jobs import BUCKETED, read_tables, retry_failures, sync_snapshot
 from lexsnap.schemas import DETAIL_RESPONSE, LISTING, VECTOR_DOCUMENT
+from lexsnap.session import materialize
 from lexsnap.sources.versions import (
+    TASK_BYTES,
     Rewrite,
     bucket_of,
     bucket_paths,
     current_version,
+    in_few_tasks,
     publish,
     read_keys,
     read_version,
@@ -214,3 +218,66 @@ def test_failed_documents_are_generated_again(spark, tmp_path):
     retry_failures(spark, root, generator(), embed, now=late)
     assert ledger(spark, root) == {}
     assert vector_ids(spark, root) == [f"d{k}#{i}" for k in (0, 1, 2, 4, 5) for i in (1, 2)]
+
+
+def test_tables_stored_by_a_key_are_joined_in_place(spark):
+    rows = spark.range(500).selectExpr("if(id % 50 = 0, null, 'd' || id) AS permalink", "id")
+    left = materialize(rows, "left", by="permalink", codec="zstd")
+    right = materialize(rows.filter("id % 2 = 0"), "right", by="permalink")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = left.join(right.withColumnRenamed("id", "other"), "permalink")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sorted(r["id"] for r in both.collect()) == [n for n in range(0, 500, 2) if n % 50]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left.count() == 500 and left.filter("permalink is null").count() == 10
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexsnap")]
+
+
+def test_rows_are_dealt_in_place(spark, tmp_path):
+    """Few partitions, each of which writes its rows of a bucket, and no row is lost."""
+    keys = spark.range(0, 3000, 1, 6).selectExpr("if(id = 0, null, 'd' || id) AS permalink")
+    rows = in_few_tasks(keys, 3 * TASK_BYTES, 1 << 20)
+    assert rows.rdd.getNumPartitions() == 3
+    every = {"t": Rewrite(rows, "permalink", range(BUCKETS), in_place=True)}
+    version = publish(spark, str(tmp_path / "t"), {}, "1", rewrites=every, buckets=BUCKETS)
+    stored = read_version(spark, version, "t", rows.schema)
+    assert sorted(map(str, (r[0] for r in stored.collect()))) == sorted(map(str, (r[0] for r in keys.collect())))
+    for folder in bucket_paths(version, "t").values():
+        files = sorted((tmp_path / folder).glob("part-*.parquet"))
+        assert 1 <= len(files) <= 3
+        assert pq.ParquetFile(files[0]).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 2])
+def test_many_changes_and_few_give_the_same_tables(spark, tmp_path, monkeypatch, limit):
+    """Keys sent to all executors or not; details are looked up for inserted rows only."""
+    monkeypatch.setattr(session.few, "__defaults__", (limit,))
+    root, asked = str(tmp_path / "t"), []
+
+    def look_up(wanted):
+        asked.append(sorted(r[0] for r in wanted.collect()))
+        return responses(spark, asked[-1])
+
+    first = {f"d{k}": "A" for k in range(30)}
+    second = {f"d{k}": "B" if k % 3 == 0 else "A" for k in range(5, 40)}
+    for name, items, failing in (("1", first, ("d1", "d6", "d7")), ("2", second, ("d35",))):
+        listing = spark.createDataFrame([item(*i) for i in items.items()], LISTING)
+        sync_snapshot(
+            spark, root, name, listing, look_up, generator(*failing), embed, buckets=BUCKETS, now=START
+        )
+    assert asked == [sorted(first), sorted(set(second) - set(first))]
+    regs, vectors, qa = stored(spark, root)
+    failed = {"d6", "d7", "d35"}
+    assert regs == second
+    assert vectors == sorted((f"{k}#{i}", second[k]) for k in second if k not in failed for i in (1, 2))
+    assert set(ledger(spark, root)) == failed
+    retry_failures(spark, root, generator("d7"), embed, now=START + HOUR)
+    regs, vectors, qa = stored(spark, root)
+    assert vectors == sorted((f"{k}#{i}", second[k]) for k in second if k != "d7" for i in (1, 2))
+    assert qa == sorted([(k, i) for k in second if k != "d7" for i in (1, 2)] + [("d7", 1)])
+    assert set(ledger(spark, root)) == {"d7"}
+    read = {n: spark.read.json(f"{root}/audit/2/{n}.json").count() for n in ("_new", "_update", "_delete")}
+    assert read == {"_new": 10, "_update": sum(k % 3 == 0 for k in range(5, 30)), "_delete": 5}
