@@ -13,6 +13,10 @@ from lexsnap.llm import exact_dedup, mixing, near_dedup, packing, quality
 from lexsnap.llm.queries import SOURCE_WEIGHTS, table
 from lexsnap.session import materialize, release, scratch_paths
 
+# Words that the packing keeps: few, for its workers share an executor's memory with what
+# the stages before it have left there.
+KNOWN_WORDS = 1 << 14
+
 # Scratch tables of the stage that ran last, by application.
 _LEFT: dict[str, list[str]] = {}
 
@@ -65,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, as pieces of documents."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), KNOWN_WORDS)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

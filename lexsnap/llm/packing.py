@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsnap.llm.words import in_small_batches
+from lexsnap.llm.words import in_small_batches, row_slices
 
 SEQUENCE_TOKENS = 1024
 GRID_TOKENS = 64
@@ -40,6 +40,8 @@ STREAM_TOKENS = 1 << 20
 # That is some 250 MB per worker at most, and a quarter more for words without a blank.
 GENERATION_WORDS = 1 << 19
 KNOWN_LETTERS = 64
+# Of texts that are Python strings at a time, one text at least.
+SLICE_BYTES = 1 << 20
 
 # Starts with the blank, which the search then skips to.
 _SPACE_NEXT_TO_SPACE = re.compile(r" (?:\s|(?<=\s ))")
@@ -245,23 +247,24 @@ class Packer:
         self.docs, self.parts, self.held = [], [], 0
 
 
-def _tokenizer(path: str) -> tuple[Ids, np.ndarray]:
+def _tokenizer(path: str, known_words: int) -> tuple[Ids, np.ndarray]:
     """Tokenizer and known ids, kept as long as the Python worker lives."""
     from tokenizers import Tokenizer
 
     store = sys.modules.setdefault("_lexsnap_worker", types.ModuleType("_lexsnap_worker")).__dict__
-    if path not in store:
+    key = f"{path} {known_words}"
+    if key not in store:
         tokenizer = Tokenizer.from_file(path)
-        store[path] = Ids(tokenizer), sentence_ends(tokenizer)
-    return store[path]
+        store[key] = Ids(tokenizer, size=known_words), sentence_ends(tokenizer)
+    return store[key]
 
 
-def _pack(path: str):
+def _pack(path: str, known_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ends = _tokenizer(path)
+        ids, ends = _tokenizer(path, known_words)
         end = np.array([END_TOKEN], "<u4")
         packer = Packer(ends, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in row_slices(batches, "text", SLICE_BYTES):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 yield from packer.add(doc_id, np.concatenate([ids.of(text or ""), end]))
         yield from packer.flush()
@@ -269,7 +272,7 @@ def _pack(path: str):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, known_words: int = GENERATION_WORDS) -> DataFrame:
     """Pack ``(doc_id, text, …)`` into sequences of at most SEQUENCE_TOKENS tokens.
 
     ``tokenizer_path`` names a tokenizer file that executors can open. A document is its
@@ -278,10 +281,11 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     unsigned 32-bit little-endian. Pieces keep the order of the rows within a partition,
     repeated rows and null doc_ids are documents like others, and nothing is shuffled.
     sequence_id is unique over all partitions; other columns are not read.
+    ``known_words`` trades a worker's memory (some 400 bytes each) for time.
     """
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
-        _pack(tokenizer_path),
+        _pack(tokenizer_path, known_words),
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
 

@@ -108,3 +108,10 @@ def test_little_padding_and_crc(spark):
         lengths[p.sequence_id] = lengths.get(p.sequence_id, 0) + p.length
     lost = sum(padding(n, K.SEQUENCE_TOKENS) for n in lengths.values())
     assert lost < 0.03 * sum(lengths.values())
+
+
+def test_pieces_do_not_depend_on_the_known_words(spark):
+    texts = [" ".join(f"w{n * k % 97}x" for k in range(400)) + "." for n in range(20)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    few, many = (sorted(map(tuple, K.pack(docs, PATH, *size).collect())) for size in ([8], []))
+    assert few == many and len({row[0] for row in few}) == 22
