@@ -128,3 +128,27 @@ def test_a_search_goes_on_until_its_best_stay_the_same(spark):
     graph = spark.createDataFrame([(i, i + 1, 0.0) for i in range(12)], "node long, other long, score double")
     found = N.greedy_search(graph, codes, spark.createDataFrame([(0,)], "node long"), 2)
     assert {r.node for r in found.collect()} == set(range(13))
+
+
+def test_no_row_for_each_edge_or_comparison(spark, monkeypatch):
+    stored = []
+    materialize = N.materialize
+
+    def counted(df, label, *args, **options):
+        out = materialize(df, label, *args, **options)
+        stored.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    rows = [(i, v, None) for i, v in enumerate(np.random.default_rng(8).normal(size=(700, 8)).astype(np.float32).tolist())]
+    got = N.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    assert compare(got, brute(rows, lambda i: i % 50 == 0, 5)) == 1.0
+    assert max(n for _, n in stored) <= 700, stored
+
+
+def test_many_parts_and_groups_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_PART", 16)
+    monkeypatch.setattr(N, "GROUP_QUERIES", 8)
+    rng = np.random.default_rng(9)
+    matrix = np.concatenate([rng.normal(size=(700, 8)), rng.normal(size=8) + 0.001 * rng.normal(size=(200, 8))])
+    assert recall(spark, matrix, 7) >= 0.98
