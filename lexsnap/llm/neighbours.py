@@ -41,7 +41,7 @@ START_NEIGHBOURS = 16  # per table
 OFFERS = 8  # that a meeting makes to each who takes part
 SETTLED = 0.02  # share of new edges below which the rounds end
 SEED = 7
-PART_ROWS, LEAST_PART, LEAST_PARTS = 4096, 256, 32  # nodes of a part; parts, if they are not too small
+PART_ROWS, LEAST_PART, LEAST_PARTS = 4096, 256, 32  # nodes of a part, below 2^16; parts, if they are not too small
 PART_BYTES = 1 << 28  # of vectors that meet in a part
 MOST_OFFERS = 1 << 21  # held by a task before it drops those that are not needed
 GROUP_QUERIES = 128
@@ -115,6 +115,7 @@ def _encode(width: int, kind: str = "f4"):
 MESSAGE = "part int, kind int, source int, n long, a binary, b binary, c binary, d binary"
 COLUMNS = [column.split()[0] for column in MESSAGE.split(", ")]
 CODES, GRAPH, OFFERS_TO, BACK, MEMBERS, ASKED, ANSWERED, EDGES, WAYS, BEAMS, VISITS_TO, LED, REACHED, FOUND = range(14)
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SENT_BYTES = 4 << 20  # of a batch that a task gives back
 
 
@@ -166,11 +167,10 @@ def _sent(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _by_part(parts: np.ndarray, kind: int, source: int, *arrays: np.ndarray) -> Iterator[tuple]:
     """One message for each part that rows go to."""
-    order = np.argsort(parts, kind="stable")
+    order = _sorted_by(parts)
     parts, arrays = parts[order], [x[order] for x in arrays]
-    starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
-    for start, end in zip(starts, [*starts[1:], len(parts)]):
-        yield int(parts[start]), kind, source, end - start, *(x[start:end] for x in arrays)
+    for start, length in zip(*_runs(parts)):
+        yield int(parts[start]), kind, source, int(length), *(x[start : start + length] for x in arrays)
 
 
 def _dealt(frames: list[DataFrame], parts: int) -> DataFrame:
@@ -182,17 +182,67 @@ def _dealt(frames: list[DataFrame], parts: int) -> DataFrame:
 
 
 def _stored(messages: DataFrame, label: str) -> tuple[DataFrame, str]:
-    stored = materialize(messages, label)
+    """A stored table and its path.
+
+    The shuffles behind it go as soon as it is written: left to the driver's collection
+    of garbage, those of all rounds could lie on disk at a time.
+    """
+    conf = messages.sparkSession.conf
+    was = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        stored = materialize(messages, label)
+    finally:
+        conf.set(SHUFFLES_GO, was)
     return stored, scratch_paths(stored.sparkSession)[-1]
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, int)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _sorted_by(groups: np.ndarray) -> np.ndarray:
+    """A stable order; small numbers need no comparisons."""
+    low = int(groups.min()) if len(groups) else 0
+    few = len(groups) and int(groups.max()) - low < 1 << 16
+    return np.argsort((groups - low).astype("u2") if few else groups, kind="stable")
+
+
 def _leading(count: int, groups: np.ndarray, *order: np.ndarray) -> np.ndarray:
     """Where the first ``count`` rows of each group are, by group and ``order``."""
-    index = np.lexsort((*reversed(order), groups))
-    sorted_groups = groups[index]
-    starts = np.flatnonzero(np.append(True, sorted_groups[1:] != sorted_groups[:-1])) if len(index) else np.empty(0, int)
-    place = np.arange(len(index)) - np.repeat(starts, np.diff(np.append(starts, len(index))))
-    return index[place < count]
+    index = np.argsort(order[-1], kind="stable")
+    for key in order[-2::-1]:
+        index = index[np.argsort(key[index], kind="stable")]
+    index = index[_sorted_by(groups[index])]
+    starts, lengths = _runs(groups[index])
+    return index[np.arange(len(index)) - np.repeat(starts, lengths) < count]
+
+
+def _kept(count: int, groups: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """The same rows, in no order; only groups of more rows are sorted by ``order``."""
+    index = np.argsort(groups)
+    _, lengths = _runs(groups[index])
+    many = np.repeat(lengths > count, lengths)
+    rows = index[many]
+    return np.append(index[~many], rows[_leading(count, groups[rows], *(x[rows] for x in order))])
+
+
+def _single(keys: np.ndarray) -> np.ndarray:
+    """Where one row of each key is, by key."""
+    index = np.argsort(keys)
+    return index[_runs(keys[index])[0]]
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the sorted different values are among some others?"""
+    found = np.zeros(len(values), bool)
+    at = np.searchsorted(values, some)
+    there = at < len(values)
+    there[there] = values[at[there]] == some[there]
+    found[at[there]] = True
+    return found
 
 
 def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -220,9 +270,11 @@ def _packed_codes(codes: DataFrame, count: int, width: int, kind: str) -> tuple[
     return _stored(in_small_batches(dealt).mapInArrow(_pack_codes(width, kind), MESSAGE), "vectors-of-parts")
 
 
-def _best(scores: np.ndarray, count: int) -> np.ndarray:
-    count = min(count, scores.shape[1])
-    return np.argpartition(scores, scores.shape[1] - count, axis=1)[:, scores.shape[1] - count :]
+def _best(scores: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``count`` largest of each row."""
+    others = max(0, scores.shape[1] - count)
+    best = np.argpartition(scores, others, axis=1)[:, others:]
+    return best, scores[np.arange(len(best))[:, None], best]
 
 
 def _compare_blocks(width: int, kind: str, part: int, ids: str):
@@ -232,12 +284,12 @@ def _compare_blocks(width: int, kind: str, part: int, ids: str):
         if len(nodes) < 2:
             return
         unit, near, value = _unit(codes), [], []
-        for start in range(0, len(nodes), 512):
-            scores = unit[start : start + 512] @ unit.T
+        for start in range(0, len(nodes), 128):
+            scores = unit[start : start + 128] @ unit.T
             scores[np.arange(len(scores)), np.arange(start, start + len(scores))] = -9
-            best = _best(scores, min(START_NEIGHBOURS, len(nodes) - 1))
+            best, high = _best(scores, min(START_NEIGHBOURS, len(nodes) - 1))
             near.append(best)
-            value.append(np.take_along_axis(scores, best, 1))
+            value.append(high)
         near, value = np.concatenate(near), np.concatenate(value)
         who = np.repeat(nodes, near.shape[1])
         yield from _by_part(who // part, OFFERS_TO, 0, (who % part).astype("i4"), nodes[near.reshape(-1)].astype(ids), value.reshape(-1))
@@ -293,10 +345,11 @@ def _merge(kept: int, part: int, count: int, ids: str):
                 score.append(_numbers(c, "f8"))
                 fresh.append(np.ones(len(own[-1]), bool))
             own, other, score, fresh = (np.concatenate(x) for x in (own, other, score, fresh))
-            pair = own * np.int64(count) + other
-            single = _leading(1, pair, fresh)
+            pair = (own * np.int64(count) + other) * 2 + fresh
+            single = np.argsort(pair)
+            single = single[_runs(pair[single] >> 1)[0]]
             own, other, score, fresh = (x[single] for x in (own, other, score, fresh))
-            best = _leading(kept, own, -score, other)
+            best = _leading(kept, own, -score)  # of equal ones the smaller number, for they are in that order
             own, other, score, fresh = (x[best] for x in (own, other, score, fresh))
             place = np.arange(len(own)) - np.searchsorted(own, own)
             others, scores, new = np.full((size, kept), -1, ids), np.full((size, kept), -2.0), np.zeros((size, kept), bool)
@@ -326,7 +379,7 @@ def _back(kept: int, part: int, ids: str, turn: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (number, _), messages in _received(batches).items():
             node, other, _, fresh = _edges_of(part, kept, ids, messages[0], number)
-            best = _leading(REVERSE, other, ~fresh, _turned(other, node, turn), node)
+            best = _kept(REVERSE, other, ~fresh, _turned(other, node, turn), node)
             node, other, fresh = node[best], other[best], fresh[best]
             yield from _by_part(other // part, BACK, number, (other % part).astype("i4"), node.astype(ids), fresh)
 
@@ -344,11 +397,13 @@ def _surround(kept: int, part: int, count: int, ids: str, turn: int):
             own = np.concatenate([_numbers(row[1], "i4") for row in back] or [np.empty(0, "i4")])
             member = np.concatenate([_numbers(row[2], ids) for row in back] or [np.empty(0, ids)]).astype("i8")
             fresh = np.concatenate([_numbers(row[3], "?") for row in back] or [np.empty(0, "?")])
-            best = _leading(REVERSE, own, ~fresh, _turned(own + np.int64(number) * part, member, turn), member)
+            best = _kept(REVERSE, own, ~fresh, _turned(own + np.int64(number) * part, member, turn), member)
             own = np.concatenate([own[best], *((e[0] % part).astype("i4") for e in edges)])
             member = np.concatenate([member[best], *(e[1] for e in edges)])
             fresh = np.concatenate([fresh[best], *(e[3] for e in edges)])
-            single = _leading(1, own * np.int64(count) + member, ~fresh)
+            pair = (own * np.int64(count) + member) * 2 + ~fresh
+            single = np.argsort(pair)
+            single = single[_runs(pair[single] >> 1)[0]]
             own, member, fresh = own[single], member[single], fresh[single]
             # Old members alone have met before.
             some = np.bincount(own, fresh, part)[own] > 0
@@ -388,12 +443,10 @@ def _meet(kept: int, part: int, width: int, kind: str, ids: str):
         scores = unit[new] @ unit.T
         scores[np.arange(len(new)), new] = -9
         for who, others, value in ((new, np.arange(len(unit)), scores), (old, new, scores[:, old].T)):
-            better = value > worst[who][:, None]
-            some = np.flatnonzero(better.any(axis=1))
+            value = np.where(value > worst[who][:, None], value, -9)
+            some = np.flatnonzero(value.max(axis=1) > -9)
             if len(some):
-                value = np.where(better[some], value[some], -9)
-                best = _best(value, OFFERS)
-                value = np.take_along_axis(value, best, 1)
+                best, value = _best(value[some], OFFERS)
                 row, column = np.nonzero(value > -9)
                 yield who[some[row]], others[best[row, column]], value[row, column]
 
@@ -418,16 +471,15 @@ def _meet(kept: int, part: int, width: int, kind: str, ids: str):
             def best_held() -> None:
                 """Of the offers to a member no more than it can take."""
                 who, other, value = (np.concatenate(x) for x in zip(*held))
-                single = _leading(1, who * np.int64(len(wanted)) + other)
+                single = _single(who * np.int64(len(wanted)) + other)
                 who, other, value = who[single], other[single], value[single]
-                best = _leading(kept, who, -value, other)
+                best = _kept(kept, who, -value, other)
                 held[:] = [(who[best], other[best], value[best])]
 
-            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             size = 0
-            for start, end in zip(starts, [*starts[1:], len(own)]):
-                who = place[start:end]
-                for to, other, value in offers(unit[who], worst[who], fresh[start:end]):
+            for start, length in zip(*_runs(own)):
+                who = place[start : start + length]
+                for to, other, value in offers(unit[who], worst[who], fresh[start : start + length]):
                     held.append((who[to], who[other], value))
                     size += len(to)
                 if size > MOST_OFFERS:
@@ -494,7 +546,7 @@ def _pack_edges(kept: int, part: int, ids: str):
     def packed(held: list[tuple]) -> Iterator[tuple]:
         node, other, score = (np.concatenate(c) for c in zip(*held))
         yield from _by_part(node // part, EDGES, 0, (node % part).astype("i4"), other.astype(ids))
-        best = _leading(kept, other, -score, node)
+        best = _kept(kept, other, -score, node)
         node, other, score = node[best], other[best], score[best]
         yield from _by_part(other // part, BACK, 0, (other % part).astype("i4"), node.astype(ids), score)
 
@@ -522,10 +574,10 @@ def _ways(kept: int, part: int, count: int, ids: str):
             there, back = found.get((number, EDGES), []), found.get((number, BACK), [])
             none = [(0, *[pa.py_buffer(b"")] * 4)]
             own, other, score = (np.concatenate([_numbers(row[k], t) for row in back or none]) for k, t in ((1, "i4"), (2, ids), (3, "f8")))
-            best = _leading(kept, own, -score, other)
+            best = _kept(kept, own, -score, other)
             own = np.concatenate([own[best], *(_numbers(row[1], "i4") for row in there)])
             other = np.concatenate([other[best], *(_numbers(row[2], ids) for row in there)])
-            single = _leading(1, own * np.int64(count) + other)
+            single = _single(own * np.int64(count) + other)
             yield number, WAYS, 0, size, np.bincount(own[single], minlength=size), other[single]
 
     return lambda batches: _sent(rows(batches))
@@ -614,14 +666,15 @@ def _reach(width: int, kind: str, part: int, ids: str, visits: int, held: int):
             for query in np.unique(beams.owner[now]):
                 mine = slice(last[query] - beams.lengths[query], last[query])
                 at = np.searchsorted(nodes, beams.nodes[mine][now[mine]])
-                ends = np.setdiff1d(others[_stretches(starts[at], lengths[at])], beams.nodes[mine])
+                ends = np.unique(others[_stretches(starts[at], lengths[at])])
+                ends = ends[~_among(ends, beams.nodes[mine])]
                 owner.append(np.full(len(ends), query, "i4"))
                 reached.append(ends)
             owner, reached = np.concatenate(owner), np.concatenate(reached)
             lowest = np.full(len(beams.queries), -2.0)
             full = np.flatnonzero(beams.lengths >= held)
             lowest[full] = beams.scores[last[full] - 1]
-            for to, _, _, n, asking, wanted in _by_part(reached // part, REACHED, group, owner, (reached % part).astype("i4")):
+            for to, _, _, n, asking, wanted in _by_part(reached // part, REACHED, group, owner, (reached % part).astype("u2")):
                 who, counts = np.unique(asking, return_counts=True)
                 yield to, REACHED, group, n, np.stack([who, counts]).astype("i8"), wanted, lowest[who], beams.codes[who]
 
@@ -638,7 +691,7 @@ def _compare(width: int, kind: str, part: int, ids: str):
                 continue
             unit = _unit(_numbers(found[number, CODES][0][1], kind).reshape(-1, width))
             for group, a, b, c, d in found[number, REACHED]:
-                (who, counts), reached, lowest = _numbers(a, "i8").reshape(2, -1), _numbers(b, "i4"), _numbers(c, "f8")
+                (who, counts), reached, lowest = _numbers(a, "i8").reshape(2, -1), _numbers(b, "u2"), _numbers(c, "f8")
                 queries = _unit(_numbers(d, kind).reshape(-1, width))
                 scores = np.empty(len(reached))
                 for query, (start, end) in enumerate(itertools.pairwise(np.append(0, np.cumsum(counts)))):
