@@ -699,7 +699,7 @@ def _compare(width: int, kind: str, part: int, ids: str):
                 better = scores > np.repeat(lowest, counts)
                 if better.any():
                     owner = np.repeat(who, counts)[better].astype("i4")
-                    yield group, FOUND, number, len(owner), owner, (number * part + reached[better]).astype(ids), scores[better]
+                    yield group, FOUND, number, len(owner), owner, (number * part + reached[better].astype("i8")).astype(ids), scores[better]
 
     return lambda batches: _sent(rows(batches))
 

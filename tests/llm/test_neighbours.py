@@ -152,3 +152,14 @@ def test_many_parts_and_groups_of_queries(spark, monkeypatch):
     rng = np.random.default_rng(9)
     matrix = np.concatenate([rng.normal(size=(700, 8)), rng.normal(size=8) + 0.001 * rng.normal(size=(200, 8))])
     assert recall(spark, matrix, 7) >= 0.98
+
+
+def test_numbers_of_late_parts_are_whole():
+    codes = np.random.default_rng(10).normal(size=(4096, 4)).astype("f4")
+    asked = [np.array([[0], [2]], "i8"), np.array([5, 4095], "u2"), np.array([-2.0]), codes[:1]]
+    messages = N._sent(iter([(40, N.CODES, 0, 4096, codes), (40, N.REACHED, 3, 2, *asked)]))
+    (found,) = N._received(N._compare(4, "f4", 4096, "i4")(messages)).items()
+    assert found[0] == (3, N.FOUND)
+    assert N._numbers(found[1][0][2], "i4").tolist() == [40 * 4096 + 5, 40 * 4096 + 4095]
+    unit = N._unit(codes)
+    assert np.allclose(N._numbers(found[1][0][3], "f8"), unit[[5, 4095]] @ unit[0], atol=1e-15)
